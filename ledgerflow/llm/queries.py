@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, token_counts
+from . import bpe, language_id, packing, simhash, token_counts
 from .common import table
 
 
@@ -30,11 +30,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
