@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality, simhash, token_counts, topk, warc
+from . import bpe, language_id, licences, packing, quality, simhash, token_counts, topk, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_codec(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken", keep_ids=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("distance2")
 
@@ -73,6 +77,7 @@ FROM w
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
@@ -82,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.oracle_sql(), "op9_exact_topk": _OP9_SQL, "op10_warc": _OP10_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": licences.oracle_sql(), "op3_quality_rules": quality.oracle_sql(), "op9_exact_topk": _OP9_SQL, "op10_warc": _OP10_SQL}
