@@ -47,6 +47,9 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
+    # Shuffle files of what was just written go as soon as the driver's JVM sees
+    # that nothing refers to them; without this they would wait for its next full collection.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
