@@ -1,10 +1,496 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators and their SQL.
+
+All run over whole tables. ``events`` serves as the transfers (see
+``sources.transfers.from_events``), ``labels`` with ``documents`` as scored rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import adjacency, cases, detectors, features, metrics, paths, rings
+from .plans import alerts as alert_plan
+from .plans import models
+from .schema import STAGE1, Config
+from .sources import transfers as src
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+CFG = Config()
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# DuckDB's view of the same transfers.
+_T = """e AS (SELECT event_id AS seq, epoch_us(ts) // 60000000 AS m, user_id AS src, CAST(props->>'k' AS BIGINT) AS dst, value AS amount_paid, event_type,
+  CASE event_type WHEN 'click' THEN 'ACH' WHEN 'view' THEN 'Wire' WHEN 'purchase' THEN 'Credit Card' WHEN 'signup' THEN 'Cheque' WHEN 'error' THEN 'Cash' ELSE 'Other' END AS format,
+  ['US Dollar', 'Euro', 'Yuan', 'Bitcoin', 'Unknown'][user_id % 5 + 1] AS ccy,
+  ['US Dollar', 'Euro', 'Yuan', 'Bitcoin', 'Unknown'][CAST(props->>'k' AS BIGINT) % 5 + 1] AS rccy FROM events),
+t AS (SELECT *, amount_paid * CASE ccy WHEN 'Euro' THEN CAST('1.1718' AS DOUBLE) WHEN 'Yuan' THEN CAST('0.14931' AS DOUBLE) WHEN 'Bitcoin' THEN CAST('11881.6' AS DOUBLE) ELSE CAST('1.0' AS DOUBLE) END AS amount FROM e)"""
+_L = (
+    _T
+    + """,
+r AS (SELECT seq, m, src AS acct, 'O' AS dir, dst AS peer, amount, CAST(format = 'ACH' AS INT) AS ach FROM t WHERE src <> dst
+  UNION ALL SELECT seq, m, dst, 'I', src, amount, CAST(format = 'ACH' AS INT) FROM t WHERE src <> dst),
+l AS (SELECT *, list({'m': m, 'peer': peer, 'seq': seq, 'amount': amount, 'ach': ach}) OVER (PARTITION BY acct, dir ORDER BY seq ROWS BETWEEN 255 PRECEDING AND CURRENT ROW) AS lst FROM r),
+s AS (SELECT *, last_value(CASE WHEN dir = 'O' THEN lst END IGNORE NULLS) OVER w AS o0, last_value(CASE WHEN dir = 'I' THEN lst END IGNORE NULLS) OVER w AS i0, count(*) OVER w AS history,
+  sum(CASE WHEN dir = 'O' THEN 1 ELSE 0 END) OVER w AS total_out FROM l WINDOW w AS (PARTITION BY acct ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT *, coalesce(list_filter(o0, lambda x: x.m >= m - 5760), []) AS outs, coalesce(list_filter(i0, lambda x: x.m >= m - 5760), []) AS ins FROM s)"""
+)
+
+
+def _peers(x: str) -> str:
+    return f"list_distinct(list_transform({x}, lambda p: p.peer))"
+
+
+def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.from_events(spark, sf_dir)
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.account_values(transfers(spark, sf_dir), CFG)
+
+
+@query("features")
+def _features(spark, sf_dir):
+    return features.base_features(transfers(spark, sf_dir), CFG).select("seq", *(F.round(c, 6).alias(c) for c in STAGE1))
+
+
+@query(
+    "txn_features",
+    f"""WITH {_T} SELECT seq, CAST(format = 'ACH' AS DOUBLE) AS fmt_ach, CAST(format = 'Cash' AS DOUBLE) AS fmt_cash, CAST(format = 'Cheque' AS DOUBLE) AS fmt_cheque, CAST(format = 'Credit Card' AS DOUBLE) AS fmt_credit_card,
+  CAST(format = 'Bitcoin' AS DOUBLE) AS fmt_bitcoin, CAST(format = 'Wire' AS DOUBLE) AS fmt_wire, CAST(format = 'Reinvestment' AS DOUBLE) AS fmt_reinvestment,
+  round(ln(1 + greatest(amount, 0)), 6) AS log_amount_usd, CAST(ccy <> rccy AS DOUBLE) AS cross_currency, CAST(src % 20 = dst % 20 AS DOUBLE) AS same_bank,
+  CAST(amount_paid >= 100 AND amount_paid % 100 < 1e-9 AS DOUBLE) AS round_amount FROM t""",
+)
+def _txn(spark, sf_dir):
+    f = features.txn_features(transfers(spark, sf_dir))
+    return f.withColumn("log_amount_usd", F.round("log_amount_usd", 6))
+
+
+def _counted(name: str, column: str, sql: str, side: str) -> None:
+    @query(name, f"WITH {_L} SELECT seq, CAST({sql} AS BIGINT) AS {name} FROM a WHERE dir = '{side}'")
+    def run(spark, sf_dir):
+        return _values(spark, sf_dir).select("seq", F.col(column).cast("long").alias(name))
+
+
+_counted("src_in_distinct", "src_in", f"len({_peers('ins')})", "O")
+_counted("dst_out_distinct", "dst_out", f"len({_peers('outs')})", "I")
+_counted("gather_scatter", "gs", f"least(len({_peers('ins')}), len({_peers('outs')}))", "O")
+_counted("pair_repeat", "pair_repeat", "len(list_filter(outs, lambda x: x.peer = peer AND x.seq <> seq))", "O")
+_counted("dst_in_24h", "got_24h", "len(list_filter(ins, lambda x: x.m >= m - 1440))", "I")
+QUERIES["gather_scatter"] = lambda spark, sf_dir: _values(spark, sf_dir).select("seq", F.least("src_in", "src_out").cast("long").alias("gather_scatter"))
+
+
+def _fan(name: str, column: str, side: str, lists: str) -> None:
+    @query(name, f"WITH {_L} SELECT seq, len({_peers(lists)}) AS n, len({_peers(lists)}) >= 5 AS hit FROM a WHERE dir = '{side}'")
+    def run(spark, sf_dir):
+        return _values(spark, sf_dir).select("seq", F.col(column).cast("long").alias("n"), (F.col(column) >= CFG.fan_threshold).alias("hit"))
+
+
+_fan("fan_out", "src_out", "O", "outs")
+_fan("fan_in", "dst_in", "I", "ins")
+
+
+@query(
+    "ach_share",
+    f"""WITH {_L}, x AS (SELECT seq, dir, round(CASE WHEN dir = 'O' THEN list_avg(list_transform(outs, lambda p: p.ach)) ELSE list_avg(list_transform(ins, lambda p: p.ach)) END, 6) AS v FROM a)
+  SELECT seq, max(CASE WHEN dir = 'O' THEN v END) AS src_out_ach_share, max(CASE WHEN dir = 'I' THEN v END) AS dst_in_ach_share FROM x GROUP BY seq""",
+)
+def _ach(spark, sf_dir):
+    return _values(spark, sf_dir).select("seq", F.round("src_ach_share", 6).alias("src_out_ach_share"), F.round("dst_ach_share", 6).alias("dst_in_ach_share"))
+
+
+@query(
+    "account_history",
+    f"WITH {_L} SELECT seq, max(CASE WHEN dir = 'O' THEN history END) AS src_history, max(CASE WHEN dir = 'I' THEN history END) AS dst_history FROM a GROUP BY seq",
+)
+def _history(spark, sf_dir):
+    return _values(spark, sf_dir).select("seq", "src_history", "dst_history")
+
+
+@query(
+    "velocity",
+    f"""WITH {_L}, f AS (SELECT seq, acct, min(m) OVER (PARTITION BY acct ORDER BY seq) AS first_seen FROM (SELECT seq, m, src AS acct FROM t UNION ALL SELECT seq, m, dst FROM t WHERE src <> dst) AS u),
+  x AS (SELECT a.seq, len(list_filter(outs, lambda p: p.m >= m - 1440)) AS n, total_out / greatest((m - first_seen) / CAST(1440 AS DOUBLE), 1) AS usual FROM a JOIN f ON a.seq = f.seq AND a.acct = f.acct WHERE dir = 'O')
+  SELECT seq, n AS sent_24h, floor(n / usual * 1000000 + 0.5) / 1000000 AS velocity_ratio, n >= 10 AND n / usual >= 3 AS hit FROM x""",
+)
+def _velocity(spark, sf_dir):
+    v = _values(spark, sf_dir)
+    return v.select("seq", F.col("sent_24h").cast("long").alias("sent_24h"), (F.floor(F.col("velocity_ratio") * 1_000_000 + 0.5) / 1_000_000).alias("velocity_ratio"), ((F.col("sent_24h") >= CFG.velocity_min) & (F.col("velocity_ratio") >= CFG.velocity_ratio)).alias("hit"))
+
+
+@query(
+    "pass_through",
+    f"""WITH {_L}, x AS (SELECT seq, m, amount, list_filter(ins, lambda p: p.m >= m - 1440 AND p.peer <> peer AND p.amount > 0 AND amount / p.amount <= 1 + CAST('1e-6' AS DOUBLE) AND amount / p.amount >= CAST('0.9' AS DOUBLE)) AS f FROM a WHERE dir = 'O')
+  SELECT seq, m - f[-1].m AS gap, round(amount / f[-1].amount, 6) AS ratio, f[-1].seq AS matched, m - f[-1].m <= 120 AS hit FROM x WHERE len(f) > 0""",
+)
+def _pass(spark, sf_dir):
+    v = _values(spark, sf_dir).where("pass_gap IS NOT NULL")
+    return v.select("seq", F.col("pass_gap").alias("gap"), F.round("pass_ratio", 6).alias("ratio"), F.col("pass_seq").alias("matched"), (F.col("pass_gap") <= CFG.pass_window).alias("hit"))
+
+
+@query("live_adjacency", f"WITH {_L} SELECT seq, dir, acct, len(outs) AS n_out, len(ins) AS n_in, list_sum(list_transform(outs, lambda p: p.seq)) AS out_sum FROM a")
+def _live(spark, sf_dir):
+    rows = adjacency.live_adjacency(transfers(spark, sf_dir), CFG, fields=("m", "seq"))
+    total = F.when(F.size("outs") > 0, F.aggregate("outs", F.lit(0).cast("long"), lambda a, x: a + x["seq"]))
+    return rows.select("seq", "dir", "acct", F.size("outs").cast("long").alias("n_out"), F.size("ins").cast("long").alias("n_in"), total.alias("out_sum"))
+
+
+@query(
+    "fan_out_evidence",
+    f"""WITH {_L}, u AS (SELECT seq, unnest(outs) AS x FROM a WHERE dir = 'O' AND len({_peers('outs')}) >= 5), p AS (SELECT seq, x.peer AS peer, max(x.seq) AS e FROM u GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY e DESC) AS k FROM p) SELECT seq, string_agg(CAST(e AS VARCHAR), ',' ORDER BY k) AS evidence FROM n WHERE k <= 30 GROUP BY seq""",
+)
+def _evidence(spark, sf_dir):
+    rows = adjacency.live_adjacency(transfers(spark, sf_dir), CFG, fields=("m", "peer", "seq")).where("dir = 'O'")
+    ev = rows.where(F.size(adjacency.peers(F.col("outs"))) >= CFG.fan_threshold).select("seq", adjacency.recent_per_peer(F.col("outs"), CFG.evidence_cap).alias("ev"))
+    return ev.select("seq", F.array_join(F.transform("ev", lambda x: x.cast("string")), ",").alias("evidence"))
+
+
+@query(
+    "scatter_gather",
+    f"""WITH {_L}, o AS (SELECT seq, m, acct AS src, peer AS dst, list_filter(ins, lambda x: x.peer <> peer) AS fi FROM a WHERE dir = 'O'),
+  d AS (SELECT seq, list_distinct(list_transform(list_filter(ins, lambda x: x.peer <> peer), lambda x: x.peer)) AS senders FROM a WHERE dir = 'I'),
+  u AS (SELECT seq, m, src, unnest(fi) AS x FROM o),
+  f AS (SELECT seq, m, src, x.peer AS funder, max(x.seq) AS latest FROM u GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY latest DESC) AS place FROM f),
+  so AS (SELECT acct, seq AS at, o0 FROM s WHERE dir = 'O'),
+  j AS (SELECT k.seq, k.m, k.src, k.funder, k.place, so.o0 FROM k ASOF JOIN so ON k.funder = so.acct AND k.seq >= so.at WHERE place <= 24),
+  c AS (SELECT j.seq, place, funder, len(list_intersect(list_distinct(list_transform(list_filter(o0, lambda x: x.m >= m - 5760 AND x.peer <> src), lambda x: x.peer)), senders)) AS n FROM j JOIN d ON j.seq = d.seq),
+  b AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY n DESC, place) AS r FROM c WHERE n > 0)
+  SELECT seq, n + 1 AS paths, funder AS origin FROM b WHERE r = 1""",
+)
+def _scatter(spark, sf_dir):
+    return paths.scatter_gather(transfers(spark, sf_dir), CFG).select("seq", F.col("paths").cast("long").alias("paths"), "origin")
+
+
+def _cycle_sql() -> str:
+    hops = ["h0 AS (SELECT seq AS x, m AS xm, src AS xs, dst AS xd, src AS node, m AS bound FROM g)"]
+    for k in range(1, 6):
+        hops.append(f"c{k} AS (SELECT DISTINCT x FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.src = h.xd AND g.seq < h.x AND g.m <= h.bound AND g.m >= h.xm - 5760)")
+        hops.append(f"h{k} AS (SELECT x, xm, xs, xd, g.src AS node, max(g.m) AS bound FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.seq < h.x AND g.m <= h.bound AND g.m >= h.xm - 5760 WHERE g.src <> h.xs AND h.x NOT IN (SELECT x FROM c{k}) GROUP BY ALL)")
+    union = " UNION ALL ".join(f"SELECT x AS seq, {k + 1} AS cycle_len FROM c{k}" for k in range(1, 6))
+    return f"WITH {_T}, g AS (SELECT seq, m, src, dst FROM t WHERE src <> dst), {', '.join(hops)} {union}"
+
+
+@query("cycle_len", _cycle_sql())
+def _cycle(spark, sf_dir):
+    return paths.cycles(transfers(spark, sf_dir), CFG).select("seq", "cycle_len")
+
+
+@query("detector_hits")
+def _hits(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    found = detectors.hits(t, features.account_values(t, CFG), CFG)
+    return found.select("seq", F.array_join(F.transform("hits", lambda h: h["name"]), ",").alias("names"), F.array_join(F.transform("hits", lambda h: h["detail"]), "; ").alias("details"))
+
+
+@query("event_time_clamp", "SELECT event_id AS seq, max(epoch_us(ts) // 60000000 - event_id % 7) OVER (ORDER BY event_id) AS m FROM events")
+def _clamp(spark, sf_dir):
+    late = transfers(spark, sf_dir).withColumn("m_raw", F.col("m_raw") - F.col("seq") % 7)
+    return src.clamp_event_time(late.drop("m")).select("seq", "m")
+
+
+_BOUNDS = """p AS (SELECT epoch_us(ts) // 60000000 AS m, row_number() OVER (ORDER BY epoch_us(ts) // 60000000) - 1 AS i, count(*) OVER () AS n FROM events),
+b AS (SELECT CAST(ceil(max(CASE WHEN i = floor(n * 0.6) THEN m END) / 1440) * 1440 AS BIGINT) AS a, CAST(ceil(max(CASE WHEN i = floor(n * 0.8) THEN m END) / 1440) * 1440 AS BIGINT) AS c FROM p)"""
+
+
+@query("split_boundaries", f"WITH {_BOUNDS} SELECT a AS train_end, greatest(c, a + 1440) AS val_end FROM b")
+def _bounds(spark, sf_dir):
+    return src.split_boundaries(transfers(spark, sf_dir))
+
+
+@query("time_split", f"WITH {_BOUNDS} SELECT CASE WHEN m < a THEN 'train' WHEN m < greatest(c, a + 1440) THEN 'val' ELSE 'test' END AS split, count(*) AS n, min(m) AS first, max(m) AS last FROM p, b GROUP BY 1")
+def _split(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    ends = src.split_boundaries(t).first()
+    return t.groupBy(S.split_of(F.col("m_raw"), ends.train_end, ends.val_end).alias("split")).agg(F.count("*").alias("n"), F.min("m_raw").alias("first"), F.max("m_raw").alias("last"))
+
+
+@query("negative_sample", "SELECT event_id AS seq FROM events WHERE ((event_id % 1000003) * 2654435 + 12345) % 1000000 < 100000")
+def _negatives(spark, sf_dir):
+    return transfers(spark, sf_dir).where(S.keep_negative(F.col("seq"), 0.1)).select("seq")
+
+
+# Scored rows for the metric family: a score of a transfer's value, its label as truth.
+_SC = "x AS (SELECT event_id AS seq, round(value / (value + 50), 3) AS score, value > 60 AND event_id % 3 <> 0 AS label FROM events)"
+_SW = (
+    _SC
+    + """, g AS (SELECT score AS threshold, sum(CAST(label AS INT)) AS t, sum(1 - CAST(label AS INT)) AS f FROM x GROUP BY 1),
+w AS (SELECT threshold, CAST(sum(t) OVER (ORDER BY threshold DESC) AS BIGINT) AS tp, CAST(sum(f) OVER (ORDER BY threshold DESC) AS BIGINT) AS fp, sum(t) OVER () AS pos FROM g),
+pr AS (SELECT threshold, tp, fp, tp / CAST(tp + fp AS DOUBLE) AS p, CASE WHEN pos = 0 THEN 0 ELSE tp / CAST(pos AS DOUBLE) END AS r FROM w),
+sweep AS (SELECT threshold, tp, fp, p AS "precision", r AS recall, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM pr)"""
+)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("amount_paid")
+    return transfers(spark, sf_dir).select("seq", "m", "src", "dst", F.round(v / (v + 50), 3).alias("score"), ((v > 60) & (F.col("seq") % 3 != 0)).alias("label"))
+
+
+_CONF = """SELECT tp, fp, fn, tn, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(10000 * (tp + fp) / CAST(n AS DOUBLE), 6) AS alerts_per_10k FROM
+ (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS r FROM
+ (SELECT count(*) FILTER (score >= 0.6 AND label) AS tp, count(*) FILTER (score >= 0.6 AND NOT label) AS fp, count(*) FILTER (score < 0.6 AND label) AS fn, count(*) FILTER (score < 0.6 AND NOT label) AS tn, count(*) AS n FROM x) AS a) AS b"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query("confusion", f"WITH {_SC} {_CONF}")
+def _confusion(spark, sf_dir):
+    return _rounded(metrics.confusion(_scored(spark, sf_dir), 0.6))
+
+
+@query("alerts_per_10k", f"WITH {_SC} SELECT round(10000 * count(*) FILTER (score >= 0.7) / CAST(count(*) AS DOUBLE), 6) AS alerts_per_10k FROM x")
+def _per_10k(spark, sf_dir):
+    return _rounded(metrics.confusion(_scored(spark, sf_dir), 0.7).select("alerts_per_10k"))
+
+
+@query("pr_sweep", f'WITH {_SW} SELECT threshold, tp, fp, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep')
+def _sweep(spark, sf_dir):
+    return _rounded(metrics.pr_sweep(_scored(spark, sf_dir)))
+
+
+@query("average_precision", f'WITH {_SW} SELECT round(sum((recall - prev) * "precision"), 6) AS ap FROM (SELECT *, lag(recall, 1, 0) OVER (ORDER BY threshold DESC) AS prev FROM sweep) AS q')
+def _ap(spark, sf_dir):
+    return _rounded(metrics.average_precision(metrics.pr_sweep(_scored(spark, sf_dir))))
+
+
+@query("best_f1", f'WITH {_SW} SELECT threshold, tp, fp, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep ORDER BY f1 DESC, threshold DESC LIMIT 1')
+def _best(spark, sf_dir):
+    return _rounded(metrics.best_f1(metrics.pr_sweep(_scored(spark, sf_dir))))
+
+
+# Patterns for recall: each user's transfers of one type are one attempt.
+_MP = _SC + ", mp AS (SELECT e.user_id AS idx, e.event_type AS typology, e.event_id AS seq, epoch_us(e.ts) // 60000000 AS m, x.score >= 0.75 AS alert FROM events AS e JOIN x ON e.event_id = x.seq WHERE e.event_id % 4 = 0)"
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).select(F.col("seq").cast("string").alias("key"), "seq", "m", (F.col("score") >= 0.75).alias("alert"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 4 = 0")
+    patterns = e.groupBy(F.col("user_id").alias("index"), F.col("event_type").alias("typology")).agg(F.collect_list(F.col("event_id").cast("string")).alias("keys"))
+    return metrics.matched_patterns(rows, patterns)
+
+
+@query(
+    "pattern_recall",
+    f"WITH {_MP} SELECT count(*) AS patterns, round(avg(CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END), 6) AS recall_any, round(avg(CASE WHEN 2 * h >= n THEN 1.0 ELSE 0.0 END), 6) AS recall_half FROM (SELECT idx, count(*) AS n, sum(CAST(alert AS INT)) AS h FROM mp GROUP BY idx) AS q",
+)
+def _pattern(spark, sf_dir):
+    return _rounded(metrics.pattern_recall(_matched(spark, sf_dir)))
+
+
+@query("typology_recall", f"WITH {_MP} SELECT typology, count(DISTINCT seq) AS transfers, count(DISTINCT CASE WHEN alert THEN seq END) AS alerted, round(count(DISTINCT CASE WHEN alert THEN seq END) / CAST(count(DISTINCT seq) AS DOUBLE), 6) AS recall FROM mp GROUP BY 1")
+def _typology(spark, sf_dir):
+    return _rounded(metrics.typology_recall(_matched(spark, sf_dir)))
+
+
+@query(
+    "alert_clusters",
+    """WITH RECURSIVE al AS (SELECT user_id AS a, CAST(props->>'k' AS BIGINT) AS b, value > 250 AND event_id % 3 <> 0 AS label FROM events WHERE value > 200),
+  ed AS (SELECT DISTINCT a, b FROM al UNION SELECT b, a FROM al), nodes AS (SELECT DISTINCT a AS n FROM ed),
+  reach AS (SELECT n AS node, n AS other FROM nodes UNION SELECT reach.node, ed.b FROM reach JOIN ed ON reach.other = ed.a),
+  lab AS (SELECT node, min(other) AS root FROM reach GROUP BY node), sz AS (SELECT root, count(*) AS size FROM lab GROUP BY root),
+  tr AS (SELECT root, max(CAST(label AS INT)) AS tr FROM al JOIN lab ON al.a = lab.node GROUP BY root), per AS (SELECT size, tr FROM sz JOIN tr USING (root)),
+  o AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS i, count(*) OVER () AS n FROM per)
+  SELECT (SELECT count(*) FROM per) AS clusters, round((SELECT avg(tr) FROM per), 6) AS cluster_precision, (SELECT max(size) FROM o WHERE i = n // 2) AS median_size, (SELECT max(size) FROM per) AS max_size""",
+)
+def _clusters(spark, sf_dir):
+    t = transfers(spark, sf_dir).where("amount_paid > 200")
+    return _rounded(metrics.alert_clusters(t.select("src", "dst", ((F.col("amount_paid") > 250) & (F.col("seq") % 3 != 0)).alias("label"))))
+
+
+@query("rule_ring_size")
+def _ring(spark, sf_dir):
+    return _rings(spark, sf_dir, False).select("seq", "ring_size")
+
+
+@query("ring_members")
+def _members(spark, sf_dir):
+    r = _rings(spark, sf_dir, True)
+    return r.where("ring_id IS NOT NULL").select("seq", "ring_id", "ring_edges", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def _rings(spark: SparkSession, sf_dir: str, members: bool) -> DataFrame:
+    t = transfers(spark, sf_dir)
+    v = features.account_values(t, CFG).join(paths.scatter_gather(t, CFG).select("seq", "paths"), "seq", "left").join(paths.cycles(t, CFG).select("seq", "cycle_len"), "seq", "left")
+    return rings.rule_rings(t, features.hit_flags(v, CFG), CFG, members)
+
+
+@query("graph_stats", f"WITH {_L} SELECT (SELECT count(DISTINCT acct) FROM (SELECT src AS acct FROM t UNION ALL SELECT dst FROM t) AS u) AS accounts, (SELECT count(*) FROM t WHERE src <> dst AND m >= (SELECT max(m) FROM t) - 5760) AS live_edges, (SELECT max(history) FROM a) AS busiest")
+def _stats(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    now = t.agg(F.max("m")).first()[0]
+    edge = F.col("src") != F.col("dst")
+    ends = t.select(F.explode(F.array(F.struct(F.col("src").alias("acct"), (edge & (F.col("m") >= F.lit(now) - CFG.window)).cast("long").alias("live"), edge.cast("long").alias("edge")), F.struct(F.col("dst").alias("acct"), F.lit(0).cast("long").alias("live"), edge.cast("long").alias("edge")))).alias("e")).select("e.*")
+    per = ends.groupBy("acct").agg(F.sum("live").alias("live"), F.sum("edge").alias("edges"))
+    return per.agg(F.count("*").alias("accounts"), F.sum("live").alias("live_edges"), F.max("edges").alias("busiest"))
+
+
+# Alerts for the case queries: transfers over a value; account keys with their bank.
+_AL = """al AS (SELECT 'txn-' || event_id AS alert_id, event_id AS alert_no, event_id AS tx_id, (user_id % 20) || ':' || user_id AS fa, ((CAST(props->>'k' AS BIGINT)) % 20) || ':' || (props->>'k') AS ta, round(value, 2) AS amount, value / (value + 50) AS score, ts FROM events WHERE value > 200)"""
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transfers(spark, sf_dir).where("amount_paid > 200")
+    key = lambda a, b: S.account_key(F.col(a), F.col(b))
+    return t.select(
+        F.concat(F.lit("txn-"), F.col("seq").cast("string")).alias("alert_id"), F.col("seq").alias("alert_no"), F.col("seq").alias("tx_id"), key("from_bank", "from_account").alias("from_account"), key("to_bank", "to_account").alias("to_account"),
+        F.round("amount_paid", 2).alias("amount_usd"), (F.col("amount_paid") / (F.col("amount_paid") + 50)).alias("score"), F.lit(None).cast("string").alias("ring_id"), F.array().cast("array<string>").alias("ring_accounts"), S.format_minutes(F.col("m")).alias("event_ts"),
+        F.array(F.struct(F.lit("fan_out").alias("name"), F.lit(1.0).alias("value"), F.lit("").alias("detail"), F.array(F.struct(F.col("seq").alias("txId"), key("from_bank", "from_account").alias("from"), key("to_bank", "to_account").alias("to"), F.round("amount_paid", 2).alias("amountUsd"), S.format_minutes(F.col("m")).alias("timestamp"), (F.col("seq") % 2 == 0).alias("laundering"))).alias("edges"))).alias("detectors"),
+    )
+
+
+_CC = (
+    "WITH RECURSIVE "
+    + _AL
+    + """, k AS (SELECT alert_no, fa AS key FROM al UNION SELECT alert_no, ta FROM al), hub AS (SELECT key, min(alert_no) AS a FROM k GROUP BY key), lk AS (SELECT DISTINCT a, alert_no AS b FROM k JOIN hub USING (key)),
+ ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach AS (SELECT alert_no AS node, alert_no AS other FROM al UNION SELECT reach.node, ed.b FROM reach JOIN ed ON reach.other = ed.a),
+ cs AS (SELECT 'txn-' || node AS alert_id, min(other) AS case_id FROM reach GROUP BY node)"""
+)
+
+
+@query("case_grouping", _CC + " SELECT alert_id, case_id FROM cs")
+def _grouping(spark, sf_dir):
+    return cases.group_cases(_alerts(spark, sf_dir))
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alerts(spark, sf_dir)
+    return cases.case_rollup(a, cases.group_cases(a))
+
+
+_RL = """, j AS (SELECT * FROM al JOIN cs USING (alert_id)), ac AS (SELECT case_id, count(DISTINCT x) AS accounts FROM (SELECT case_id, fa AS x FROM j UNION ALL SELECT case_id, ta FROM j) AS u GROUP BY 1),
+ ru AS (SELECT case_id, max(score) AS max_score, count(*) AS alert_count, CAST(sum(CAST(amount AS DECIMAL(19, 2))) AS DOUBLE) AS total FROM j GROUP BY 1),
+ rollup AS (SELECT case_id, round(max_score, 6) AS max_score, alert_count, total AS total_amount_usd, accounts, CASE WHEN (max_score >= 0.9 AND alert_count >= 3) OR total >= 1000000 THEN 'CRITICAL' WHEN max_score >= 0.85 OR alert_count >= 5 OR total >= 100000 THEN 'HIGH' WHEN max_score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM ru JOIN ac USING (case_id))"""
+
+
+@query("case_rollup_priority", _CC + _RL + " SELECT * FROM rollup")
+def _priority(spark, sf_dir):
+    return _rollup(spark, sf_dir).withColumn("max_score", F.round("max_score", 6))
+
+
+@query("case_list_page", _CC + _RL + " SELECT case_id, alert_count, priority FROM rollup ORDER BY alert_count DESC, case_id LIMIT 20")
+def _page(spark, sf_dir):
+    return cases.case_page(_rollup(spark, sf_dir).select("case_id", "alert_count", "priority"), "alert_count")
+
+
+_RF = """ SELECT case_id, 'Case CASE-2024-' || lpad(CAST(case_id AS VARCHAR), 6, '0') || ': ' || alert_count || ' transaction alert(s) across ' || accounts || ' account(s) totalling USD ' || CAST(CAST(total_amount_usd AS DECIMAL(19, 2)) AS VARCHAR)
+ || ' were flagged by the network monitoring model rules (maximum score ' || CAST(CAST(max_score AS DECIMAL(10, 3)) AS VARCHAR) || '). Observed typologies: rapid dispersal of funds to many accounts (fan-out). The pattern is consistent with money-mule activity and layering of illicit funds.' AS reason FROM rollup"""
+
+
+@query("str_reason", _CC + _RL + _RF)
+def _reason(spark, sf_dir):
+    c = _rollup(spark, sf_dir).withColumn("max_score", F.round("max_score", 6))
+    seen = F.lower(S.indicator_text(F.lit("fan_out")))
+    return cases.str_reason(c.withColumns({"reference": S.case_reference(F.lit(2024), F.col("case_id")), "models": F.lit("rules"), "typologies": seen}))
+
+
+_DUP = "bt AS (SELECT 'a' || event_id % 500 AS alert_id, event_id AS position FROM events), st AS (SELECT DISTINCT 'a' || event_id % 37 AS alert_id FROM events WHERE event_id < 100)"
+
+
+@query("alert_dedup", f"WITH {_DUP} SELECT alert_id, min(position) AS position FROM bt WHERE alert_id NOT IN (SELECT alert_id FROM st) GROUP BY alert_id")
+def _dedup(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    named = lambda n: F.concat(F.lit("a"), (F.col("seq") % n).cast("string")).alias("alert_id")
+    return cases.new_alerts(t.select(named(500), F.col("seq").alias("position")), t.where("seq < 100").select(named(37)).distinct())
+
+
+@query("case_graph_edges", f"WITH {_AL} SELECT 'tx:' || tx_id AS key, fa AS source, ta AS target, amount, 'alert,fan_out' AS detectors, tx_id % 2 = 0 AS laundering, true AS alerted FROM al")
+def _edges(spark, sf_dir):
+    return cases.graph_edges(_alerts(spark, sf_dir)).drop("tx_id", "ts")
+
+
+@query(
+    "case_graph_nodes",
+    f"""WITH {_AL}, n AS (SELECT fa AS id, 1 AS s, 0 AS g FROM al UNION ALL SELECT ta, 0, 1 FROM al), d AS (SELECT id, sum(s) AS s, sum(g) AS g FROM n GROUP BY id)
+ SELECT id, split_part(id, ':', 2) || ' @' || split_part(id, ':', 1) AS label, CASE WHEN s > 0 AND g > 0 THEN 'intermediary' WHEN s > 0 THEN 'source' ELSE 'sink' END AS role, split_part(id, ':', 1) AS bank, false AS in_ring, true AS alerted, CAST(s AS BIGINT) AS sent, CAST(g AS BIGINT) AS got FROM d""",
+)
+def _nodes(spark, sf_dir):
+    a = _alerts(spark, sf_dir)
+    return cases.graph_nodes(cases.graph_edges(a), a).drop("first")
+
+
+@query(
+    "audit_fold_status",
+    """WITH v AS (SELECT user_id AS case_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+ SELECT case_id, CASE WHEN count(*) >= 3 THEN 'CLOSED' WHEN count(*) = 2 THEN 'ESCALATED' ELSE 'INVESTIGATING' END AS status, CASE WHEN count(*) >= 3 THEN 'FALSE_POSITIVE' END AS disposition, least(count(*), 3) AS applied, greatest(count(*) - 3, 0) AS rejected FROM v GROUP BY case_id""",
+)
+def _fold(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("src").orderBy("seq"))
+    e = transfers(spark, sf_dir).withColumn("k", k)
+    to = F.when(F.col("k") == 1, "INVESTIGATING").when(F.col("k") == 2, "ESCALATED").otherwise("CLOSED")
+    events = e.select(F.col("src").alias("case_id"), F.col("seq").alias("event_id"), F.lit("TRANSITION").alias("action"), to.alias("to_status"), F.when(F.col("k") >= 3, "FALSE_POSITIVE").alias("disposition"), F.lit("analyst").alias("actor"), F.lit(None).cast("string").alias("assignee"))
+    out = cases.fold_status(events)
+    return out.select("case_id", "status", "disposition", F.col("applied").cast("long").alias("applied"), F.col("rejected").cast("long").alias("rejected"))
+
+
+@query(
+    "payment_codes",
+    f"""WITH {_T} SELECT seq, CASE format WHEN 'ACH' THEN 'ACH' WHEN 'Wire' THEN 'WIRE' WHEN 'Credit Card' THEN 'CARD' WHEN 'Cheque' THEN 'CHEQUE' WHEN 'Cash' THEN 'CASH' ELSE 'OTHER' END AS transmode,
+ CASE format WHEN 'Cheque' THEN 'CHEQUE' WHEN 'Cash' THEN 'CASH' ELSE 'ACCOUNT' END AS funds, CASE ccy WHEN 'US Dollar' THEN 'USD' WHEN 'Euro' THEN 'EUR' WHEN 'Yuan' THEN 'CNY' WHEN 'Bitcoin' THEN 'XBT' ELSE 'XXX' END AS currency FROM t""",
+)
+def _codes(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    return t.select("seq", S.transmode(F.col("format")).alias("transmode"), S.funds_code(F.col("format")).alias("funds"), S.currency_code(F.col("payment_currency")).alias("currency"))
+
+
+@query("account_ref", f"WITH {_T} SELECT seq, CAST(src % 20 AS VARCHAR) AS bank, CAST(src AS VARCHAR) AS account, src || ' @' || src % 20 AS label FROM t")
+def _ref(spark, sf_dir):
+    key = S.account_key(F.col("from_bank"), F.col("from_account"))
+    return transfers(spark, sf_dir).select("seq", S.bank_of(key).alias("bank"), S.account_of(key).alias("account"), S.account_label(key).alias("label"))
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    t = transfers(spark, sf_dir)
+    ends = src.split_boundaries(t).first()
+    return t, *alert_plan.scored_transfers(t, ends.train_end, CFG, trees=10, depth=3)
+
+
+@query("stage1_score")
+def _stage1(spark, sf_dir):
+    return _trained(spark, sf_dir)[1].select("seq", F.round("s1", 6).alias("s1"))
+
+
+@query("gbdt_score")
+def _gbdt(spark, sf_dir):
+    _, scored, model = _trained(spark, sf_dir)
+    return scored.select("seq", F.round("score", 6).alias("score"), (F.col("score") >= model.threshold).alias("alert"))
+
+
+@query("lr_score")
+def _lr(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    rows = t.select("seq", "label").join(features.txn_features(t), "seq")
+    model = models.train_lr(models.weighted_sample(rows, 0.5), [c for c in rows.columns if c not in ("seq", "label")])
+    return rows.select("seq", F.round(model.score(), 6).alias("score"))
+
+
+@query("explain_topk")
+def _explain(spark, sf_dir):
+    _, scored, model = _trained(spark, sf_dir)
+    return scored.select("seq", F.array_join(F.transform(model.explain(5), lambda x: x["name"]), ",").alias("top"))
+
+
+@query("alert_payload")
+def _payload(spark, sf_dir):
+    t, scored, model = _trained(spark, sf_dir)
+    a = alert_plan.alerts(t, scored, model, CFG)
+    return a.select("alertId", F.to_json(F.struct(*a.columns)).alias("document"))
