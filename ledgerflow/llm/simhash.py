@@ -52,8 +52,12 @@ def fingerprints(texts: list[str | None], width: int) -> np.ndarray:
             sizes.append(n)
 
     h = np.fromiter(map(xxh64_intdigest, counted(), repeat(42)), np.uint64)
-    n = np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(h, np.array(sizes, np.int64))
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For runs of ``n`` hashes each, the bits that over half of the run have; 0 for an empty run."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
@@ -125,3 +129,125 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = known.join(roots, "root").select("fp", "component_id", "n_links")
     return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+# Near copies by a stated similarity: the same grid with segments of one bit.
+
+#: Differing bits up to which the distinct words' fingerprints are compared: four
+#: blocks of the grid, one of which differs by one step at most.
+WORD_BITS = 7
+#: Differing bits up to which the shingles' fingerprints are compared.
+SHINGLE_BITS = 14
+#: One document in so many is a landmark.
+LANDMARKS = 64
+
+
+def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the fingerprint of its distinct words, that of its five-word
+    shingles (fewer words: the whole sequence), and a hash of the word sequence."""
+    from .passages import SHINGLE, WordHashes, _blocks, _mix, _shingled
+
+    hashes, parts = WordHashes(), []
+    for _, block in _blocks(texts):
+        ids, n = hashes.of(block)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((ids, owner))
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[order][1:] != ids[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        words = majority(ids[order][new], np.bincount(owner[order][new], minlength=len(n)))
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+        placed = _mix(ids + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+        whole = np.zeros(len(n), np.uint64)
+        np.add.at(whole, owner, placed)
+        s = _shingled(ids)
+        inside = owner[: len(s)] == owner[SHINGLE - 1 :]
+        m = np.bincount(owner[: len(s)][inside], minlength=len(n))
+        runs = majority(s[inside], m)
+        runs[(m == 0) & (n > 0)] = _mix(whole[(m == 0) & (n > 0)])
+        parts.append((words, runs, whole))
+    return tuple(np.concatenate(x) if parts else np.zeros(0, np.uint64) for x in (zip(*parts) if parts else ((), (), ())))
+
+
+def _grid(rows: DataFrame, steps: str) -> DataFrame:
+    """Rows of each block's cells: the own one and those a step up, or a step either way."""
+    block = lambda k: F.shiftrightunsigned("fw", 16 * k).bitwiseAND(F.lit(0xFFFF))
+    g = rows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(k).alias("cell")) for k in range(4)))).alias("g")).select(*rows.columns, "g.block", "g.cell")
+    if steps == "none":
+        return g
+    moved = [F.when((F.lit(steps == "both")) | (F.col("cell").bitwiseAND(F.lit(1 << d)) == 0), F.col("cell").bitwiseXOR(F.lit(1 << d))) for d in range(16)]
+    return g.withColumn("cell", F.explode(F.array_compact(F.array(F.col("cell"), *moved))))
+
+
+def _meet(left: DataFrame, right: DataFrame, steps: str, also: Column | None = None) -> DataFrame:
+    x = _grid(left, steps).select(*(F.col(c).alias(f"a_{c}") for c in left.columns), "block", "cell")
+    y = _grid(right, "none").select(*(F.col(c).alias(f"b_{c}") for c in right.columns), "block", "cell")
+    far = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+    near = (far("fw") <= WORD_BITS) & (far("fs") <= SHINGLE_BITS) & (F.col("a_id") != F.col("b_id"))
+    near = near if also is None else near & also
+    return x.join(y, (x.block == y.block) & (x.cell == y.cell) & near).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of five-word shingles are similar enough."""
+    from .passages import SHINGLE, WordHashes, _shingled
+
+    pairs = materialise(pairs, "pairs")
+    used = materialise(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
+    both = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            keep = []
+            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                ids, (n, _) = hashes.of([(ta or "").encode(), (tb or "").encode()])
+                x, y = ids[:n], ids[n:]
+                if min(len(x), len(y)) < SHINGLE:
+                    keep.append(np.array_equal(x, y))
+                    continue
+                u, v = np.unique(_shingled(x)), np.unique(_shingled(y))
+                c = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(c >= similarity * (len(u) + len(v) - c))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return materialise(both.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose five-word shingles have a Jaccard similarity of
+    ``similarity`` or more: ``doc_id``, ``component_id`` (least id of the group).
+
+    The fingerprint of the distinct words moves little under small edits, so it
+    goes on the grid; that of the shingles prunes what meets there; the shingle sets verify.
+    Large groups would link all their pairs: documents first meet landmarks (one
+    document in ``LANDMARKS``), and two that are tied to landmarks aren't compared
+    any more. Null texts count as empty; rows without an id have no group; rows
+    repeated with one id are one document, by its least text; an empty table gives none.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("id")).agg(F.min(docs[text_col]).alias("text")) if _repeats(docs, id_col) else docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sketches(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["id", "fw", "fs", "body"])
+
+    rows = materialise(texts.mapInArrow(run, f"id {kind}, fw long, fs long, body long"), "sketches")
+    leaders = materialise(rows.groupBy("fw", "fs", "body").agg(F.min("id").alias("id")), "leaders")
+    slim = leaders.select("id", "fw", "fs")
+    marks = slim.where(F.pmod(F.xxhash64("id"), F.lit(LANDMARKS)) == 0)
+    tied = _verified(_meet(marks, slim, "both"), texts, similarity)
+    ends = tied.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("tied", F.lit(True))
+    marked = materialise(slim.join(ends, "id", "left").select("id", "fw", "fs", F.coalesce("tied", F.lit(False)).alias("tied")), "tied")
+    loose = _verified(_meet(marked, marked, "up", ~(F.col("a_tied") & F.col("b_tied"))), texts, similarity)
+    labels = components.connected(tied.unionByName(loose), spark)
+    groups = leaders.join(labels, leaders.id == labels.node, "left").select("fw", "fs", "body", F.coalesce("root", "id").alias("component_id"))
+    return rows.join(groups, ["fw", "fs", "body"]).select(F.col("id").alias("doc_id"), "component_id")
+
+
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id occurs twice; reads the ids alone."""
+    return docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("id")).count().where("count > 1").limit(1).count() > 0
