@@ -59,9 +59,17 @@ def peers(entries: Column) -> Column:
 
 
 def recent_per_peer(entries: Column, cap: int) -> Column:
-    """Sequence numbers of each counterparty's latest entry, newest first, at most ``cap``."""
-    newest = F.reverse(entries)
-    return F.slice(F.transform(F.filter(F.transform(newest, lambda x, i: F.struct(x["seq"].alias("seq"), (F.array_position(F.transform(newest, lambda y: y["peer"]), x["peer"]) == i + 1).alias("first"))), lambda z: z["first"]), lambda z: z["seq"]), 1, cap)
+    """Sequence numbers of each counterparty's latest entry, newest first, at most ``cap``.
+
+    Sorted by counterparty, an entry is the latest where the next one has another: n log n.
+    """
+
+    def latest(s: Column) -> Column:
+        ends = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["peer"] != x["peer"], F.lit(True)))
+        return F.slice(F.sort_array(F.transform(ends, lambda x: x["seq"]), asc=False), 1, cap)
+
+    ordered = F.array_sort(F.transform(entries, lambda x: F.struct(x["peer"].alias("peer"), x["seq"].alias("seq"))))
+    return F.element_at(F.transform(F.array(ordered), latest), 1)
 
 
 def as_of(probes: DataFrame, states: DataFrame, key: str, value: str) -> DataFrame:

@@ -82,6 +82,8 @@ def base_features(transfers: DataFrame, cfg: Config = Config(), with_rings: bool
     sg = paths.scatter_gather(transfers, cfg).select("seq", "paths")
     cyc = paths.cycles(transfers, cfg).select("seq", "cycle_len", "cycle_amount_ratio")
     joined = values.join(sg, "seq", "left").join(cyc, "seq", "left")
+    if with_rings:
+        joined = rings._cut(joined)  # read twice: for the vector and for the rings
     edge = {
         "src_out_distinct": log1p(F.col("src_out")), "dst_in_distinct": log1p(F.col("dst_in")), "src_in_distinct": log1p(F.col("src_in")), "dst_out_distinct": log1p(F.col("dst_out")),
         "scatter_gather_paths": F.coalesce("paths", F.lit(0)).cast("double"), "gather_scatter_degree": log1p(F.least("src_in", "src_out")),
