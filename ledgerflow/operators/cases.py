@@ -145,6 +145,7 @@ def str_reason(cases: DataFrame) -> DataFrame:
     ``alert_count``, ``accounts``, ``total_amount_usd``, ``models`` (joined), ``max_score``, ``typologies`` (joined)."""
     some = F.when(F.col("models") != "", F.concat(F.lit(" "), F.col("models"))).otherwise("")
     seen = F.when(F.col("typologies") != "", F.col("typologies")).otherwise("model score only")
+    # The wording of the narrative.
     text = F.concat(
         F.lit("Case "), "reference", F.lit(": "), F.col("alert_count").cast("string"), F.lit(" transaction alert(s) across "), F.col("accounts").cast("string"), F.lit(" account(s) totalling USD "), F.col("total_amount_usd").cast("decimal(19,2)").cast("string"),
         F.lit(" were flagged by the network monitoring model"), some, F.lit(" (maximum score "), F.col("max_score").cast("decimal(10,3)").cast("string"), F.lit("). Observed typologies: "), seen, F.lit(". The pattern is consistent with money-mule activity and layering of illicit funds."),
