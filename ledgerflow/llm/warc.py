@@ -170,7 +170,9 @@ def captures(records: DataFrame) -> DataFrame:
     pairs = side.withColumn("page_id", field("pageId", F.col("metadata.block"))).withColumn("declared", field("payloadLength", F.col("metadata.block")))
     joined = main.join(pairs, main.record_id == pairs.concurrent_to, "left")
     named = pairs.select(F.col("concurrent_to").alias("of"), F.col("page_id").alias("refers_to_page"))
-    whole = joined.join(named, joined.refers_to == named.of, "left")
+    # a response refers to nothing: dealing it by its own id keeps nulls from meeting in one task
+    whole = joined.withColumn("_of", F.coalesce("refers_to", "record_id")).join(named, F.col("_of") == named.of, "left")
+    whole = whole.withColumn("refers_to_page", F.when(F.col("refers_to").isNotNull(), F.col("refers_to_page")))
     return whole.select(
         "record_id", "record_type", "target_uri", F.coalesce("payload_bytes", "declared").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "page_id", "refers_to_page", "request", "metadata", *(["payload"] if has_payload else [])
     )
