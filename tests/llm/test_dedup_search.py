@@ -163,3 +163,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.where("false")).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+
+
+def test_passages_behind_fragments_that_come_first(spark):
+    """Short documents with a fragment around each function's least shingle come first in every class."""
+    rng = random.Random(12)
+    made, shared = passages.Windows(), prose(rng, 60)
+    longer = [f"{prose(rng, 150)} {shared} {prose(rng, 150)}" for _ in range(2)]
+    w = made.of(longer)
+    common = set(w["key"][w["row"] == 0].tolist()) & set(w["key"][w["row"] == 1].tolist())
+    words, short = longer[0].split(), []
+    for key, c, row in zip(w["key"].tolist(), w["c"].tolist(), w["row"].tolist()):
+        for _ in range(60 if row == 0 and key in common else 0):
+            filler = prose(rng, 50).split()
+            text = " ".join([*filler[:25], *words[max(0, c - 8) : c + 13], *filler[25:]])
+            if key in made.of([text])["key"].tolist():
+                short.append(text)
+                break
+    assert len(short) >= 3
+    rows = [(k, t) for k, t in enumerate([*longer, *short])]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any({r.doc_id, r.of_doc_id} == {0, 1} and r.end - r.start >= 60 for r in found)
