@@ -221,8 +221,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     The fingerprint of the distinct words moves little under small edits, so it
     goes on the grid; that of the shingles prunes what meets there; the shingle sets verify.
     Large groups would link all their pairs: documents first meet landmarks (one
-    document in ``LANDMARKS``), and two that are tied to landmarks aren't compared
-    any more. Null texts count as empty; rows without an id have no group; rows
+    document in ``LANDMARKS``), and two that ties to landmarks put in one component aren't
+    compared any more. Null texts count as empty; rows without an id have no group; rows
     repeated with one id are one document, by its least text; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -240,9 +240,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     slim = leaders.select("id", "fw", "fs")
     marks = slim.where(F.pmod(F.xxhash64("id"), F.lit(LANDMARKS)) == 0)
     tied = _verified(_meet(marks, slim, "both"), texts, similarity)
-    ends = tied.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("tied", F.lit(True))
-    marked = materialise(slim.join(ends, "id", "left").select("id", "fw", "fs", F.coalesce("tied", F.lit(False)).alias("tied")), "tied")
-    loose = _verified(_meet(marked, marked, "up", ~(F.col("a_tied") & F.col("b_tied"))), texts, similarity)
+    ends = components.connected(tied, spark).select(F.col("node").alias("id"), F.col("root").alias("tied")).distinct()
+    marked = materialise(slim.join(ends, "id", "left").select("id", "fw", "fs", "tied"), "tied")
+    apart = F.col("a_tied").isNull() | F.col("b_tied").isNull() | (F.col("a_tied") != F.col("b_tied"))
+    loose = _verified(_meet(marked, marked, "up", apart), texts, similarity)
     labels = components.connected(tied.unionByName(loose), spark)
     groups = leaders.join(labels, leaders.id == labels.node, "left").select("fw", "fs", "body", F.coalesce("root", "id").alias("component_id"))
     return rows.join(groups, ["fw", "fs", "body"]).select(F.col("id").alias("doc_id"), "component_id")

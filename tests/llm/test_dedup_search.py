@@ -184,3 +184,23 @@ def test_passages_behind_fragments_that_come_first(spark):
     rows = [(k, t) for k, t in enumerate([*longer, *short])]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert any({r.doc_id, r.of_doc_id} == {0, 1} and r.end - r.start >= 60 for r in found)
+
+
+def test_near_copies_join_landmarks_of_different_groups(spark):
+    """L1 ~ A ~ B ~ L2, where only L1 and L2 are landmarks and L1, L2 are far apart."""
+    rng = random.Random(21)
+    ids = spark.range(1, 2000).select("id", F.pmod(F.xxhash64("id"), F.lit(simhash.LANDMARKS)).alias("m")).collect()
+    marks, plain = [r.id for r in ids if r.m == 0][:2], [r.id for r in ids if r.m != 0][:2]
+    texts = [prose(rng, 300).split()]
+    for step in range(3):
+        now = list(texts[-1])
+        for k in range(3):
+            now[20 + 100 * step + 30 * k] = f"edit{step}x{k}"
+        texts.append(now)
+    sets = [{tuple(t[k : k + 5]) for k in range(296)} for t in texts]
+    like = lambda x, y: len(x & y) / len(x | y)
+    least = min(like(x, y) for x, y in zip(sets, sets[1:]))
+    assert like(sets[0], sets[2]) < least and like(sets[1], sets[3]) < least
+    rows = list(zip([marks[0], *plain, marks[1]], map(" ".join, texts)))
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), similarity=least - 0.001).collect()
+    assert {r.component_id for r in got} == {min(i for i, _ in rows)}
