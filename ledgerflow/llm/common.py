@@ -8,9 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch between the JVM and Python. A text of this corpus can
-#: be 100 kB, so a batch stays near 100 MB at the very worst.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and Python, for texts can be long.
+ARROW_ROWS, ARROW_BYTES = 1000, "32m"
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -23,18 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds; texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where it is
-    unset (single-machine tests) a temporary folder is made and set.
+    unset on a local master (tests) a temporary folder is made and set; elsewhere that is an error.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        if current.isDefined():
+            root = current.get()
+        elif spark.sparkContext.master.startswith("local["):
+            root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        else:
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         spark.conf.set(CHECKPOINT_DIR, root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -60,6 +65,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def repeats(rows: DataFrame, id_col: str) -> bool:
+    """Whether an id occurs twice; reads the ids alone."""
+    return not rows.groupBy(id_col).count().where("count > 1").isEmpty()
+
+
 class GenerationCache(dict):
     """A bounded memo: ``self[key]`` computes on a miss through ``make(key)``.
 

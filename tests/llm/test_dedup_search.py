@@ -90,18 +90,25 @@ def test_passages(spark):
 def test_compact_windows_equal_their_definition():
     rng = random.Random(1)
     made = passages.Windows()
-    text = " ".join(str(rng.randrange(40)) for _ in range(140))
-    w = made.of([None, "short", text])
-    ids, _ = passages.WordHashes().of([text.encode()])
-    want = set()
-    for fn, seed in enumerate(made._seeds):
-        h = (passages._mix(passages._shingled(ids) ^ seed) | np.uint64(1)).tolist()
-        for c in range(len(h)):
-            left = max((k + 1 for k in range(c) if h[k] <= h[c]), default=0)
-            right = min((k - 1 for k in range(c + 1, len(h)) if h[k] < h[c]), default=len(h) - 1)
-            if right - left + 1 >= made.t:
-                want.add((fn, left, c, right))
-    assert set(zip(*(w[k].tolist() for k in ("fn", "l", "c", "r")))) == want and set(w["row"].tolist()) == {2}
+    texts = [b"short", " ".join(str(rng.randrange(40)) for _ in range(140)).encode()]
+    rows, _, _, found = made.compact(texts)
+    assert rows.tolist() == [1]
+    ids, _ = passages.WordHashes().of([texts[1]])
+    s = passages._shingled(ids)
+    starts = []
+    for seed, (c, left, right, h) in zip(made._seeds, found):
+        hashes = (passages._mix(s ^ seed) | np.uint64(1)).tolist()
+        want = set()
+        for at in range(len(hashes)):
+            l = max((k + 1 for k in range(at) if hashes[k] <= hashes[at]), default=0)
+            r = min((k - 1 for k in range(at + 1, len(hashes)) if hashes[k] < hashes[at]), default=len(hashes) - 1)
+            if r - l + 1 >= made.t:
+                want.add((l, at, r, hashes[at]))
+        assert set(zip(left.tolist(), c.tolist(), right.tolist(), h.tolist())) == want
+        starts.append([min(range(k, k + made.t), key=lambda i: hashes[i]) for k in range(len(hashes) - made.t + 1)])
+    w = made.of([None, *(t.decode() for t in texts)])
+    want = sum(1 + sum(x != y for x, y in zip(both, both[1:])) for a, b in made.pairs for both in [list(zip(starts[a], starts[b]))])
+    assert len(w["key"]) == want and set(w["row"].tolist()) == {2}
 
 
 def test_components(spark):
@@ -166,26 +173,61 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_passages_behind_fragments_that_come_first(spark):
-    """Short documents with a fragment around each function's least shingle come first in every class."""
+    """Short documents with a part of the passage come first in the classes that they share."""
     rng = random.Random(12)
     made, shared = passages.Windows(), prose(rng, 60)
     longer = [f"{prose(rng, 150)} {shared} {prose(rng, 150)}" for _ in range(2)]
     w = made.of(longer)
     common = set(w["key"][w["row"] == 0].tolist()) & set(w["key"][w["row"] == 1].tolist())
-    words, short = longer[0].split(), []
-    for key, c, row in zip(w["key"].tolist(), w["c"].tolist(), w["row"].tolist()):
-        for _ in range(60 if row == 0 and key in common else 0):
-            filler = prose(rng, 50).split()
-            text = " ".join([*filler[:25], *words[max(0, c - 8) : c + 13], *filler[25:]])
-            if key in made.of([text])["key"].tolist():
-                short.append(text)
-                break
+    words, short = shared.split(), []
+    for at in range(0, 31):
+        filler = prose(rng, 50).split()
+        text = " ".join([*filler[:25], *words[at : at + 30], *filler[25:]])
+        if common & set(made.of([text])["key"].tolist()):
+            short.append(text)
     assert len(short) >= 3
     rows = [(k, t) for k, t in enumerate([*longer, *short])]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert any({r.doc_id, r.of_doc_id} == {0, 1} and r.end - r.start >= 60 for r in found)
 
 
+def test_passages_against_brute_force(spark):
+    """Recall of planted near passages by similarity, in pairs of documents and in families of eight."""
+    rng = random.Random(31)
+    rows, due = [], []
+
+    def edited(passage, share):
+        return " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in passage.split())
+
+    for k in range(240):
+        passage, share = prose(rng, rng.choice((60, 90, 150))), rng.choice((0.0, 0.004, 0.01, 0.02))
+        members = []
+        for _ in range(8 if k % 6 == 0 else 2):
+            members.append((len(rows), edited(passage, share)))
+            rows.append((len(rows), f"{prose(rng, 80)} {members[-1][1]} {prose(rng, 80)}"))
+        sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in members]
+        for i, x in enumerate(members):
+            like = max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(members)) if j != i)
+            if like >= 0.8:
+                due.append((x[0], like))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {r.doc_id for r in found} | {r.of_doc_id for r in found}
+    for low, high, least in ((0.8, 0.9, 0.9), (0.9, 1.0, 0.97), (1.0, 2.0, 1.0)):
+        some = [i for i, like in due if low <= like < high]
+        assert len(some) > 30 and sum(i in hit for i in some) >= least * len(some), (low, sum(i in hit for i in some), len(some))
+
+
+def test_a_class_of_many_parts_is_dealt_out(spark, monkeypatch):
+    """A salted class: members link to their part's first, the firsts to the first of all."""
+    monkeypatch.setattr(passages, "HOT", 1e-6)
+    monkeypatch.setattr(passages, "SALTS", 4)
+    rng = random.Random(6)
+    shared = prose(rng, 60)
+    rows = [(k, f"{prose(rng, 30 + k % 7)} {shared} {prose(rng, 30)}") for k in range(60)] + [(k, prose(rng, 120)) for k in range(60, 80)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} | {r.of_doc_id for r in found} == set(range(60)) and len({r.doc_id for r in found}) == 59
+
+
 def test_near_copies_join_landmarks_of_different_groups(spark):
     """L1 ~ A ~ B ~ L2, where only L1 and L2 are landmarks and L1, L2 are far apart."""
     rng = random.Random(21)
