@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import materialise, small_batches
+from .common import materialise, repeats, small_batches
 
 #: Differing bits up to which two fingerprints link. The two halves of the
 #: grid with one step each are complete for this bound, not for more.
@@ -131,23 +131,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-# Near copies by a stated similarity: the same grid with segments of one bit.
+# Near copies by a stated similarity: the same fingerprints, with segments of one bit.
 
-#: Differing bits up to which the distinct words' fingerprints are compared: four
-#: blocks of the grid, one of which differs by one step at most.
-WORD_BITS = 7
-#: Differing bits up to which the shingles' fingerprints are compared.
-SHINGLE_BITS = 14
-#: One document in so many is a landmark.
-LANDMARKS = 64
+#: Blocks of the distinct words' fingerprint, eight one-bit segments each; a block's cell is its own point.
+BLOCKS = 8
+#: Longs of the shingles' fingerprint, and the differing bits up to which it lets a pair through. At a similarity
+#: of 0.8 the angle is 27 degrees, so 39 of 256 bits differ, with a deviation of 5.7.
+LONGS, SHINGLE_BITS = 4, 56
+#: Rounds of links to hubs.
+ROUNDS = 3
+#: A key with more than this part of all members is joined by broadcast; there are at most 1 / HOT such keys.
+HOT = 1e-3
 
 
-def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the fingerprint of its distinct words, that of its five-word
-    shingles (fewer words: the whole sequence), and a hash of the word sequence."""
-    from .passages import SHINGLE, WordHashes, _blocks, _mix, _shingled
+def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the fingerprint of its distinct words, those (``LONGS``) of its five-word
+    shingles, its least shingles under ``BLOCKS`` hash functions, and a hash of the word sequence.
+    A text of fewer words is one shingle."""
+    from .passages import SHINGLE, WordHashes, _blocks, _constants, _mix, _shingled
 
-    hashes, parts = WordHashes(), []
+    seeds, hashes, parts = _constants(LONGS + BLOCKS, 5), WordHashes(), []
     for _, block in _blocks(texts):
         ids, n = hashes.of(block)
         owner = np.repeat(np.arange(len(n)), n)
@@ -160,36 +163,45 @@ def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         whole = np.zeros(len(n), np.uint64)
         np.add.at(whole, owner, placed)
         s = _shingled(ids)
-        inside = owner[: len(s)] == owner[SHINGLE - 1 :]
-        m = np.bincount(owner[: len(s)][inside], minlength=len(n))
-        runs = majority(s[inside], m)
-        runs[(m == 0) & (n > 0)] = _mix(whole[(m == 0) & (n > 0)])
-        parts.append((words, runs, whole))
-    return tuple(np.concatenate(x) if parts else np.zeros(0, np.uint64) for x in (zip(*parts) if parts else ((), (), ())))
-
-
-def _grid(rows: DataFrame, steps: str) -> DataFrame:
-    """Rows of each block's cells: the own one and those a step up, or a step either way."""
-    block = lambda k: F.shiftrightunsigned("fw", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    g = rows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(k).alias("cell")) for k in range(4)))).alias("g")).select(*rows.columns, "g.block", "g.cell")
-    if steps == "none":
-        return g
-    moved = [F.when((F.lit(steps == "both")) | (F.col("cell").bitwiseAND(F.lit(1 << d)) == 0), F.col("cell").bitwiseXOR(F.lit(1 << d))) for d in range(16)]
-    return g.withColumn("cell", F.explode(F.array_compact(F.array(F.col("cell"), *moved))))
+        s = s[owner[: len(s)] == owner[SHINGLE - 1 :]]
+        m = np.maximum(n - SHINGLE + 1, 0)
+        full = np.flatnonzero(m)
+        begins = (np.cumsum(m) - m)[full]
+        runs, least = np.zeros((len(n), LONGS), np.uint64), np.zeros((len(n), BLOCKS), np.uint64)
+        for k, seed in enumerate(seeds):
+            h = _mix(s ^ seed)
+            few = _mix(whole ^ seed)
+            if k < LONGS:
+                runs[:, k] = np.where(m > 0, majority(h, m), few)
+            else:
+                least[:, k - LONGS] = few
+                if len(full):
+                    least[full, k - LONGS] = np.minimum.reduceat(h, begins)
+        parts.append((words, runs, least, whole))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros((0, LONGS), np.uint64), np.zeros((0, BLOCKS), np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+_RUNS = [f"s{k}" for k in range(LONGS)]
+
+
+def _sketch_table(texts: DataFrame) -> DataFrame:
+    kind = texts.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, runs, least, whole = sketches(batch.column(1).to_pylist())
+            longs = [words, *runs.T, whole]
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(least).view(np.int64).ravel()), BLOCKS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in longs), cells], ["id", "words", *_RUNS, "whole", "least"])
 
-def _meet(left: DataFrame, right: DataFrame, steps: str, also: Column | None = None) -> DataFrame:
-    x = _grid(left, steps).select(*(F.col(c).alias(f"a_{c}") for c in left.columns), "block", "cell")
-    y = _grid(right, "none").select(*(F.col(c).alias(f"b_{c}") for c in right.columns), "block", "cell")
-    far = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    near = (far("fw") <= WORD_BITS) & (far("fs") <= SHINGLE_BITS) & (F.col("a_id") != F.col("b_id"))
-    near = near if also is None else near & also
-    return x.join(y, (x.block == y.block) & (x.cell == y.cell) & near).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    return texts.mapInArrow(run, f"id {kind}, words long, {', '.join(f'{r} long' for r in _RUNS)}, whole long, least array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets of five-word shingles are similar enough."""
-    from .passages import SHINGLE, WordHashes, _shingled
+    from .passages import SHINGLE, WordHashes, _aligned_blocks, _shingled
 
     pairs = materialise(pairs, "pairs")
     used = materialise(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
@@ -198,57 +210,83 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                ids, (n, _) = hashes.of([(ta or "").encode(), (tb or "").encode()])
-                x, y = ids[:n], ids[n:]
-                if min(len(x), len(y)) < SHINGLE:
-                    keep.append(np.array_equal(x, y))
-                    continue
-                u, v = np.unique(_shingled(x)), np.unique(_shingled(y))
-                c = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(c >= similarity * (len(u) + len(v) - c))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = np.zeros(batch.num_rows, bool)
+            names = [batch.column(k).to_pylist() for k in (0, 1)]
+            texts = tuple([t or "" for t in batch.column(k).to_pylist()] for k in (2, 3))
+            for rows, held in _aligned_blocks(names, texts, hashes):
+                sets = {k: np.unique(_shingled(ids)) for k, ids in held.items()}
+                for row in rows:
+                    a, b = names[0][row], names[1][row]
+                    if min(len(held[a]), len(held[b])) < SHINGLE:
+                        keep[row] = np.array_equal(held[a], held[b])
+                        continue
+                    c = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    keep[row] = c >= similarity * (len(sets[a]) + len(sets[b]) - c)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return materialise(both.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
 
 
+def _keys(members: DataFrame, depth: int) -> DataFrame:
+    """Members with the ``key`` of their block ``k``: the cell of the fingerprint's grid, split by the
+    least shingle under the block's hash function and ``depth`` more functions."""
+    splits = [F.element_at("least", (F.col("k") + d) % BLOCKS + 1) for d in range(depth + 1)]
+    return members.withColumn("key", F.xxhash64("k", "cell", *splits))
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Members of keys that two of them share, one of which isn't ``tied`` to a hub yet, with ``hub``: of the
+    key's members that which meets most others over all its keys (ties: the smallest id)."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("tied").isNull()).alias("open")).where("n > 1 AND open").select("key", "n")
+    live = materialise(members.join(sizes, "key"), "members")
+    degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = live.join(degree, "id")
+    hubs = materialise(ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "id", *_RUNS, "tied")).alias("hub")), "hubs")
+    total = live.count()
+    hot = F.broadcast(live.groupBy("key").count().where(F.col("count") > max(64, HOT * total)).select("key"))
+    common = live.join(hot, "key").join(F.broadcast(hubs.join(hot, "key")), "key")
+    return live.join(hot, "key", "left_anti").join(hubs, "key").unionByName(common)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose five-word shingles have a Jaccard similarity of
     ``similarity`` or more: ``doc_id``, ``component_id`` (least id of the group).
 
-    The fingerprint of the distinct words moves little under small edits, so it
-    goes on the grid; that of the shingles prunes what meets there; the shingle sets verify.
-    Large groups would link all their pairs: documents first meet landmarks (one
-    document in ``LANDMARKS``), and two that ties to landmarks put in one component aren't
-    compared any more. Null texts count as empty; rows without an id have no group; rows
+    The fingerprint of the distinct words moves little under small edits, so its blocks are the
+    grid. A grid of fixed cells fills up as a corpus grows, so each cell is split by a least shingle.
+    The members of such a key link to one hub, the member that meets most others, so a group of n copies costs
+    n rows a key, however similar its members are. What the shingles' fingerprint lets through
+    is verified on the whole shingle sets. Where some member isn't similar to its hub, the key's members other than
+    the hub meet again, split by one more least shingle, over ``ROUNDS`` rounds in all. Two members
+    tied to one hub are in one group already and not compared.
+
+    Null texts count as empty; rows without an id have no group; rows
     repeated with one id are one document, by its least text; an empty table gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("id")).agg(F.min(docs[text_col]).alias("text")) if _repeats(docs, id_col) else docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sketches(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["id", "fw", "fs", "body"])
-
-    rows = materialise(texts.mapInArrow(run, f"id {kind}, fw long, fs long, body long"), "sketches")
-    leaders = materialise(rows.groupBy("fw", "fs", "body").agg(F.min("id").alias("id")), "leaders")
-    slim = leaders.select("id", "fw", "fs")
-    marks = slim.where(F.pmod(F.xxhash64("id"), F.lit(LANDMARKS)) == 0)
-    tied = _verified(_meet(marks, slim, "both"), texts, similarity)
-    ends = components.connected(tied, spark).select(F.col("node").alias("id"), F.col("root").alias("tied")).distinct()
-    marked = materialise(slim.join(ends, "id", "left").select("id", "fw", "fs", "tied"), "tied")
-    apart = F.col("a_tied").isNull() | F.col("b_tied").isNull() | (F.col("a_tied") != F.col("b_tied"))
-    loose = _verified(_meet(marked, marked, "up", apart), texts, similarity)
-    labels = components.connected(tied.unionByName(loose), spark)
-    groups = leaders.join(labels, leaders.id == labels.node, "left").select("fw", "fs", "body", F.coalesce("root", "id").alias("component_id"))
-    return rows.join(groups, ["fw", "fs", "body"]).select(F.col("id").alias("doc_id"), "component_id")
-
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    """Whether an id occurs twice; reads the ids alone."""
-    return docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("id")).count().where("count > 1").limit(1).count() > 0
+    texts = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    if repeats(texts, "id"):
+        texts = materialise(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    rows = materialise(_sketch_table(texts), "sketches")
+    body = ["words", *_RUNS, "whole"]
+    leaders = materialise(rows.groupBy(*body).agg(F.min("id").alias("id"), F.min("least").alias("least")), "leaders")
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("words", 8 * k).bitwiseAND(F.lit(255)).alias("cell")) for k in range(BLOCKS)))
+    members = leaders.select("id", *_RUNS, "least", F.inline(cells), F.lit(None).cast(leaders.schema["id"].dataType).alias("tied"))
+    edges = None
+    for depth in range(ROUNDS):
+        met = materialise(_hubs(_keys(members, depth)), "met")
+        far = sum(F.bit_count(F.col(r).bitwiseXOR(F.col(f"hub.{r}"))) for r in _RUNS)
+        apart = F.col("tied").isNull() | F.col("hub.tied").isNull() | (F.col("tied") != F.col("hub.tied"))
+        pairs = met.where((F.col("id") != F.col("hub.id")) & (far <= SHINGLE_BITS) & apart)
+        pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        found = _verified(pairs, texts, similarity)
+        edges = found if edges is None else edges.unionByName(found)
+        if depth + 1 < ROUNDS:
+            ends = found.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("with")))
+            left = met.where("id <> hub.id").join(ends, (met.id == ends.id) & (met.hub.id == ends["with"]), "left").select(met["*"], ends["with"].alias("now"))
+            members = left.select("id", *_RUNS, "least", "k", "cell", F.coalesce("tied", "now").alias("tied"))
+    labels = components.connected(edges, spark)
+    groups = leaders.join(labels, leaders.id == labels.node, "left").select(*body, F.coalesce("root", "id").alias("component_id"))
+    return rows.join(groups, body).select(F.col("id").alias("doc_id"), "component_id")

@@ -228,21 +228,32 @@ def test_a_class_of_many_parts_is_dealt_out(spark, monkeypatch):
     assert {r.doc_id for r in found} | {r.of_doc_id for r in found} == set(range(60)) and len({r.doc_id for r in found}) == 59
 
 
-def test_near_copies_join_landmarks_of_different_groups(spark):
-    """L1 ~ A ~ B ~ L2, where only L1 and L2 are landmarks and L1, L2 are far apart."""
+def near_rows(rng, base, n, share):
+    return [" ".join(f"e{rng.randrange(10**7)}" if rng.random() < share else w for w in base) for _ in range(n)]
+
+
+def test_near_copies_against_brute_force(spark):
+    """Pairs at a similarity of 0.8 and a little more, and two large groups of copies, most of which are less similar to each other."""
     rng = random.Random(21)
-    ids = spark.range(1, 2000).select("id", F.pmod(F.xxhash64("id"), F.lit(simhash.LANDMARKS)).alias("m")).collect()
-    marks, plain = [r.id for r in ids if r.m == 0][:2], [r.id for r in ids if r.m != 0][:2]
-    texts = [prose(rng, 300).split()]
-    for step in range(3):
-        now = list(texts[-1])
-        for k in range(3):
-            now[20 + 100 * step + 30 * k] = f"edit{step}x{k}"
-        texts.append(now)
-    sets = [{tuple(t[k : k + 5]) for k in range(296)} for t in texts]
-    like = lambda x, y: len(x & y) / len(x | y)
-    least = min(like(x, y) for x, y in zip(sets, sets[1:]))
-    assert like(sets[0], sets[2]) < least and like(sets[1], sets[3]) < least
-    rows = list(zip([marks[0], *plain, marks[1]], map(" ".join, texts)))
-    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), similarity=least - 0.001).collect()
-    assert {r.component_id for r in got} == {min(i for i, _ in rows)}
+    texts = []
+    for k in range(150):
+        base = prose(rng, rng.choice((60, 150, 400))).split()
+        texts += [" ".join(base), *near_rows(rng, base, 1, rng.choice((0.01, 0.018)))]
+    for share in (0.018, 0.03):
+        texts += near_rows(rng, prose(rng, 200).split(), 150, share)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    where = {}
+    for i, x in enumerate(sets):
+        for gram in x:
+            where.setdefault(gram, []).append(i)
+    near = {(i, j) for ids in where.values() for i in ids for j in ids if i < j}
+    pairs = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = plain_groups(range(len(texts)), pairs)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(rows).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())
+    small = [(i, j) for i, j in pairs if j < 300]
+    assert len(small) > 60 and sum(got[i] == got[j] for i, j in small) >= 0.97 * len(small)
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    spare = lambda of: sum(i != c for i, c in of.items())
+    assert spare(got) >= 0.95 * spare(want)
