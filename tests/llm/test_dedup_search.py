@@ -139,11 +139,23 @@ def test_topk_equals_brute_force(spark):
 def test_threshold_search_stops_early_and_is_exact():
     rng = np.random.default_rng(2)
     x = (rng.pareto(1.2, (4000, 4)) * 10).astype(np.int64)
-    lists = topk.SortedLists(np.arange(4000), x)
-    q = np.array([5, 3, 0, -1])
-    ids, scores = lists.search(q, 17, 20)
-    other = np.arange(4000) != 17
-    assert list(zip(ids, scores)) == list(zip(*topk.best(np.arange(4000)[other], (x @ q)[other], 20)))
+    dense = np.floor(64 * rng.normal(0, 0.125, (4000, 64))).astype(np.int64)
+    dense[:300] = dense[rng.integers(300, 4000, 300)]  # ties
+    for vectors, q, most in ((x, np.array([5, 3, 0, -1]), 0.1), (x, np.zeros(4, np.int64), 0.0), (dense, dense[9], 1.0), (dense, -dense[3999], 1.0)):
+        for kind in (np.int64, np.float64, object):
+            lists = topk.SortedLists(np.arange(4000), vectors.astype(kind))
+            ids, scores, read = lists.search(q.astype(kind), 17, 20)
+            order = sorted((-s, i) for i, s in enumerate((vectors @ q).tolist()) if i != 17)[:20]
+            assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == order
+            assert read <= most * vectors.size
+    few = topk.SortedLists(np.arange(3), dense[:3])
+    assert few.search(dense[5], 1, 20)[0].tolist() == sorted((0, 2), key=lambda i: -(dense[i] @ dense[5]))
+
+
+def test_topk_of_components_beyond_64_bits(spark):
+    rows = [(0, [3e38, 1.0]), (1, [2e38, 5.0]), (2, [1.0, 1.0]), (3, [-3e38, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]
 
 
 def test_warc_round_trip(spark, tmp_path):
