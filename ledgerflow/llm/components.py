@@ -12,7 +12,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
-def connected(edges: DataFrame, spark: SparkSession | None = None, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, spark: SparkSession | None = None, rounds: int = 200) -> DataFrame:
     """``node``, ``root``: the smallest node of each edge's component.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type; nodes without an
@@ -20,7 +20,8 @@ def connected(edges: DataFrame, spark: SparkSession | None = None, rounds: int =
     larger neighbours onto its smallest one, then every node's smaller ones, which
     shrinks the depth by a constant factor; it stops when no row changes. Rounds
     are aggregations and joins by key, never a collected component, and each
-    writes its edges to the shared folder.
+    writes its edges to the shared folder. Rounds grow with the logarithm of the depth; where
+    ``rounds`` of them don't do, it's an error.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -35,4 +36,6 @@ def connected(edges: DataFrame, spark: SparkSession | None = None, rounds: int =
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -35,8 +35,8 @@ class Shape:
     rate: float = 0.01
     seed: int = 7
     sample_docs: int = 4000  # labelled documents that training reads, all languages together
-    sample_bytes: int = 2048  # of each, from its start
-    languages: int = 200  # most frequent labels that can be learned
+    least_docs: int = 20  # of each language, however many there are
+    sample_windows: int = 4  # of each document, spread over the whole text
 
 
 class ByteConvNet:
@@ -167,28 +167,38 @@ class ByteConvNet:
 def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, shape: Shape = Shape()) -> ByteConvNet | None:
     """Fit the network on at most about ``sample_docs`` labelled rows.
 
-    The sample takes an equal share of each language, by the hash of ``key``;
-    rows with a null text or label never take part. None if there's no such row.
+    The sample takes an equal share of each language, by the hash of ``key`` (a null one
+    counts as such), and ``least_docs`` at least; of each text ``sample_windows`` windows from all over it. Rows with a null
+    text or label never take part. Every label can be learned. None if there's no such row.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(shape.languages).collect()}
-    if not counts:
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key).alias("h"))
+    counts = rows.groupBy("lang").count()
+    labels = sorted(r[0] for r in counts.select("lang").collect())
+    if not labels:
         return None
-    share = shape.sample_docs / len(counts)
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))])
-    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < rate[F.col(lang_col)] * 1_000_000)
-    got = picked.select(F.col(lang_col), F.substring(F.col(text_col), 1, shape.sample_bytes), F.xxhash64(key).alias("h")).orderBy("h").limit(2 * shape.sample_docs).collect()
-    labels = sorted(counts)
+    share = max(float(shape.least_docs), shape.sample_docs / len(labels))
+    rates = counts.select("lang", F.least(F.lit(1.0), share / F.col("count")).alias("rate"))
+    picked = rows.join(rates, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("lang", "text", "h")
+    small_batches(labelled.sparkSession)
     net = ByteConvNet(labels, shape)
-    xs, ys = [], []
-    for lang, text, _ in got:
-        if text and any(map(str.isalpha, text)):
-            x, weight = net.windows(text.encode()[: shape.sample_bytes])
-            x = x[(weight >= shape.window // 4) | (np.arange(len(x)) == 0)][:4]
-            xs.append(x)
-            ys += [labels.index(lang)] * len(x)
-    if xs and len(labels) > 1:
-        net.fit(np.concatenate(xs), np.array(ys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns)):
+                if any(map(str.isalpha, text)):
+                    x, weight = net.windows(text.encode())
+                    x = x[(weight >= shape.window // 4) | (np.arange(len(x)) == 0)]
+                    for k in sorted({(2 * k + 1) * len(x) // (2 * shape.sample_windows) for k in range(shape.sample_windows)}):
+                        for column, value in zip(out, (lang, x[k].tobytes(), h)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.binary(), pa.int64()))], ["lang", "x", "h"])
+
+    most = 2 * int(share * len(labels)) * shape.sample_windows  # far more than the sample has
+    got = picked.mapInArrow(run, "lang string, x binary, h long").orderBy("h", "lang", "x").limit(most).collect()
+    if got and len(labels) > 1:
+        at = {lang: k for k, lang in enumerate(labels)}
+        net.fit(np.stack([np.frombuffer(r.x, np.uint8) for r in got]), np.array([at[r.lang] for r in got]))
     return net
 
 

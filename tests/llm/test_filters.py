@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,46 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert language_id.train(df.where("false"), "text", "lang", F.col("doc_id")) is None
     assert {r.lang_pred for r in language_id.predict_language(df, None).collect()} == {"und"}
     assert language_id.predict_language(df.where("false"), net).count() == 0
+
+
+def test_language_is_learned_past_a_text_s_start_and_for_many_labels(spark):
+    rows = [(k, "12345 67890 " * 200 + ("ab ba " if k % 2 else "xy yx ") * 150, "one" if k % 2 else "two") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(df, "text", "lang", F.col("doc_id"))
+    got = language_id.predict_language(df.select("doc_id", F.expr("substring(text, 2401, 900)").alias("text"), "lang"), net).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+    many = spark.createDataFrame([(k, "abc def", f"l{k % 260}") for k in range(520)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many, "text", "lang", F.col("doc_id"), language_id.Shape(epochs=1)).labels) == 260
+
+
+def test_network_equals_a_plain_one():
+    """Forward pass and gradient, by loops and by differences."""
+    shape = language_id.Shape(window=12, epochs=1, batch=4, filters=2, embedding=3)
+    net = language_id.ByteConvNet(["a", "b"], shape)
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 256, (4, 12)).astype(np.uint8), np.array([0, 1, 0, 1])
+
+    def logs(row):
+        pooled = []
+        for f in range(net.n):
+            width = shape.widths[f // shape.filters]
+            best = max(sum(float(net.conv[f, k] @ net.emb[:, row[p + k]]) for k in range(width)) for p in range(12 - net.wide + 1))
+            pooled.append(max(best + float(net.bias[f]), 0.0))
+        z = net.out @ np.array(pooled) + net.out_bias
+        return z - np.log(np.exp(z).sum())
+
+    assert np.allclose(net.log_probabilities(x), [logs(r) for r in x], atol=1e-4)
+    loss = lambda: -np.mean([logs(r)[k] for r, k in zip(x, y)])
+    before, kept = loss(), {k: getattr(net, k).copy() for k in ("emb", "conv", "bias", "out", "out_bias")}
+    net.fit(x, y)  # one Adam step moves each weight by the rate against its gradient's sign
+    for name, was in kept.items():
+        now = getattr(net, name)
+        moved = [i for i in np.ndindex(was.shape) if abs(now[i] - was[i]) > 0.5 * shape.rate][:12]
+        after = now.copy()
+        for other, value in kept.items():
+            setattr(net, other, value.copy())
+        for i in moved:
+            getattr(net, name)[i] += np.float32(1e-3) * np.sign(after[i] - was[i])
+            assert loss() <= before + 1e-6
+            getattr(net, name)[i] = was[i]
+        setattr(net, name, after)
