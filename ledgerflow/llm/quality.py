@@ -9,7 +9,7 @@ exceeds a chi-square-scale cutoff.
 
 Sums of integers don't depend on the order of rows, so the estimates don't
 depend on the partitioning. The h-subset is cut at a histogram of distances
-(sixteenths), so no group is ever collected or sorted: all aggregates combine map-side and
+(sixteenths at first), so no group is ever collected or sorted: all aggregates combine map-side and
 their rows are bounded by groups times histogram cells. A fixed ridge keeps the
 covariance regular where statistics are constant, as most are in clean text.
 """
@@ -27,8 +27,10 @@ from .common import materialise
 _P = 4
 _SCALE = 256  # integer steps of a transformed statistic's unit
 _SHARE = 0.75  # of a group's rows in the h-subset
-_CELL = 16  # histogram cells of a unit of squared distance
-_LAST = 65_535
+#: Histogram cells of a squared distance: sixteenths up to 256, from there 256 cells a factor of e, without an end.
+_CELL = "CAST(floor(CASE WHEN {d2} < 256 THEN 16 * {d2} ELSE 4096 + 256 * ln({d2} / 256) END) AS BIGINT)"
+#: Groups of language and source up to which one row for each is broadcast; more of them are shuffled.
+BROADCAST_GROUPS = 10_000
 #: Ridge of each statistic, as standard deviations in transformed units:
 #: log words, log mean word length, log share of symbols, log share of repeats.
 RIDGE = (0.5, 0.08, 0.4, 0.8)
@@ -136,7 +138,7 @@ def _shape(factor: float) -> str:
 
 
 _DISTANCE = """
-SELECT v.gl, v.gs, e.start, v.t1, v.t2, v.t3, v.t4, v.w, e.det,
+SELECT {hint} v.gl, v.gs, e.start, v.t1, v.t2, v.t3, v.t4, v.w, e.det,
        {d2} AS d2
 FROM {vectors} AS v JOIN {estimates} AS e ON v.gl = e.gl AND v.gs = e.gs"""
 
@@ -162,21 +164,24 @@ SELECT gl, gs, 1 AS start,
 FROM upto WHERE 2 * below >= n GROUP BY gl, gs"""
 
 _SUBSET = """
-WITH cells AS (SELECT gl, gs, start, least({last}, CAST(floor({cell} * d2) AS BIGINT)) AS b, sum(w) AS c FROM {distances} GROUP BY 1, 2, 3, 4),
+WITH cells AS (SELECT gl, gs, start, {own} AS b, sum(w) AS c FROM {distances} GROUP BY 1, 2, 3, 4),
 upto AS (SELECT gl, gs, start, b, sum(c) OVER (PARTITION BY gl, gs, start ORDER BY b) AS below, sum(c) OVER (PARTITION BY gl, gs, start) AS n FROM cells),
 cuts AS (SELECT gl, gs, start, min(b) AS cut FROM upto WHERE below >= {share} * n GROUP BY gl, gs, start)
-SELECT v.gl, v.gs, v.start, {moments}
+SELECT {hint} v.gl, v.gs, v.start, {moments}
 FROM {distances} AS v JOIN cuts AS k ON v.gl = k.gl AND v.gs = k.gs AND v.start = k.start
-WHERE least({last}, CAST(floor({cell} * v.d2) AS BIGINT)) <= k.cut GROUP BY v.gl, v.gs, v.start"""
+WHERE {theirs} <= k.cut GROUP BY v.gl, v.gs, v.start"""
 
 _WINNER = """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY gl, gs ORDER BY det, start) AS place FROM {estimates})
 SELECT * FROM r WHERE place = 1"""
 
 
-def statements() -> list[tuple[str, str]]:
+def statements(broadcast: bool = False) -> list[tuple[str, str]]:
     """(name, SQL) of the whole estimate, in order; each reads earlier names.
-    ``counts`` must be there; ``winner`` has each group's estimate."""
+    ``counts`` must be there; ``winner`` has each group's estimate. ``broadcast`` hints
+    (a comment to other engines) that the rows of groups are few."""
+    hint = lambda name: f"/*+ BROADCAST({name}) */" if broadcast else ""
+    cells = {"own": _CELL.format(d2="d2"), "theirs": _CELL.format(d2="v.d2")}
     spread = ", ".join(f"{_number(4 * RIDGE[i - 1] * _SCALE if i == j else 0.0)} AS l{i}{j}" for i in range(1, _P + 1) for j in range(1, i + 1))
     medians = ", ".join(f"CAST(min(CASE WHEN d = {i} THEN t END) AS DOUBLE) AS m{i}" for i in range(1, _P + 1))
     out = [
@@ -186,8 +191,8 @@ def statements() -> list[tuple[str, str]]:
     ]
     for k in range(1, STEPS + 1):
         out += [
-            (f"distances{k}", _DISTANCE.format(vectors="vectors", estimates=f"estimates{k - 1}", d2=_d2())),
-            (f"moments{k}", _SUBSET.format(distances=f"distances{k}", last=_LAST, cell=_CELL, share=_SHARE, moments=_MOMENT_LIST)),
+            (f"distances{k}", _DISTANCE.format(hint=hint("e"), vectors="vectors", estimates=f"estimates{k - 1}", d2=_d2())),
+            (f"moments{k}", _SUBSET.format(hint=hint("k"), distances=f"distances{k}", share=_SHARE, moments=_MOMENT_LIST, **cells)),
             (f"estimates{k}", _shape(consistency()).format(moments=f"moments{k}")),
         ]
     return [*out, ("winner", _WINNER.format(estimates=f"estimates{STEPS}"))]
@@ -209,11 +214,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = base_counts(docs.select(*(c.alias(n) for n, c in cols.items()))).drop("text")
     counts = materialise(rows, "counts")
     held = {"counts": counts}
-    for name, sql in statements():
+    groups = counts.select("lang", "source").distinct().limit(BROADCAST_GROUPS + 1).count()
+    few = groups <= BROADCAST_GROUPS
+    for name, sql in statements(few):
         # what several later steps read, or what would nest, is written out
         df = spark.sql(re.sub(r"\b(FROM|JOIN) (counts|vectors|winner|(?:moments|estimates|distances)\d)\b", r"\1 {\2}", sql), **_used(sql, held))
         held[name] = materialise(df, name) if name.startswith(("vectors", "distances", "estimates")) else df
-    scored = spark.sql("SELECT v.gl, v.gs, v.t1, v.t2, v.t3, v.t4, " + _d2() + " AS distance2 FROM {vectors} AS v JOIN {winner} AS e ON v.gl = e.gl AND v.gs = e.gs", vectors=held["vectors"], winner=held["winner"])
+    scored = spark.sql(f"SELECT {'/*+ BROADCAST(e) */' if few else ''} v.gl, v.gs, v.t1, v.t2, v.t3, v.t4, " + _d2() + " AS distance2 FROM {vectors} AS v JOIN {winner} AS e ON v.gl = e.gl AND v.gs = e.gs", vectors=held["vectors"], winner=held["winner"])
     return attach(counts, scored, cutoff)
 
 
