@@ -1,28 +1,28 @@
 """Operator 7: token counts by a map-side two-tier lookup.
 
-First pass: every task counts the pieces of its own rows in a bounded summary
-and gives its heaviest pieces; their sums over all tasks choose a fixed number of frequent
-pre-tokens (``table_size``), whose lengths the driver encodes and broadcasts as
-one compact table. Second pass, over all rows: lengths of frequent pre-tokens
-come from that table, others are encoded once by each worker and kept in its
-bounded cache. The table only saves time; it never changes a count. No
-pre-token is shuffled, but for the bounded summaries.
+A bounded sample of rows (``sample_rows``, read by ``SAMPLE_TASKS`` tasks) gives the frequent
+pre-tokens: each task counts in a bounded summary, the driver adds up and keeps ``table_size`` of them,
+whose lengths it encodes and broadcasts as one compact table. All rows are then mapped: the length of a pre-token
+comes from that table, another is encoded once by each worker and kept in its
+bounded cache; a memo of space-led pieces before both saves splitting a piece again. Table and sample only save time; they
+never change a count, and no pre-token of the corpus is shuffled.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import GenerationCache, small_batches, vocabulary_path
 from .pretokens import PieceEncoder
 
-#: Pieces over this length never enter the table: they bound its bytes.
+#: Pre-tokens over this length never enter the table: they bound its bytes.
 LONGEST = 32
+#: Tasks that count the sample; each gives ``per_task`` rows to the driver at most.
+SAMPLE_TASKS = 8
 
 
 class _Counter:
@@ -35,12 +35,11 @@ class _Counter:
         self._model = self._tokenizer.model
         special = {t.content: 1 for t in self._tokenizer.get_added_tokens_decoder().values()}
         self._bytes = _byte_letters()
-        self._frequent = frequent
-        self._pieces = PieceEncoder(self._match, sum, special)
+        self._pieces = PieceEncoder(lambda match: len(encode_match(self._model, self._bytes, match)), sum, special)
+        self._pieces.matches = _TwoTier(self._pieces.matches, frequent)
 
-    def _match(self, match: str) -> int:
-        known = self._frequent.get(match)
-        return known if known is not None else len(self._model.tokenize(match.encode().decode("latin-1").translate(self._bytes)))
+    def length(self, match: str) -> int:
+        return self._pieces.matches[match]
 
     def count(self, text: str | None) -> int:
         return self._pieces.encode(text)
@@ -59,32 +58,37 @@ def encode_match(model, letters: dict[int, int], match: str):
     return model.tokenize(match.encode().decode("latin-1").translate(letters))
 
 
-def frequent_pieces(texts: DataFrame, table_size: int, per_task: int) -> list[str]:
-    """The heaviest space-led pieces of all rows, ``table_size`` at most.
+def frequent_pretokens(texts: DataFrame, table_size: int, per_task: int, sample_rows: int) -> list[str]:
+    """The heaviest pre-tokens of the sample, ``table_size`` at most.
 
     A task keeps a Misra-Gries summary of ``8 * per_task`` counters and gives
     the ``per_task`` heaviest, so its memory and its output are bounded.
     """
+    rows = texts.count()
+    sample = texts if rows <= sample_rows else texts.sample(sample_rows / rows, seed=11)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+        import public_tokenizers
+        import regex
 
-        held: Counter = Counter()
+        find, held = regex.compile(public_tokenizers.PATTERN).findall, Counter()
         for batch in batches:
             for text in batch.column(0):
-                held.update((text.as_py() or "").split(" "))
+                held.update(find(text.as_py() or ""))
                 if len(held) > 64 * per_task:
                     floor = sorted(held.values(), reverse=True)[8 * per_task]
                     held = Counter({k: v - floor for k, v in held.items() if v > floor})
-        top = [(k, v) for k, v in held.most_common(per_task) if 0 < len(k) <= LONGEST and not re.search(r"\s", k)]
+        top = [(k, v) for k, v in held.most_common(per_task) if len(k) <= LONGEST and "\n" not in k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["piece", "n"])
 
-    found = texts.mapInArrow(summarise, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in found.orderBy(F.desc("n"), "piece").limit(table_size).collect()]
+    held: Counter = Counter()
+    for r in sample.repartition(SAMPLE_TASKS).mapInArrow(summarise, "piece string, n long").collect():
+        held[r.piece] += r.n
+    return [k for k, _ in sorted(held.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
 
 
 def token_counts(
-    docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text", table_size: int = 16_384, per_task: int = 4096
+    docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text", table_size: int = 16_384, per_task: int = 8192, sample_rows: int = 4000
 ) -> DataFrame:
     """Count the tokens of every whole text, one row per input row.
 
@@ -94,22 +98,15 @@ def token_counts(
     """
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col], docs[text_col])
-    pieces = frequent_pieces(docs.select(docs[text_col]), table_size, per_task)
+    frequent = frequent_pretokens(docs.select(docs[text_col]), table_size, per_task, sample_rows)
     counter = _Counter(vocabulary, {})
-    lengths = bytearray()
-    kept = []
-    for piece in pieces:
-        if (n := counter.count(" " + piece)) < 256:
-            kept.append(piece)
-            lengths.append(n)
-    compact = docs.sparkSession.sparkContext.broadcast((" ".join(kept), bytes(lengths)))
+    lengths = [counter.length(m) for m in frequent]
+    compact = docs.sparkSession.sparkContext.broadcast(("\n".join(frequent), lengths))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, numbers = compact.value
-        frequent = dict(zip(names.split(" "), numbers)) if numbers else {}
-        counter = _Counter(vocabulary, {" " + k: v for k, v in frequent.items()})
-        counter._pieces.pieces = _TwoTier(counter._pieces.pieces, frequent)
+        counter = _Counter(vocabulary, dict(zip(names.split("\n"), numbers)) if numbers else {})
         for batch in batches:
             texts = batch.column(1).to_pylist()
             tokens = [counter.count(t) for t in texts]
@@ -128,5 +125,5 @@ class _TwoTier(dict):
         super().__init__(frequent)
         self._cache = cache
 
-    def __missing__(self, piece: str) -> int:
-        return self._cache[piece]
+    def __missing__(self, match: str) -> int:
+        return self._cache[match]
