@@ -5,10 +5,14 @@ of bins is open; a bitset has bit ``f`` set while some open bin has ``f`` free
 tokens, so the tightest bin that fits is the lowest set bit from the piece's
 length on. When a piece fits in none and all bins are open, the fullest (the
 lowest set bit) closes first. State is bounded by the number of open bins.
+
+Bins that are open when a task ends would stay part-empty, more of them the more tasks there are.
+So the pieces of those bins, some hundreds a task, go through a second pass of the same best-fit over few tasks.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -16,15 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, vocabulary_path
+from .common import materialise, small_batches, vocabulary_path
 from .pretokens import PieceEncoder
 from .token_counts import _byte_letters, encode_match
 
 
+#: Pieces that a task of the second pass takes at most.
+REPACKED = 500_000
+
+
 class BestFit:
     """Bounded-space online best-fit: ``place(length) -> (bin, offset)``.
 
     Bins are numbered in the order they open; a length must be 1 to ``capacity``.
+    ``closed`` gathers the bins that take no more.
     """
 
     def __init__(self, capacity: int, open_bins: int):
@@ -33,6 +42,7 @@ class BestFit:
         self.bits = 0
         self.n_open = 0
         self.next = 0
+        self.closed: list[int] = []
 
     def place(self, length: int) -> tuple[int, int]:
         fitting = self.bits >> length
@@ -41,7 +51,7 @@ class BestFit:
             home = self._take(space)
         else:
             if self.n_open >= self.most:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))  # the fullest closes
                 self.n_open -= 1
             home, space = self.next, self.capacity
             self.next += 1
@@ -52,6 +62,7 @@ class BestFit:
             self.bits |= 1 << left
         else:
             self.n_open -= 1
+            self.closed.append(home)
         return home, self.capacity - space
 
     def _take(self, space: int) -> int:
@@ -96,34 +107,66 @@ def pack(
     ``ids_crc32``, ``sequence_id``, ``offset`` and, with ``keep_ids``, ``ids``.
     Null text counts as empty and packs its ``end_id`` alone. Repeated rows are
     packed each; an empty table gives no row. Sequence numbers hold the task in
-    their upper bits, so tasks need no exchange: nothing is shuffled, and a task
+    their upper bits, so tasks need no exchange. The first pass is written to the shared folder, for the second
+    takes the pieces of bins left open, ``REPACKED`` of them a task at most; no text is shuffled, and a task
     that runs again gives the same rows for the same input.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
-    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
-    types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"] + ["ids"] * keep_ids
+    types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-
         encode, bins = _Ids(vocabulary).encode, BestFit(capacity, open_bins)
+        held: dict[int, list[list]] = {}  # rows of open bins
+        base = key_type = None
+
+        def made(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(range(len(names)), [key_type, *types[1:]])], names)
+
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            base = batch.column(2)[0].as_py() if batch.num_rows else 0
+            if base is None and batch.num_rows:
+                base, key_type = batch.column(2)[0].as_py() << 33, batch.schema.field(0).type
+            done: list[list] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     home, offset = bins.place(length)
-                    row = [key, k, start, length, crc32(part), (base << 33) + home, offset]
-                    if keep_ids:
-                        row.append(array("I", part).tolist())
-                    for column, value in zip(rows, row):
-                        column.append(value)
-            types[0] = batch.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
-
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
-    return docs.select(docs[id_col], docs[text_col], F.spark_partition_id().cast("long").alias("_task")).mapInArrow(run, schema)
+                    row = [key, k, start, length, crc32(part), base + home, offset, False]
+                    held.setdefault(home, []).append(row + [array("I", part).tolist()] * keep_ids)
+                for home in bins.closed:
+                    done += held.pop(home)
+                bins.closed.clear()
+            if done:
+                yield made(done)
+        if held:
+            yield made([r[:7] + [True] + r[8:] for rows in held.values() for r in rows])
+
+    columns = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ids = ", ids array<int>" * keep_ids
+    first = docs.select(docs[id_col], docs[text_col], F.spark_partition_id().cast("long").alias("_task")).mapInArrow(run, f"{columns}, open boolean{ids}")
+    first = materialise(first, "packed")
+    left = first.where("open").drop("open")
+    tasks = max(1, -(-left.count() // REPACKED))
+    return first.where("NOT open").drop("open").unionByName(_repacked(left.repartition(tasks), capacity, open_bins))
+
+
+def _repacked(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
+    """The second pass: new sequences and offsets of ``pieces``, by their lengths."""
+    at = pieces.columns.index("length"), pieces.columns.index("sequence_id"), pieces.columns.index("offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, base = BestFit(capacity, open_bins), None
+        for batch in batches:
+            if base is None and batch.num_rows:
+                base = (1 << 62) + (batch.column(batch.num_columns - 1)[0].as_py() << 33)
+            places = [bins.place(n) for n in batch.column(at[0]).to_pylist()]
+            bins.closed.clear()
+            columns = dict(enumerate(batch.columns[:-1]))
+            columns[at[1]] = pa.array([base + home for home, _ in places], pa.int64())
+            columns[at[2]] = pa.array([offset for _, offset in places], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), batch.schema.names[:-1])
+
+    return pieces.withColumn("_task", F.spark_partition_id().cast("long")).mapInArrow(run, pieces.schema)

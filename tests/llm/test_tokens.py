@@ -55,7 +55,7 @@ def test_merge_tree_on_any_text(text):
 
 def test_counts_equal_library(docs):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    rows = token_counts.token_counts(docs, "byte_bpe_50k.json", limit=512, table_size=5, per_task=8).collect()
+    rows = token_counts.token_counts(docs, "byte_bpe_50k.json", limit=512, table_size=5, per_task=8, sample_rows=6).collect()
     texts = dict(enumerate(TEXTS)) | {None: "no id"}
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
@@ -89,6 +89,37 @@ def test_packing_is_gapless_and_complete(docs):
     assert packing.pack(docs.where("false"), "byte_bpe_50k.json").count() == 0
 
 
+def test_packing_hardly_depends_on_the_number_of_tasks(spark):
+    rng = random.Random(3)
+    rows = [(k, "word " * rng.randint(1, 500)) for k in range(1200)]
+    used = []
+    for tasks in (1, 60):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+        packed = packing.pack(docs, "byte_bpe_50k.json", capacity=512, open_bins=64)
+        total, found = packed.agg({"length": "sum"}).first()[0], packed.select("sequence_id").distinct().count()
+        used.append(total / (512 * found))
+    assert used[1] > used[0] - 0.02 and used[0] > 0.9
+
+
+def test_best_fit_equals_a_plain_one():
+    """Against a search through all open bins."""
+    rng, bins, held = random.Random(4), packing.BestFit(60, 5), {}
+    for _ in range(2000):
+        n = rng.randint(1, 60)
+        home, offset = bins.place(n)
+        fitting = [free for free in held.values() if free >= n]
+        if fitting:
+            assert held[home] == min(fitting)
+        elif len(held) == 5:
+            gone = {b for b in held if b in bins.closed}
+            assert len(gone) == 1 and held[min(gone)] == min(held.values())
+            held = {b: f for b, f in held.items() if b not in gone}
+        assert offset == 60 - held.get(home, 60)
+        held[home] = held.get(home, 60) - n
+        held = {b: f for b, f in held.items() if f}
+        bins.closed.clear()
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 8, 2)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (2, 8)]
