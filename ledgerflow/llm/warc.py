@@ -6,14 +6,14 @@ name the capture in ``WARC-Concurrent-To``. The JVM's text writer makes the
 archives: one record a row, and the blank lines that end a WARC record are its
 line separator, so any store that Spark writes to will do. Files are gzip.
 
-Reading parses whole files by ``Content-Length`` and assembles transactions:
+Reading takes files as the JVM's text reader streams them, cut at blank lines, so a task holds one record at
+a time; records are put together by ``Content-Length``. Then it assembles transactions:
 requests and metadata join their capture through the concurrent-to identifier,
 revisits join the response they refer to, and each capture becomes one nested row.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 #: Payloads under this many bytes are always stored anew.
 LEAST_REVISIT = 100
@@ -43,22 +43,25 @@ def _record(kind: Column | str, urn: Column, date: str, headers: list[tuple[str,
     return F.concat(F.concat_ws(_EOL, *lines), F.lit(_EOL * 2), block)
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 30_000) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 9000) -> None:
     """Write pages (``page_id``, ``url``, ``html``) as WARC records under ``path``.
 
     Of pages whose equal payload has 100 bytes or more, the one with the
     smallest id is stored as response and the others as revisits of it. Null
     html is an empty payload; a null url leaves ``WARC-Target-URI`` out, white
     space in it is percent-encoded; a null id leaves ``pageId`` out and never is
-    the smallest. Repeated rows are written each. Only digests are shuffled, of
-    payloads that occur twice, unless their number is too large to broadcast.
+    the smallest. Repeated rows are written each. Revisits are found on ids and digests alone; pages of 100 bytes
+    or more then join them by id and digest, which shuffles payloads evenly, once, where the revisits are too many to broadcast.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
-    twice = p.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    p = p.join(twice, "digest", "left")
-    page, digest = F.col("page_id"), F.col("digest")
-    revisit = F.col("first").isNotNull() & ~page.eqNullSafe(F.col("first"))
+    page, digest, large = F.col("page_id"), F.col("digest"), F.col("n") >= LEAST_REVISIT
+    keys = p.where(large).groupBy("page_id", "digest").count().drop("count")
+    twice = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").select("digest", "first")
+    again = keys.join(twice, "digest").where(~page.eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+    met = p.where(large).join(again, page.eqNullSafe(F.col("_page")) & (digest == F.col("_digest")), "left").drop("_page", "_digest")
+    p = met.unionByName(p.where(~large).withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
+    revisit = F.col("first").isNotNull()
     capture = _urn("capture", page, digest)
     uri = F.col("url")
     for raw, code in ((" ", "%20"), ("\t", "%09"), ("\r", "%0D"), ("\n", "%0A")):
@@ -86,22 +89,52 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     writer.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers with lower-case names, block) of each record of an archive, in
-    order. Raises ValueError where a record doesn't start or is cut short."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split(_EOL)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        if stop > len(data):
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield headers, view[start:stop]
-        at = stop + 4 if data[stop : stop + 4] == b"\r\n\r\n" else stop
+class Records:
+    """Records of a stream of bytes, one held at a time.
+
+    ``feed`` returns (headers with lower-case names, block) of those that end within the bytes so far.
+    Blank lines between records are skipped; a ValueError says where a record doesn't start.
+    """
+
+    def __init__(self):
+        self._parts: list[bytes] = []
+        self._size, self._need = 0, 0  # bytes held, and those without which nothing can end
+        self._at = 0
+
+    def feed(self, data: bytes) -> list[tuple[dict[str, str], bytes]]:
+        self._parts.append(data)
+        self._size += len(data)
+        found: list[tuple[dict[str, str], bytes]] = []
+        while self._size >= max(self._need, 1):
+            held = b"".join(self._parts)
+            start = len(held) - len(held.lstrip(b"\r\n"))
+            end = held.find(b"\r\n\r\n", start)
+            if held[start : start + 5] != b"WARC/"[: len(held) - start]:
+                raise ValueError(f"no WARC record at byte {self._at + start}")
+            need = len(held) + 1
+            if end >= 0:
+                lines = held[start:end].decode("utf-8", "replace").split(_EOL)[1:]
+                headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+                need = end + 4 + int(headers["content-length"])
+                if need <= len(held):
+                    found.append((headers, held[end + 4 : need]))
+                    self._at += need
+                    held, need = held[need:], 0
+            self._parts, self._size, self._need = [held], len(held), need
+            if need:
+                break
+        return found
+
+    def end(self) -> None:
+        if b"".join(self._parts).strip(b"\r\n"):
+            raise ValueError(f"the record at byte {self._at} is cut short")
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a whole archive, in order."""
+    records = Records()
+    yield from records.feed(data)
+    records.end()
 
 
 def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -114,41 +147,43 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
     schema = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, digest string, payload_bytes long, block string" + ", payload binary" * payload
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
+    def row(h: dict[str, str], block: bytes) -> list:
+        kind = h.get("warc-type")
+        declared = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+        digest, size, body, text = declared, None, None, None
+        if kind == "response":
+            body = block[block.index(b"\r\n\r\n") + 4 :]
+            digest, size = hashlib.sha256(body).hexdigest(), len(body)
+            if declared not in (None, digest):
+                raise ValueError(f"{h['warc-record-id']}: payload doesn't match its digest")
+        elif kind != "revisit":
+            text = block.decode("utf-8", "replace")
+        return [h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, size, text] + [body] * payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = Records()
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                rows: list[list] = [[] for _ in names]
-                held = 0
-                for h, block in parse(data):
-                    kind = h.get("warc-type")
-                    declared = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    digest, size, body, text = declared, None, None, None
-                    if kind == "response":
-                        raw = bytes(block)
-                        body = raw[raw.index(b"\r\n\r\n") + 4 :]
-                        digest, size = hashlib.sha256(body).hexdigest(), len(body)
-                        if declared not in (None, digest):
-                            raise ValueError(f"{h['warc-record-id']}: payload doesn't match its digest")
-                    elif kind != "revisit":
-                        text = bytes(block).decode("utf-8", "replace")
-                    row = [h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, size, text] + [body] * payload
-                    for column, value in zip(rows, row):
-                        column.append(value)
-                    held += len(body or b"") if payload else 0
-                    if len(rows[0]) >= 10_000 or held > 32 << 20:
+            rows: list[list] = []
+            held = 0
+            for piece in batch.column(0):
+                for h, block in records.feed(piece.as_py() + b"\r\n\r\n"):
+                    rows.append(row(h, block))
+                    held += len(block) if payload else 0
+                    if held > 32 << 20:
                         yield _batch(rows, names)
-                        rows, held = [[] for _ in names], 0
+                        rows, held = [], 0
+            if rows:
                 yield _batch(rows, names)
+        records.end()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    small_batches(spark)
+    pieces = spark.read.option("lineSep", _EOL * 2).text(path).select(F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(run, schema)
 
 
 def _batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
     kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(rows, names)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(zip(*rows), names)], names)
 
 
 def captures(records: DataFrame) -> DataFrame:

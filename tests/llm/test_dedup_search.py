@@ -180,8 +180,22 @@ def test_warc_round_trip(spark, tmp_path):
     nested = warc.captures(warc.read_records(spark, f"file://{tmp_path}/w", payload=True)).where("page_id = 1").first()
     assert bytes(nested.payload) == body.encode() and nested.request.block.startswith("GET ") and "pageId: 1" in nested.metadata.block
     assert warc.round_trip(df.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    for broken in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"WARC/1.1\r\nContent", b"nothing of the kind\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
+def test_records_of_a_stream_cut_anywhere():
+    blocks = [b"", b"\r\n\r\n", b"a\r\n", b"WARC/1.1\r\n\r\n", bytes(range(256)) * 3]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: x%d\r\nContent-Length: %d\r\n\r\n" % (k, len(b)) + b + b"\r\n\r\n" for k, b in enumerate(blocks))
+    for step in (1, 7, 64, len(data)):
+        records, got = warc.Records(), []
+        for a in range(0, len(data), step):
+            got += records.feed(data[a : a + step])
+        records.end()
+        assert [b for _, b in got] == blocks and [h["warc-type"] for h, _ in got] == [f"x{k}" for k in range(5)]
+    records = warc.Records()
+    assert [b for piece in data.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n") for _, b in records.feed(piece + b"\r\n\r\n")] == blocks
 
 
 def test_passages_behind_fragments_that_come_first(spark):
