@@ -3,8 +3,12 @@
 An account keeps its last ``cap`` transfers of each direction, of which those
 within ``window`` minutes count. One exchange by account serves all windows:
 the capped list of a direction is a ROWS frame, and the other direction's list as of
-a transfer is the last one seen. Arrays never leave the stage that makes them; what leaves
-are the scalars and evidence derived from them.
+a transfer is the last one seen. These lists don't leave the stage that makes them; what leaves
+are the scalars, funders and evidence derived from them.
+
+Who needs the list of a third account looks it up by position: an account's transfers of one direction are
+numbered, ``chunks`` keeps each of them twice, in runs of ``2 * cap``, and a list is a part of one run. The
+runs of a busy account are different keys, and a lookup meets one run, however long the account's history is.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ def live(lists: str, within: int) -> Column:
 def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[str, ...] = ("m", "peer", "seq", "amount", "ach"), extra: tuple[str, ...] = ()) -> DataFrame:
     """``account_rows`` with ``outs`` and ``ins``: the live entries of the
     account as of the transfer, its own included, oldest first; and the account's
-    ``history`` (lifetime transfers), ``total_out`` and ``first_seen``.
+    ``history`` (lifetime transfers), ``total_out``, ``total_in`` and ``first_seen``.
 
     Transfers to oneself only set ``first_seen``; they get no row.
     """
@@ -47,6 +51,7 @@ def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[s
         F.last(F.when(F.col("dir") == "I", F.col("_l")), True).over(life).alias("_i"),
         F.sum(F.when(F.col("dir") != "S", 1).otherwise(0)).over(life).alias("history"),
         F.sum(F.when(F.col("dir") == "O", 1).otherwise(0)).over(life).alias("total_out"),
+        F.sum(F.when(F.col("dir") == "I", 1).otherwise(0)).over(life).alias("total_in"),
         F.min("m").over(life).alias("first_seen"),
     ).where("dir <> 'S'")
     none = F.array().cast(rows.schema["_l"].dataType)
@@ -72,6 +77,25 @@ def recent_per_peer(entries: Column, cap: int) -> Column:
     return F.element_at(F.transform(F.array(ordered), latest), 1)
 
 
+def chunks(sides: DataFrame, direction: str, cfg: Config) -> DataFrame:
+    """The runs of each account's transfers of one direction: ``acct``, ``chunk``, ``run`` of (``n``, ``m``, ``peer``).
+
+    ``sides`` has ``acct``, ``dir``, ``m``, ``peer`` and the running ``total_out`` and ``total_in``.
+    """
+    n = F.col("total_out" if direction == "O" else "total_in").cast("long")
+    rows = sides.where(F.col("dir") == direction).select("acct", F.struct(n.alias("n"), "m", "peer").alias("e"))
+    first = F.floor(F.col("e.n") / cfg.cap)
+    return rows.select("acct", F.explode(F.array(first, first + 1)).alias("chunk"), "e").groupBy("acct", "chunk").agg(F.collect_list("e").alias("run"))
+
+
+def looked_up(probes: DataFrame, runs: DataFrame, cfg: Config, name: str) -> DataFrame:
+    """Append to each probe the distinct peers (``name``) of the live list of ``acct`` that ends with its
+    ``n``-th transfer, as of minute ``m``. Probes whose account has no transfer yet drop out."""
+    at = probes.where("n > 0").withColumn("chunk", F.floor(F.col("n") / cfg.cap))
+    fits = lambda x: (x["n"] <= F.col("n")) & (x["n"] > F.col("n") - cfg.cap) & (x["m"] >= F.col("m") - cfg.window)
+    return at.join(runs, ["acct", "chunk"]).withColumn(name, peers(F.filter("run", fits))).drop("run", "chunk", "n")
+
+
 def as_of(probes: DataFrame, states: DataFrame, key: str, value: str) -> DataFrame:
     """Append to each probe the ``value`` of the last state of its ``key`` at or before its ``seq``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import rings
+from .components import connected
 
 #: Largest batch that ingest takes.
 MAX_BATCH = 1000
@@ -51,8 +51,8 @@ def group_cases(alerts: DataFrame) -> DataFrame:
     )
     rows = alerts.select("alert_no", F.explode(F.array_distinct(keys)).alias("key"))
     hubs = rows.groupBy("key").agg(F.min("alert_no").alias("a"))
-    labels = rings.components(rows.join(hubs, "key").select("a", F.col("alert_no").alias("b")))
-    return alerts.join(labels, alerts.alert_no == labels.node).select("alert_id", F.col("root").alias("case_id"))
+    labels = connected(rows.join(hubs, "key").select("a", F.col("alert_no").alias("b")))
+    return alerts.join(labels, alerts.alert_no == labels.node, "left").select("alert_id", F.coalesce("root", "alert_no").alias("case_id"))
 
 
 def case_rollup(alerts: DataFrame, membership: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import log1p
 from ..schema import PAYMENT_FORMATS, STAGE1, Config
+from ..storage import written
 from . import adjacency, paths, rings
 from .adjacency import peers
 
@@ -46,44 +47,62 @@ def pass_through(cfg: Config) -> Column:
     return F.struct((F.col("m") - hit["m"]).alias("gap"), (F.col("amount") / hit["amount"]).alias("ratio"), hit["seq"].alias("seq"))
 
 
-def account_values(transfers: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row per transfer between two accounts: the raw values (no logarithms)
-    of everything that the two neighbourhoods hold. One exchange by account and one by transfer."""
+def account_sides(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False) -> DataFrame:
+    """Two rows per transfer, one per account, with all that its neighbourhood gives: the raw values
+    (no logarithms) of both directions, the sender's most recent distinct ``funders`` and, with ``evidence``, the
+    sequence numbers that a detector would show. One exchange by account serves them all."""
     rows = adjacency.live_adjacency(transfers, cfg)
     pairs = F.size(F.filter("outs", lambda x: (x["peer"] == F.col("peer")) & (x["seq"] != F.col("seq"))))
     days = F.greatest((F.col("m") - F.col("first_seen")) / 1440, F.lit(1.0))
     usual = F.col("total_out") / days * (cfg.velocity_window / 1440)
     sent = _since("outs", cfg.velocity_window)
-    scalars = rows.select(
-        "seq", "dir", "m",
-        F.size(peers(F.col("outs"))).alias("n_out"), F.size(peers(F.col("ins"))).alias("n_in"),
-        (F.size("outs") + F.size("ins")).alias("degree"), "history",
+    funders = F.slice(peers(F.filter(F.reverse("ins"), lambda x: x["peer"] != F.col("peer"))), 1, cfg.sg_branch)
+    cap = cfg.evidence_cap
+    some = lambda c, least: F.when(F.size(c) >= least, adjacency.recent_per_peer(F.col(c), cap))  # noqa: E731  a shorter list never fires
+    recent = F.slice(F.transform(F.filter(F.reverse("outs"), lambda x: x["m"] >= F.col("m") - cfg.velocity_window), lambda x: x["seq"]), 1, cap)
+    shown = [some("outs", cfg.gs_min_degree).alias("out_ev"), some("ins", cfg.gs_min_degree).alias("in_ev"), F.when((F.col("dir") == "O") & (sent >= cfg.velocity_min), recent).alias("recent_ev")]
+    return rows.select(
+        "seq", "dir", "m", "acct", "peer", "history", "total_out", "total_in",
+        F.size(peers(F.col("outs"))).alias("n_out"), F.size(peers(F.col("ins"))).alias("n_in"), (F.size("outs") + F.size("ins")).alias("degree"),
         F.when(F.col("dir") == "O", F.struct(
             pairs.alias("pair_repeat"), sent.alias("sent_24h"), F.when(usual > 0, sent / usual).otherwise(1.0).alias("velocity_ratio"),
             _share(F.col("outs")).alias("ach_share"), pass_through(cfg).alias("pass"))).alias("o"),
         F.when(F.col("dir") == "I", F.struct(_since("ins", cfg.velocity_window).alias("got_24h"), _share(F.col("ins")).alias("ach_share"))).alias("i"),
+        F.when((F.col("dir") == "O") & (F.size("ins") > 0), funders).alias("funders"), *(shown if evidence else ()),
     )
+
+
+def account_values(transfers: DataFrame, cfg: Config = Config(), sides: DataFrame | None = None) -> DataFrame:
+    """One row per transfer between two accounts: what both neighbourhoods hold. One exchange by account, unless
+    ``sides`` are given, and one by transfer."""
+    scalars = account_sides(transfers, cfg) if sides is None else sides
+    has_evidence = "recent_ev" in scalars.columns
     of = lambda d, c: F.max(F.when(F.col("dir") == d, F.col(c)))
     return scalars.groupBy("seq").agg(
         of("O", "n_out").alias("src_out"), of("O", "n_in").alias("src_in"), of("I", "n_in").alias("dst_in"), of("I", "n_out").alias("dst_out"),
         of("O", "degree").alias("src_degree"), of("I", "degree").alias("dst_degree"), of("O", "history").alias("src_history"), of("I", "history").alias("dst_history"),
         F.max("o").alias("o"), F.max("i").alias("i"),
+        *([of("O", "out_ev").alias("src_out_ev"), of("O", "in_ev").alias("src_in_ev"), of("I", "in_ev").alias("dst_in_ev"), of("O", "recent_ev").alias("recent_ev")] if has_evidence else ()),
     ).select(
         "seq", "src_out", "src_in", "dst_in", "dst_out", "src_degree", "dst_degree", "src_history", "dst_history",
         F.col("o.pair_repeat").alias("pair_repeat"), F.col("o.sent_24h").alias("sent_24h"), F.col("o.velocity_ratio").alias("velocity_ratio"),
         F.col("o.ach_share").alias("src_ach_share"), F.col("i.ach_share").alias("dst_ach_share"), F.col("i.got_24h").alias("got_24h"),
         F.col("o.pass.gap").alias("pass_gap"), F.col("o.pass.ratio").alias("pass_ratio"), F.col("o.pass.seq").alias("pass_seq"),
+        *(("src_out_ev", "src_in_ev", "dst_in_ev", "recent_ev") if has_evidence else ()),
     )
 
 
+def graph_values(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False) -> DataFrame:
+    """``account_values`` with scatter-gather (``paths``, ``origin``, ``mids``) and cycles (``cycle_len``,
+    ``cycle_amount_ratio``, ``cycle_edges``) of every transfer, written out: features, rings and detectors read it."""
+    sides = written(account_sides(transfers, cfg, evidence), "sides")
+    sg, cyc = paths.scatter_gather(transfers, cfg, sides), paths.cycles(transfers, cfg)
+    return written(account_values(transfers, cfg, sides).join(sg, "seq", "left").join(cyc, "seq", "left"), "values")
+
+
 def base_features(transfers: DataFrame, cfg: Config = Config(), with_rings: bool = True) -> DataFrame:
     """``seq`` and the thirty features that need no model. Transfers to oneself have zeros."""
-    values = account_values(transfers, cfg)
-    sg = paths.scatter_gather(transfers, cfg).select("seq", "paths")
-    cyc = paths.cycles(transfers, cfg).select("seq", "cycle_len", "cycle_amount_ratio")
-    joined = values.join(sg, "seq", "left").join(cyc, "seq", "left")
-    if with_rings:
-        joined = rings._cut(joined)  # read twice: for the vector and for the rings
+    joined = graph_values(transfers, cfg)
     edge = {
         "src_out_distinct": log1p(F.col("src_out")), "dst_in_distinct": log1p(F.col("dst_in")), "src_in_distinct": log1p(F.col("src_in")), "dst_out_distinct": log1p(F.col("dst_out")),
         "scatter_gather_paths": F.coalesce("paths", F.lit(0)).cast("double"), "gather_scatter_degree": log1p(F.least("src_in", "src_out")),

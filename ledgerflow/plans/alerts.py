@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import detectors, features, metrics, rings
 from ..schema import FEATURES, STAGE1, Config
+from ..storage import written
 from . import models
 
 
@@ -18,21 +19,17 @@ def scored_transfers(transfers: DataFrame, train_end: int, cfg: Config = Config(
     feature columns, ``s1`` and ``score``, and the final model.
     """
     base = features.base_features(transfers, cfg)
-    rows = _cut(transfers.select("seq", "m", "src", "dst", "label", "amount_usd", "format").join(base, "seq"))
+    rows = written(transfers.select("seq", "m", "src", "dst", "label", "amount_usd", "format").join(base, "seq"), "rows")
     early = F.col("m") < train_end
     staged, _ = models.cross_fitted(rows, early, list(STAGE1), trees, depth)
-    staged = _cut(staged)
+    staged = written(staged, "staged")
     near = features.neighbour_features(staged, cfg)
     full = staged.join(near, "seq", "left").fillna(0.0, subset=list(FEATURES[30:]))
-    full = _cut(full)
+    full = written(full, "full")
     model = models.with_threshold(models.train_gbdt(full.where(early), list(FEATURES), trees=trees, depth=depth), full.where(early))
     return full.withColumn("score", model.score()), model
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return rings._cut(df)
-
-
 def alerts(transfers: DataFrame, scored: DataFrame, model: models.Model, cfg: Config = Config()) -> DataFrame:
     """Alert documents of transfers that score at least the model's threshold.
 
@@ -40,7 +37,7 @@ def alerts(transfers: DataFrame, scored: DataFrame, model: models.Model, cfg: Co
     """
     hot = scored.where(F.col("score") >= model.threshold)
     flagged = hot.select("seq")
-    values = features.account_values(transfers, cfg).join(flagged, "seq", "left_semi")
+    values = features.graph_values(transfers, cfg, evidence=True).join(flagged, "seq", "left_semi")
     found = detectors.materialise_evidence(detectors.hits(transfers, values, cfg), transfers, cfg)
     ring = rings.ring_states(transfers, flagged, cfg, members=True).join(flagged, "seq", "left_semi")
     t = transfers.select("seq", "m_raw", "src", "dst", "amount_usd", "payment_currency", "format")

@@ -195,7 +195,7 @@ def _cycle(spark, sf_dir):
 @query("detector_hits")
 def _hits(spark, sf_dir):
     t = transfers(spark, sf_dir)
-    found = detectors.hits(t, features.account_values(t, CFG), CFG)
+    found = detectors.hits(t, cfg=CFG)
     return found.select("seq", F.array_join(F.transform("hits", lambda h: h["name"]), ",").alias("names"), F.array_join(F.transform("hits", lambda h: h["detail"]), "; ").alias("details"))
 
 
@@ -328,8 +328,7 @@ def _members(spark, sf_dir):
 
 def _rings(spark: SparkSession, sf_dir: str, members: bool) -> DataFrame:
     t = transfers(spark, sf_dir)
-    v = features.account_values(t, CFG).join(paths.scatter_gather(t, CFG).select("seq", "paths"), "seq", "left").join(paths.cycles(t, CFG).select("seq", "cycle_len"), "seq", "left")
-    return rings.rule_rings(t, features.hit_flags(v, CFG), CFG, members)
+    return rings.rule_rings(t, features.hit_flags(features.graph_values(t, CFG), CFG), CFG, members)
 
 
 @query("graph_stats", f"WITH {_L} SELECT (SELECT count(DISTINCT acct) FROM (SELECT src AS acct FROM t UNION ALL SELECT dst FROM t) AS u) AS accounts, (SELECT count(*) FROM t WHERE src <> dst AND m >= (SELECT max(m) FROM t) - 5760) AS live_edges, (SELECT max(history) FROM a) AS busiest")

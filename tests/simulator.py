@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from ledgerflow.operators.rings import Components
 from ledgerflow.schema import Config
 
 
@@ -15,7 +14,13 @@ class Simulator:
         self.first, self.total_out, self.total = {}, defaultdict(int), defaultdict(int)
         self.edges = []
         self.linked, self.rebuilt = [], None
-        self.rings = Components()
+        self.members: dict = {}
+
+    def link(self, src, dst):
+        """Both accounts and all that hang on either are one set."""
+        both = self.members.get(src, {src}) | self.members.get(dst, {dst})
+        for x in both:
+            self.members[x] = both
 
     def live(self, side, acct, now):
         return [x for x in side[acct][-self.cfg.cap :] if x[0] >= now - self.cfg.window]
@@ -42,9 +47,9 @@ class Simulator:
         if self.rebuilt is None or m - self.rebuilt >= cfg.ring_rebuild:
             self.rebuilt = m
             self.linked = [e for e in self.linked if e[1] >= m - cfg.window]
-            self.rings = Components()
-            for s, _, a, b in self.linked:
-                self.rings.add(a, b, s)
+            self.members = {}
+            for _, _, a, b in self.linked:
+                self.link(a, b)
         if src == dst:
             return None
         self.out[src].append((m, dst, seq, amount, ach))
@@ -83,6 +88,8 @@ class Simulator:
         hit = hit or min(f["src_in"], f["src_out"]) >= cfg.gs_min_degree or f["cycle_len"] > 0 or (f["pass_gap"] is not None and f["pass_gap"] <= cfg.pass_window)
         if hit and len(so) + len(si) <= cfg.hub_degree and len(do) + len(di) <= cfg.hub_degree:
             self.linked.append((seq, m, src, dst))
-            self.rings.add(src, dst, seq)
-        f["ring_size"] = self.rings.of(src)[0]
+            self.link(src, dst)
+        f["ring_size"] = len(self.members.get(src, ()))
+        f["ring_members"] = sorted(self.members.get(src, ()))
+        f["ring_id"] = min((s for s, _, a, _ in self.linked if a in self.members.get(src, ())), default=None)
         return f

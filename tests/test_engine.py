@@ -134,12 +134,13 @@ def test_validation(spark):
 
 def test_detectors_and_evidence(spark):
     df, _ = world(spark, [(0, k, 9 + k, 1) for k in range(1, 7)])
-    hits = {r.seq: r.hits for r in detectors.hits(df, features.account_values(df)).collect()}
+    hits = {r.seq: r.hits for r in detectors.hits(df).collect()}
     assert [h.name for h in hits[5]] == ["fan_out"] and hits[5][0].value == 6 and hits[5][0].evidence == [5, 4, 3, 2, 1, 0] and not hits[3]
-    full = detectors.materialise_evidence(detectors.hits(df, features.account_values(df)), df).where("seq = 5").first()
+    full = detectors.materialise_evidence(detectors.hits(df), df).where("seq = 5").first()
     assert [e.txId for e in full.detectors[0].edges] == [5, 4, 3, 2, 1, 0]
     scatter, _ = world(spark, [(0, 1, 1, 1), (0, 2, 1, 1), (0, 3, 1, 1), (2, 9, 5, 1), (3, 9, 6, 1), (1, 9, 7, 1)])
-    assert detectors.scatter_evidence(scatter).first().evidence == [5, 0, 1, 3, 2, 4]
+    hit = detectors.hits(scatter).where("seq = 5").first().hits
+    assert [(h.name, h.value, h.evidence) for h in hit[:1]] == [("scatter_gather", 3.0, [5, 0, 1, 3, 2, 4])]
 
 
 def test_synthetic_world_models_and_alerts(spark, tmp_path):

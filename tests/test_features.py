@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import features, paths, rings
+from ledgerflow.operators.components import connected
 from ledgerflow.schema import STAGE1, Config
 from tests.simulator import Simulator
 
@@ -42,14 +43,14 @@ def test_against_sequential_simulation(spark, cfg):
     free_of_cap = cfg.cap > 100
     for seq, w in want.items():
         for name, value in w.items():
-            if name == "ring_size" or (name == "cycle_len" and not free_of_cap):
+            if name.startswith("ring_") or (name == "cycle_len" and not free_of_cap):
                 continue
             have = got[seq][name]
             have = 0 if have is None and name in ("paths", "cycle_len") else have
             assert have == value or (have is not None and value is not None and math.isclose(have, value, rel_tol=1e-9)), (seq, name, have, value)
     if free_of_cap:
-        ring = {r.seq: r.ring_size for r in rings.rule_rings(df, features.hit_flags(joined, cfg), cfg).collect()}
-        assert ring == {s: w["ring_size"] for s, w in want.items()}
+        ring = {r.seq: (r.ring_size, r.ring_id, r.members) for r in rings.rule_rings(df, features.hit_flags(joined, cfg), cfg, members=True).collect()}
+        assert ring == {s: (w["ring_size"], w["ring_id"], w["ring_members"]) for s, w in want.items()}
 
 
 def test_micro_worlds(spark):
@@ -86,9 +87,10 @@ def test_neighbour_scores(spark):
 def test_components_match_search(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
-    got = {r.node: r.root for r in rings.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {x: x for e in edges for x in e}
     for _ in parent:
         for a, b in edges:
             parent[a] = parent[b] = min(parent[a], parent[b])
-    assert got == parent
+    lone = {x for e in edges for x in e} - {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: r for x, r in parent.items() if x not in lone}
