@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_folder
+
 #: Rows and bytes of an Arrow batch between the JVM and Python, for texts can be long.
 ARROW_ROWS, ARROW_BYTES = 1000, "32m"
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark from whatever store holds it."""
@@ -26,24 +25,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is
-    unset on a local master (tests) a temporary folder is made and set; elsewhere that is an error.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        elif spark.sparkContext.master.startswith("local["):
-            root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        else:
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
-        spark.conf.set(CHECKPOINT_DIR, root)
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share."""
+    root = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -55,7 +41,15 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     # Shuffle files of what was just written go as soon as the driver's JVM sees
     # that nothing refers to them; without this they would wait for its next full collection.
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once what was made of them is written itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t.shared_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

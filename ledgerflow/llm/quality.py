@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 _P = 4
 _SCALE = 256  # integer steps of a transformed statistic's unit
@@ -220,6 +220,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # what several later steps read, or what would nest, is written out
         df = spark.sql(re.sub(r"\b(FROM|JOIN) (counts|vectors|winner|(?:moments|estimates|distances)\d)\b", r"\1 {\2}", sql), **_used(sql, held))
         held[name] = materialise(df, name) if name.startswith(("vectors", "distances", "estimates")) else df
+    discard(*(held[n] for n in held if n.startswith("distances")), *(held[n] for n in held if n.startswith("estimates") and n != f"estimates{STEPS}"))
     scored = spark.sql(f"SELECT {'/*+ BROADCAST(e) */' if few else ''} v.gl, v.gs, v.t1, v.t2, v.t3, v.t4, " + _d2() + " AS distance2 FROM {vectors} AS v JOIN {winner} AS e ON v.gl = e.gl AND v.gs = e.gs", vectors=held["vectors"], winner=held["winner"])
     return attach(counts, scored, cutoff)
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import components
-from .common import materialise, repeats, small_batches
+from ..operators.components import connected
+from .common import discard, materialise, repeats, small_batches
 
 #: Differing bits up to which two fingerprints link. The two halves of the
 #: grid with one step each are complete for this bound, not for more.
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     rows = materialise(fingerprint_table(docs, id_col, text_col, width), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = materialise(links(distinct.select("fp")), "links")
-    labels = components.connected(edges, spark)
+    labels = connected(edges)
     degree = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").groupBy("a").agg(F.count_distinct("b").alias("n_links"))
     known = distinct.join(labels, distinct.fp == labels.node, "left").join(degree, distinct.fp == degree.a, "left")
     known = known.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -225,7 +225,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return materialise(both.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
+    out = materialise(both.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
+    discard(pairs, used)
+    return out
 
 
 def _keys(members: DataFrame, depth: int) -> DataFrame:
@@ -287,6 +289,6 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
             ends = found.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("with")))
             left = met.where("id <> hub.id").join(ends, (met.id == ends.id) & (met.hub.id == ends["with"]), "left").select(met["*"], ends["with"].alias("now"))
             members = left.select("id", *_RUNS, "least", "k", "cell", F.coalesce("tied", "now").alias("tied"))
-    labels = components.connected(edges, spark)
+    labels = connected(edges)
     groups = leaders.join(labels, leaders.id == labels.node, "left").select(*body, F.coalesce("root", "id").alias("component_id"))
     return rows.join(groups, body).select(F.col("id").alias("doc_id"), "component_id")
