@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -56,6 +56,83 @@ def _peers(x: str) -> str:
     return f"list_distinct(list_transform({x}, lambda p: p.peer))"
 
 
+# What an account's first transfer, its funders and the routes and cycles that a transfer completes are, on top of _L.
+_SG = f"""sg_o AS (SELECT seq, m, acct AS src, list_filter(ins, lambda x: x.peer <> peer) AS fi FROM a WHERE dir = 'O'),
+sg_d AS (SELECT seq, list_distinct(list_transform(list_filter(ins, lambda x: x.peer <> peer), lambda x: x.peer)) AS senders FROM a WHERE dir = 'I'),
+sg_u AS (SELECT seq, m, src, unnest(fi) AS x FROM sg_o),
+sg_f AS (SELECT seq, m, src, x.peer AS funder, max(x.seq) AS latest FROM sg_u GROUP BY ALL),
+sg_k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY latest DESC) AS place FROM sg_f),
+sg_s AS (SELECT acct, seq AS at, o0 FROM s WHERE dir = 'O'),
+sg_j AS (SELECT k.seq, k.m, k.src, k.funder, k.place, so.o0 FROM sg_k AS k ASOF JOIN sg_s AS so ON k.funder = so.acct AND k.seq >= so.at WHERE place <= 24),
+sg_c AS (SELECT j.seq, place, funder, list_intersect({_peers('list_filter(o0, lambda x: x.m >= m - 5760 AND x.peer <> src)')}, senders) AS mids FROM sg_j AS j JOIN sg_d AS d ON j.seq = d.seq),
+sg_b AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY len(mids) DESC, place) AS r FROM sg_c WHERE len(mids) > 0),
+sg AS (SELECT seq, len(mids) + 1 AS paths, funder AS origin, list_sort(mids) AS mids FROM sg_b WHERE r = 1)"""
+
+
+def _cycle_ctes() -> str:
+    """Shortest cycles by hops from the sender back; of equal ones that with the latest edges."""
+    hops = ["g AS (SELECT seq, m, src, dst, amount FROM t WHERE src <> dst)", "h0 AS (SELECT seq AS x, m AS xm, src AS xs, dst AS xd, src AS node, m AS bound, amount AS lo, amount AS hi, [seq] AS path FROM g)"]
+    for k in range(1, 6):
+        hops.append(
+            f"""n{k} AS (SELECT x, xm, xs, xd, g.src AS node, arg_max({{'bound': g.m, 'lo': least(lo, amount), 'hi': greatest(hi, amount), 'path': list_prepend(g.seq, path)}}, (g.m, g.seq)) AS b
+  FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.seq < h.x AND g.m <= h.bound AND g.m >= h.xm - 5760 WHERE g.src <> h.xs GROUP BY x, xm, xs, xd, g.src)"""
+        )
+        hops.append(f"h{k} AS (SELECT x, xm, xs, xd, node, b.bound AS bound, b.lo AS lo, b.hi AS hi, b.path AS path FROM n{k} WHERE x NOT IN (SELECT x FROM n{k} WHERE node = xd))")
+    found = " UNION ALL ".join(f"SELECT x AS seq, {k + 1} AS cycle_len, CASE WHEN b.hi > 0 THEN b.lo / b.hi ELSE 0 END AS cycle_amount_ratio, b.path AS cycle_edges FROM n{k} WHERE node = xd" for k in range(1, 6))
+    return f"{', '.join(hops)}, cy AS ({found})"
+
+
+# All values of both neighbourhoods.
+_V = f"""f AS (SELECT seq, acct, min(m) OVER (PARTITION BY acct ORDER BY seq) AS first_seen FROM (SELECT seq, m, src AS acct FROM t UNION ALL SELECT seq, m, dst FROM t WHERE src <> dst) AS u),
+vo AS (SELECT seq, m, len({_peers('outs')}) AS src_out, len({_peers('ins')}) AS src_in, len(outs) + len(ins) AS src_degree, history AS src_history, len(list_filter(outs, lambda x: x.peer = peer AND x.seq <> seq)) AS pair_repeat,
+  len(list_filter(outs, lambda x: x.m >= m - 1440)) AS sent_24h, total_out / greatest((m - first_seen) / CAST(1440 AS DOUBLE), 1) AS usual, list_avg(list_transform(outs, lambda x: x.ach)) AS src_ach,
+  list_filter(ins, lambda x: x.m >= m - 1440 AND x.peer <> peer AND x.amount > 0 AND amount / x.amount <= 1 + CAST('1e-6' AS DOUBLE) AND amount / x.amount >= CAST('0.9' AS DOUBLE))[-1] AS pass,
+  amount FROM a JOIN f USING (seq, acct) WHERE dir = 'O'),
+vd AS (SELECT seq, len({_peers('ins')}) AS dst_in, len({_peers('outs')}) AS dst_out, len(outs) + len(ins) AS dst_degree, history AS dst_history, len(list_filter(ins, lambda x: x.m >= m - 1440)) AS got_24h, list_avg(list_transform(ins, lambda x: x.ach)) AS dst_ach FROM a WHERE dir = 'I'),
+v AS MATERIALIZED (SELECT *, sent_24h / usual AS velocity_ratio, m - pass.m AS pass_gap, amount / pass.amount AS pass_ratio FROM vo JOIN vd USING (seq) LEFT JOIN sg USING (seq) LEFT JOIN cy USING (seq))"""
+
+# Rings: epochs, the edges that link accounts in each, and what the sender of a transfer reaches by those up to it.
+_RG = """lk AS (SELECT v.seq, t.m, src, dst FROM v JOIN t USING (seq) WHERE (src_out >= 5 OR dst_in >= 5 OR coalesce(paths, 0) >= 3 OR (src_in >= 3 AND src_out >= 3) OR cycle_len IS NOT NULL OR coalesce(pass_gap, 1000000) <= 120) AND src_degree <= 100 AND dst_degree <= 100),
+mi AS MATERIALIZED (SELECT DISTINCT m FROM t), nx AS MATERIALIZED (SELECT m, min(m) OVER (ORDER BY m RANGE BETWEEN 360 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM mi),
+ep AS (SELECT min(m) AS start FROM mi UNION ALL SELECT nxt FROM ep JOIN nx ON ep.start = nx.m WHERE nxt IS NOT NULL), es AS (SELECT start, lead(start, 1, 1000000000) OVER (ORDER BY start) AS stop FROM ep),
+le AS MATERIALIZED (SELECT start, a, b, min(seq) AS seq FROM (SELECT start, src AS a, dst AS b, seq FROM lk JOIN es ON m >= start - 5760 AND m < stop UNION ALL SELECT start, dst, src, seq FROM lk JOIN es ON m >= start - 5760 AND m < stop) AS u GROUP BY start, a, b),
+pr AS (SELECT t.seq, src, start FROM t JOIN es ON m >= start AND m < stop WHERE src <> dst),
+rc AS (SELECT DISTINCT pr.seq, pr.start, src AS node FROM pr JOIN le ON le.start = pr.start AND le.a = pr.src AND le.seq <= pr.seq UNION SELECT rc.seq, rc.start, le.b FROM rc JOIN le ON le.start = rc.start AND le.a = rc.node AND le.seq <= rc.seq),
+rz AS (SELECT seq, count(*) AS ring_size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM rc GROUP BY seq)"""
+_GRAPH = f"WITH RECURSIVE {_L.replace(' a AS (', ' a AS MATERIALIZED (').replace('s AS (SELECT *, last_value', 's AS MATERIALIZED (SELECT *, last_value')}, {_SG}, {_cycle_ctes()}, {_V}"
+
+_FEATURES_SQL = f"""{_GRAPH}, {_RG}
+SELECT t.seq, CAST(format = 'ACH' AS DOUBLE) AS fmt_ach, CAST(format = 'Cash' AS DOUBLE) AS fmt_cash, CAST(format = 'Cheque' AS DOUBLE) AS fmt_cheque, CAST(format = 'Credit Card' AS DOUBLE) AS fmt_credit_card,
+  CAST(format = 'Bitcoin' AS DOUBLE) AS fmt_bitcoin, CAST(format = 'Wire' AS DOUBLE) AS fmt_wire, CAST(format = 'Reinvestment' AS DOUBLE) AS fmt_reinvestment,
+  round(ln(1 + greatest(t.amount, 0)), 6) AS log_amount_usd, CAST(ccy <> rccy AS DOUBLE) AS cross_currency, CAST(src % 20 = dst % 20 AS DOUBLE) AS same_bank,
+  CAST(amount_paid >= 100 AND amount_paid % 100 < 1e-9 AS DOUBLE) AS round_amount, """ + ", ".join(
+    f"coalesce(round({x}, 6), CAST(0 AS DOUBLE)) AS {name}"
+    for name, x in (
+        ("src_out_distinct", "ln(1 + src_out)"), ("dst_in_distinct", "ln(1 + dst_in)"), ("src_in_distinct", "ln(1 + src_in)"), ("dst_out_distinct", "ln(1 + dst_out)"), ("scatter_gather_paths", "CAST(paths AS DOUBLE)"),
+        ("gather_scatter_degree", "ln(1 + least(src_in, src_out))"), ("cycle_len", "CAST(cycle_len AS DOUBLE)"), ("cycle_amount_ratio", "cycle_amount_ratio"), ("pass_gap_log_min", "CASE WHEN v.seq IS NOT NULL THEN ln(1 + coalesce(pass_gap, 1441)) END"),
+        ("pass_ratio", "pass_ratio"), ("src_velocity_24h", "ln(1 + sent_24h)"), ("src_velocity_ratio", "ln(1 + velocity_ratio)"), ("dst_in_24h", "ln(1 + got_24h)"), ("pair_repeat", "ln(1 + pair_repeat)"),
+        ("rule_ring_size", "ln(1 + ring_size)"), ("src_history", "ln(1 + src_history)"), ("dst_history", "ln(1 + dst_history)"), ("src_out_ach_share", "src_ach"), ("dst_in_ach_share", "dst_ach"),
+    )
+) + " FROM t LEFT JOIN v ON t.seq = v.seq LEFT JOIN rz ON t.seq = rz.seq"
+
+_HITS_SQL = _GRAPH + """,
+ue AS (SELECT seq, dir, 'o' AS k, unnest(outs) AS x FROM a WHERE dir = 'O' UNION ALL SELECT seq, dir, 'i', unnest(ins) FROM a),
+pe AS (SELECT seq, dir, k, x.peer AS peer, max(x.seq) AS e FROM ue GROUP BY ALL),
+ev AS (SELECT seq, dir, k, list(e ORDER BY e DESC)[1:30] AS ev FROM pe GROUP BY seq, dir, k),
+re AS (SELECT seq, list(x.seq ORDER BY x.seq DESC)[1:30] AS ev FROM (SELECT u.seq, x, m FROM ue AS u JOIN t ON t.seq = u.seq WHERE dir = 'O' AND k = 'o') AS q WHERE x.m >= m - 1440 GROUP BY seq),
+lg AS (SELECT sg.seq, now, unnest(list_concat([{'place': 0, 'a': origin, 'b': src}], list_transform(mids, lambda x, i: {'place': 2 * i - 1, 'a': origin, 'b': x}), list_transform(mids, lambda x, i: {'place': 2 * i, 'a': x, 'b': dst}))) AS leg FROM sg JOIN (SELECT seq, m AS now, src, dst FROM t) AS z USING (seq) WHERE paths >= 3),
+lt AS (SELECT lg.seq, leg.place AS place, max(t.seq) AS e FROM lg JOIN t ON t.src = leg.a AND t.dst = leg.b AND t.seq <= lg.seq AND t.m >= now - 5760 GROUP BY 1, 2),
+le AS (SELECT seq, list(e ORDER BY place) AS es FROM lt WHERE e <> seq GROUP BY seq),
+hit AS (SELECT v.seq, 0 AS n, 'fan_out' AS name, CAST(src_out AS DOUBLE) AS value, ev FROM v JOIN ev ON ev.seq = v.seq AND dir = 'O' AND k = 'o' WHERE src_out >= 5
+ UNION ALL SELECT v.seq, 1, 'fan_in', dst_in, ev FROM v JOIN ev ON ev.seq = v.seq AND dir = 'I' AND k = 'i' WHERE dst_in >= 5
+ UNION ALL SELECT v.seq, 2, 'scatter_gather', paths, list_concat([v.seq], es)[1:30] FROM v JOIN le USING (seq) WHERE paths >= 3
+ UNION ALL SELECT v.seq, 3, 'gather_scatter', least(src_in, src_out), list_concat(i.ev[1:15], o.ev[1:15]) FROM v JOIN ev AS i ON i.seq = v.seq AND i.dir = 'O' AND i.k = 'i' JOIN ev AS o ON o.seq = v.seq AND o.dir = 'O' AND o.k = 'o' WHERE src_in >= 3 AND src_out >= 3
+ UNION ALL SELECT seq, 4, 'cycle', cycle_len, cycle_edges FROM v WHERE cycle_len IS NOT NULL
+ UNION ALL SELECT seq, 5, 'pass_through', pass_gap, [pass.seq, seq] FROM v WHERE pass_gap <= 120
+ UNION ALL SELECT seq, 6, 'velocity', sent_24h, ev FROM v JOIN re USING (seq) WHERE sent_24h >= 10 AND velocity_ratio >= 3)
+SELECT seq, n, name, value, array_to_string(ev, ',') AS evidence FROM hit"""
+
+
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.from_events(spark, sf_dir)
 
@@ -64,7 +141,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.account_values(transfers(spark, sf_dir), CFG)
 
 
-@query("features")
+@query("features", _FEATURES_SQL)
 def _features(spark, sf_dir):
     return features.base_features(transfers(spark, sf_dir), CFG).select("seq", *(F.round(c, 6).alias(c) for c in STAGE1))
 
@@ -161,42 +238,26 @@ def _evidence(spark, sf_dir):
     return ev.select("seq", F.array_join(F.transform("ev", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
-@query(
-    "scatter_gather",
-    f"""WITH {_L}, o AS (SELECT seq, m, acct AS src, peer AS dst, list_filter(ins, lambda x: x.peer <> peer) AS fi FROM a WHERE dir = 'O'),
-  d AS (SELECT seq, list_distinct(list_transform(list_filter(ins, lambda x: x.peer <> peer), lambda x: x.peer)) AS senders FROM a WHERE dir = 'I'),
-  u AS (SELECT seq, m, src, unnest(fi) AS x FROM o),
-  f AS (SELECT seq, m, src, x.peer AS funder, max(x.seq) AS latest FROM u GROUP BY ALL),
-  k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY latest DESC) AS place FROM f),
-  so AS (SELECT acct, seq AS at, o0 FROM s WHERE dir = 'O'),
-  j AS (SELECT k.seq, k.m, k.src, k.funder, k.place, so.o0 FROM k ASOF JOIN so ON k.funder = so.acct AND k.seq >= so.at WHERE place <= 24),
-  c AS (SELECT j.seq, place, funder, len(list_intersect(list_distinct(list_transform(list_filter(o0, lambda x: x.m >= m - 5760 AND x.peer <> src), lambda x: x.peer)), senders)) AS n FROM j JOIN d ON j.seq = d.seq),
-  b AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY n DESC, place) AS r FROM c WHERE n > 0)
-  SELECT seq, n + 1 AS paths, funder AS origin FROM b WHERE r = 1""",
-)
+@query("scatter_gather", f"WITH {_L}, {_SG} SELECT seq, paths, origin FROM sg")
 def _scatter(spark, sf_dir):
     return paths.scatter_gather(transfers(spark, sf_dir), CFG).select("seq", F.col("paths").cast("long").alias("paths"), "origin")
 
 
-def _cycle_sql() -> str:
-    hops = ["h0 AS (SELECT seq AS x, m AS xm, src AS xs, dst AS xd, src AS node, m AS bound FROM g)"]
-    for k in range(1, 6):
-        hops.append(f"c{k} AS (SELECT DISTINCT x FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.src = h.xd AND g.seq < h.x AND g.m <= h.bound AND g.m >= h.xm - 5760)")
-        hops.append(f"h{k} AS (SELECT x, xm, xs, xd, g.src AS node, max(g.m) AS bound FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.seq < h.x AND g.m <= h.bound AND g.m >= h.xm - 5760 WHERE g.src <> h.xs AND h.x NOT IN (SELECT x FROM c{k}) GROUP BY ALL)")
-    union = " UNION ALL ".join(f"SELECT x AS seq, {k + 1} AS cycle_len FROM c{k}" for k in range(1, 6))
-    return f"WITH {_T}, g AS (SELECT seq, m, src, dst FROM t WHERE src <> dst), {', '.join(hops)} {union}"
+@query("cycle_len", f"WITH {_T}, {_cycle_ctes()} SELECT seq, cycle_len, round(cycle_amount_ratio, 6) AS cycle_amount_ratio, array_to_string(cycle_edges, ',') AS cycle_edges FROM cy")
+def _cycle(spark, sf_dir):
+    found = paths.cycles(transfers(spark, sf_dir), CFG)
+    return found.select("seq", "cycle_len", F.round("cycle_amount_ratio", 6).alias("cycle_amount_ratio"), _joined(F.col("cycle_edges")).alias("cycle_edges"))
 
 
-@query("cycle_len", _cycle_sql())
-def _cycle(spark, sf_dir):
-    return paths.cycles(transfers(spark, sf_dir), CFG).select("seq", "cycle_len")
+def _joined(numbers: Column) -> Column:
+    return F.array_join(F.transform(numbers, lambda x: x.cast("string")), ",")
 
 
-@query("detector_hits")
+@query("detector_hits", _HITS_SQL)
 def _hits(spark, sf_dir):
-    t = transfers(spark, sf_dir)
-    found = detectors.hits(t, cfg=CFG)
-    return found.select("seq", F.array_join(F.transform("hits", lambda h: h["name"]), ",").alias("names"), F.array_join(F.transform("hits", lambda h: h["detail"]), "; ").alias("details"))
+    order = F.array(*map(F.lit, (*detectors.STRUCTURAL, "velocity")))
+    found = detectors.hits(transfers(spark, sf_dir), cfg=CFG).select("seq", F.explode("hits").alias("h"))
+    return found.select("seq", (F.array_position(order, F.col("h.name")) - 1).cast("int").alias("n"), "h.name", "h.value", _joined(F.col("h.evidence")).alias("evidence"))
 
 
 @query("event_time_clamp", "SELECT event_id AS seq, max(epoch_us(ts) // 60000000 - event_id % 7) OVER (ORDER BY event_id) AS m FROM events")
@@ -315,15 +376,20 @@ def _clusters(spark, sf_dir):
     return _rounded(metrics.alert_clusters(t.select("src", "dst", ((F.col("amount_paid") > 250) & (F.col("seq") % 3 != 0)).alias("label"))))
 
 
-@query("rule_ring_size")
+@query("rule_ring_size", f"{_GRAPH}, {_RG} SELECT pr.seq, coalesce(ring_size, 0) AS ring_size FROM pr LEFT JOIN rz ON pr.seq = rz.seq")
 def _ring(spark, sf_dir):
     return _rings(spark, sf_dir, False).select("seq", "ring_size")
 
 
-@query("ring_members")
+@query(
+    "ring_members",
+    f"""{_GRAPH}, {_RG}, rm AS (SELECT seq, start, node, row_number() OVER (PARTITION BY seq ORDER BY node) AS k FROM rc),
+  rl AS (SELECT rc.seq, min(lk.seq) AS ring_id, count(DISTINCT lk.seq) AS ring_edges FROM rc JOIN es USING (start) JOIN lk ON lk.src = rc.node AND lk.seq <= rc.seq AND lk.m >= rc.start - 5760 AND lk.m < stop GROUP BY rc.seq)
+  SELECT rl.seq, ring_id, ring_edges, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM rl JOIN rm ON rm.seq = rl.seq AND k <= 50 GROUP BY ALL""",
+)
 def _members(spark, sf_dir):
     r = _rings(spark, sf_dir, True)
-    return r.where("ring_id IS NOT NULL").select("seq", "ring_id", "ring_edges", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return r.where("ring_id IS NOT NULL").select("seq", "ring_id", F.col("ring_edges").cast("long").alias("ring_edges"), _joined(F.col("members")).alias("members"))
 
 
 def _rings(spark: SparkSession, sf_dir: str, members: bool) -> DataFrame:
