@@ -201,7 +201,7 @@ def _sketch_table(texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets of five-word shingles are similar enough."""
-    from .passages import SHINGLE, WordHashes, _aligned_blocks, _shingled
+    from .passages import SHINGLE, WordHashes, _aligned_blocks
 
     pairs = materialise(pairs, "pairs")
     used = materialise(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
@@ -214,11 +214,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             names = [batch.column(k).to_pylist() for k in (0, 1)]
             texts = tuple([t or "" for t in batch.column(k).to_pylist()] for k in (2, 3))
             for rows, held in _aligned_blocks(names, texts, hashes):
-                sets = {k: np.unique(_shingled(ids)) for k, ids in held.items()}
+                sets = {k: np.unique(shingles) for k, (_, shingles) in held.items()}
                 for row in rows:
                     a, b = names[0][row], names[1][row]
-                    if min(len(held[a]), len(held[b])) < SHINGLE:
-                        keep[row] = np.array_equal(held[a], held[b])
+                    if min(len(held[a][0]), len(held[b][0])) < SHINGLE:
+                        keep[row] = np.array_equal(held[a][0], held[b][0])
                         continue
                     c = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     keep[row] = c >= similarity * (len(sets[a]) + len(sets[b]) - c)
