@@ -76,8 +76,9 @@ def fold_of(key: Column) -> Column:
 
 
 def keep_negative(row: Column, rate: float) -> Column:
-    """A deterministic sample of rows, by a multiplicative hash of the id."""
-    return F.pmod(F.pmod(row, F.lit(1_000_003)) * 2_654_435 + 12_345, F.lit(1_000_000)) < int(rate * 1_000_000)
+    """A deterministic sample of rows, by a hash of the id."""
+    digest = F.substring(F.md5(F.concat(F.lit("row:"), row.cast("string"))), 1, 12)
+    return F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(1_000_000)) < int(rate * 1_000_000)
 
 
 def split_of(m: Column, train_end: Column | int, val_end: Column | int) -> Column:
@@ -85,6 +86,7 @@ def split_of(m: Column, train_end: Column | int, val_end: Column | int) -> Colum
 
 
 def priority(max_score: Column, alerts: Column, total: Column) -> Column:
+    # The bounds of a case's priority.
     return (
         F.when(((max_score >= 0.9) & (alerts >= 3)) | (total >= 1_000_000), "CRITICAL")
         .when((max_score >= 0.85) | (alerts >= 5) | (total >= 100_000), "HIGH")
@@ -102,19 +104,19 @@ _CURRENCY_CODES = {
     "us dollar": "USD", "euro": "EUR", "yuan": "CNY", "yen": "JPY", "rupee": "INR", "swiss franc": "CHF", "shekel": "ILS", "canadian dollar": "CAD",
     "australian dollar": "AUD", "uk pound": "GBP", "mexican peso": "MXN", "brazil real": "BRL", "ruble": "RUB", "saudi riyal": "SAR", "bitcoin": "XBT",
 }
-_MODES = {"ach": "ACH", "wire": "WIRE", "cash": "CASH", "cheque": "CHEQUE", "credit card": "CARD", "bitcoin": "VIRTUAL", "reinvestment": "INTERNAL"}
+_MODES = {"ach": "ACH", "wire": "WIRE", "cheque": "CHEQUE", "credit card": "CARD", "cash": "CASH", "bitcoin": "VIRTUAL", "reinvestment": "INTERNAL"}
 _INDICATORS = {
-    "fan_out": ("MRD-FANOUT", "Rapid dispersal of funds to many accounts (fan-out)"),
-    "fan_in": ("MRD-FANIN", "Funds collected from many accounts (fan-in)"),
-    "cycle": ("MRD-CYCLE", "Circular movement of funds returning to origin"),
-    "scatter_gather": ("MRD-SCATGATH", "Scatter-gather layering through intermediaries"),
-    "gather_scatter": ("MRD-GATHSCAT", "Gather-scatter consolidation then dispersal"),
-    "pass_through": ("MRD-PASSTHRU", "Pass-through account: funds in and out within a short window"),
-    "velocity": ("MRD-VELOCITY", "Unusual transaction velocity"),
-    "ring": ("MRD-RING", "Member of a connected money-mule ring"),
-    "model": ("MRD-MODEL", "Model risk score above alert threshold"),
+    "fan_out": ("FANOUT", "Rapid dispersal of funds to many accounts (fan-out)"),
+    "fan_in": ("FANIN", "Funds collected from many accounts (fan-in)"),
+    "cycle": ("CYCLE", "Circular movement of funds returning to origin"),
+    "scatter_gather": ("SCATGATH", "Scatter-gather layering through intermediaries"),
+    "gather_scatter": ("GATHSCAT", "Gather-scatter consolidation then dispersal"),
+    "pass_through": ("PASSTHRU", "Pass-through account: funds in and out within a short window"),
+    "velocity": ("VELOCITY", "Unusual transaction velocity"),
+    "ring": ("RING", "Member of a connected money-mule ring"),
+    "model": ("MODEL", "Model risk score above alert threshold"),
 }
-_OTHER_INDICATOR = ("MRD-OTHER", "Other suspicious network pattern")
+_OTHER_INDICATOR = ("OTHER", "Other suspicious network pattern")
 
 
 def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
@@ -137,8 +139,9 @@ def funds_code(fmt: Column) -> Column:
     return F.when(mode.isin("CASH", "VIRTUAL", "CHEQUE"), mode).otherwise("ACCOUNT")
 
 
-def indicator_code(detector: Column) -> Column:
-    return _lookup({k: v[0] for k, v in _INDICATORS.items()}, detector, _OTHER_INDICATOR[0])
+def indicator_code(detector: Column, prefix: str = "") -> Column:
+    """Code of a detector in reports, behind the reporting system's ``prefix``."""
+    return F.concat(F.lit(prefix), _lookup({k: v[0] for k, v in _INDICATORS.items()}, detector, _OTHER_INDICATOR[0]))
 
 
 def indicator_text(detector: Column) -> Column:

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from ..schema import Config
 
 
+#: What an account has done over its whole life.
+TOTALS = ("history", "total_out", "total_in", "first_seen")
+
+
 def account_rows(transfers: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Two rows per transfer, one per account: ``acct``, ``dir`` (O, I, or S for
     a transfer to oneself, which is no edge), ``peer``, ``seq``, ``m``, ``amount``, ``ach``."""
@@ -33,12 +37,13 @@ def live(lists: str, within: int) -> Column:
     return F.filter(F.col(lists), lambda x: x["m"] >= F.col("m") - within)
 
 
-def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[str, ...] = ("m", "peer", "seq", "amount", "ach"), extra: tuple[str, ...] = ()) -> DataFrame:
+def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[str, ...] = ("m", "peer", "seq", "amount", "ach"), extra: tuple[str, ...] = (), before: DataFrame | None = None) -> DataFrame:
     """``account_rows`` with ``outs`` and ``ins``: the live entries of the
     account as of the transfer, its own included, oldest first; and the account's
     ``history`` (lifetime transfers), ``total_out``, ``total_in`` and ``first_seen``.
 
-    Transfers to oneself only set ``first_seen``; they get no row.
+    Transfers to oneself only set ``first_seen``; they get no row. ``before`` has the same totals of each
+    ``acct`` over older transfers that aren't here any more.
     """
     rows = account_rows(transfers, extra).repartition("acct")
     own = Window.partitionBy("acct", "dir").orderBy("seq").rowsBetween(1 - cfg.cap, 0)
@@ -54,10 +59,19 @@ def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[s
         F.sum(F.when(F.col("dir") == "I", 1).otherwise(0)).over(life).alias("total_in"),
         F.min("m").over(life).alias("first_seen"),
     ).where("dir <> 'S'")
+    if before is not None:
+        older = before.select("acct", *(F.col(c).alias(f"_{c}") for c in TOTALS))
+        rows = rows.join(older, "acct", "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in TOTALS[:3]} | {"first_seen": F.least("first_seen", "_first_seen")}).drop(*(f"_{c}" for c in TOTALS))
     none = F.array().cast(rows.schema["_l"].dataType)
     return rows.withColumns({"outs": F.coalesce(live("_o", cfg.window), none), "ins": F.coalesce(live("_i", cfg.window), none)}).drop("_l", "_o", "_i")
 
 
+def totals(transfers: DataFrame) -> DataFrame:
+    """``acct`` and its ``TOTALS`` over all its transfers; those to itself count for ``first_seen`` alone."""
+    n = lambda *d: F.sum(F.col("dir").isin(*d).cast("long"))
+    return account_rows(transfers).groupBy("acct").agg(n("O", "I").alias("history"), n("O").alias("total_out"), n("I").alias("total_in"), F.min("m").alias("first_seen"))
+
+
 def peers(entries: Column) -> Column:
     """Distinct counterparties of a list, by first appearance."""
     return F.array_distinct(F.transform(entries, lambda x: x["peer"]))

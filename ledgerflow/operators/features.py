@@ -6,6 +6,8 @@ neighbourhoods; scatter-gather, cycles and rings join further accounts in.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,11 @@ def pass_through(cfg: Config) -> Column:
     return F.struct((F.col("m") - hit["m"]).alias("gap"), (F.col("amount") / hit["amount"]).alias("ratio"), hit["seq"].alias("seq"))
 
 
-def account_sides(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False) -> DataFrame:
+def account_sides(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False, before: DataFrame | None = None) -> DataFrame:
     """Two rows per transfer, one per account, with all that its neighbourhood gives: the raw values
     (no logarithms) of both directions, the sender's most recent distinct ``funders`` and, with ``evidence``, the
     sequence numbers that a detector would show. One exchange by account serves them all."""
-    rows = adjacency.live_adjacency(transfers, cfg)
+    rows = adjacency.live_adjacency(transfers, cfg, before=before)
     pairs = F.size(F.filter("outs", lambda x: (x["peer"] == F.col("peer")) & (x["seq"] != F.col("seq"))))
     days = F.greatest((F.col("m") - F.col("first_seen")) / 1440, F.lit(1.0))
     usual = F.col("total_out") / days * (cfg.velocity_window / 1440)
@@ -92,17 +94,25 @@ def account_values(transfers: DataFrame, cfg: Config = Config(), sides: DataFram
     )
 
 
-def graph_values(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False) -> DataFrame:
+def graph_values(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False, asked: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """``account_values`` with scatter-gather (``paths``, ``origin``, ``mids``) and cycles (``cycle_len``,
-    ``cycle_amount_ratio``, ``cycle_edges``) of every transfer, written out: features, rings and detectors read it."""
-    sides = written(account_sides(transfers, cfg, evidence), "sides")
-    sg, cyc = paths.scatter_gather(transfers, cfg, sides), paths.cycles(transfers, cfg)
-    return written(account_values(transfers, cfg, sides).join(sg, "seq", "left").join(cyc, "seq", "left"), "values")
+    ``cycle_amount_ratio``, ``cycle_edges``) of every transfer, written out: features, rings and detectors read it.
+
+    ``asked`` limits the result to some ``seq``; ``before`` is as in ``adjacency.live_adjacency``.
+    """
+    sides = written(account_sides(transfers, cfg, evidence, before), "sides")
+    sg, cyc = paths.scatter_gather(transfers, cfg, sides, asked), paths.cycles(transfers, cfg, asked)
+    wanted = sides if asked is None else sides.join(asked.select("seq"), "seq", "left_semi")
+    return written(account_values(transfers, cfg, wanted).join(sg, "seq", "left").join(cyc, "seq", "left"), "values")
+
 
+def base_features(transfers: DataFrame, cfg: Config = Config(), values: DataFrame | None = None, ring: DataFrame | None = None) -> DataFrame:
+    """``seq`` and the thirty features that need no model. Transfers to oneself have zeros.
 
-def base_features(transfers: DataFrame, cfg: Config = Config(), with_rings: bool = True) -> DataFrame:
-    """``seq`` and the thirty features that need no model. Transfers to oneself have zeros."""
-    joined = graph_values(transfers, cfg)
+    ``values`` are ``graph_values``, ``ring`` the ``ring_size`` of each transfer; both are found where they aren't given.
+    """
+    joined = graph_values(transfers, cfg) if values is None else values
+    ring = rings.rule_rings(transfers, hit_flags(joined, cfg), cfg) if ring is None else ring
     edge = {
         "src_out_distinct": log1p(F.col("src_out")), "dst_in_distinct": log1p(F.col("dst_in")), "src_in_distinct": log1p(F.col("src_in")), "dst_out_distinct": log1p(F.col("dst_out")),
         "scatter_gather_paths": F.coalesce("paths", F.lit(0)).cast("double"), "gather_scatter_degree": log1p(F.least("src_in", "src_out")),
@@ -112,24 +122,29 @@ def base_features(transfers: DataFrame, cfg: Config = Config(), with_rings: bool
         "src_history": log1p(F.col("src_history")), "dst_history": log1p(F.col("dst_history")), "src_out_ach_share": F.col("src_ach_share"), "dst_in_ach_share": F.col("dst_ach_share"),
     }
     graph = joined.select("seq", *(c.alias(n) for n, c in edge.items()))
-    out = txn_features(transfers).join(graph, "seq", "left")
-    if with_rings:
-        ring = rings.rule_rings(transfers, hit_flags(joined, cfg), cfg).select("seq", log1p(F.col("ring_size")).alias("rule_ring_size"))
-        out = out.join(ring, "seq", "left")
-    else:
-        out = out.withColumn("rule_ring_size", F.lit(0.0))
+    sized = ring.select("seq", log1p(F.col("ring_size")).alias("rule_ring_size"))
+    out = txn_features(transfers).join(graph, "seq", "left").join(sized, "seq", "left")
     return out.select("seq", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in STAGE1))
 
 
+def _firing(cfg: Config) -> dict[str, Column]:
+    """When each detector fires, over ``graph_values``."""
+    return {
+        "fan_out": F.col("src_out") >= cfg.fan_threshold, "fan_in": F.col("dst_in") >= cfg.fan_threshold, "scatter_gather": F.coalesce("paths", F.lit(0)) >= cfg.sg_min_paths,
+        "gather_scatter": (F.col("src_in") >= cfg.gs_min_degree) & (F.col("src_out") >= cfg.gs_min_degree), "cycle": F.col("cycle_len").isNotNull(),
+        "pass_through": F.coalesce(F.col("pass_gap") <= cfg.pass_window, F.lit(False)), "velocity": (F.col("sent_24h") >= cfg.velocity_min) & (F.col("velocity_ratio") >= cfg.velocity_ratio),
+    }
+
+
+def fired(cfg: Config = Config()) -> Column:
+    """How many different detectors fire, over ``graph_values``."""
+    return sum((c.cast("int") for c in _firing(cfg).values()), F.lit(0))
+
+
 def hit_flags(values: DataFrame, cfg: Config = Config()) -> DataFrame:
     """``seq``, whether a structural detector fires, and both accounts' degrees."""
-    fired = (
-        (F.col("src_out") >= cfg.fan_threshold) | (F.col("dst_in") >= cfg.fan_threshold)
-        | (F.coalesce("paths", F.lit(0)) >= cfg.sg_min_paths)
-        | ((F.col("src_in") >= cfg.gs_min_degree) & (F.col("src_out") >= cfg.gs_min_degree))
-        | F.col("cycle_len").isNotNull() | (F.coalesce("pass_gap", F.lit(1 << 30)) <= cfg.pass_window)
-    )
-    return values.select("seq", fired.alias("structural"), "src_degree", "dst_degree")
+    structural = reduce(lambda a, b: a | b, (c for name, c in _firing(cfg).items() if name != "velocity"))
+    return values.select("seq", structural.alias("structural"), "src_degree", "dst_degree")
 
 
 def neighbour_features(scored: DataFrame, cfg: Config = Config()) -> DataFrame:

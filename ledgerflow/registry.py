@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 CFG = Config()
+#: Score from which a transfer is an alert, for the queries on clusters and cases.
+ALERT_AT = 0.8
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -282,7 +284,7 @@ def _split(spark, sf_dir):
     return t.groupBy(S.split_of(F.col("m_raw"), ends.train_end, ends.val_end).alias("split")).agg(F.count("*").alias("n"), F.min("m_raw").alias("first"), F.max("m_raw").alias("last"))
 
 
-@query("negative_sample", "SELECT event_id AS seq FROM events WHERE ((event_id % 1000003) * 2654435 + 12345) % 1000000 < 100000")
+@query("negative_sample", "SELECT event_id AS seq FROM events WHERE CAST('0x' || substr(md5('row:' || event_id), 1, 12) AS BIGINT) % 1000000 < 100000")
 def _negatives(spark, sf_dir):
     return transfers(spark, sf_dir).where(S.keep_negative(F.col("seq"), 0.1)).select("seq")
 
@@ -324,7 +326,7 @@ def _per_10k(spark, sf_dir):
 
 @query("pr_sweep", f'WITH {_SW} SELECT threshold, tp, fp, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep')
 def _sweep(spark, sf_dir):
-    return _rounded(metrics.pr_sweep(_scored(spark, sf_dir)))
+    return _rounded(metrics.pr_sweep(_scored(spark, sf_dir)).select("threshold", "tp", "fp", "precision", "recall", "f1"))
 
 
 @query("average_precision", f'WITH {_SW} SELECT round(sum((recall - prev) * "precision"), 6) AS ap FROM (SELECT *, lag(recall, 1, 0) OVER (ORDER BY threshold DESC) AS prev FROM sweep) AS q')
@@ -334,16 +336,16 @@ def _ap(spark, sf_dir):
 
 @query("best_f1", f'WITH {_SW} SELECT threshold, tp, fp, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep ORDER BY f1 DESC, threshold DESC LIMIT 1')
 def _best(spark, sf_dir):
-    return _rounded(metrics.best_f1(metrics.pr_sweep(_scored(spark, sf_dir))))
+    return _rounded(metrics.best_f1(metrics.pr_sweep(_scored(spark, sf_dir))).select("threshold", "tp", "fp", "precision", "recall", "f1"))
 
 
 # Patterns for recall: each user's transfers of one type are one attempt.
-_MP = _SC + ", mp AS (SELECT e.user_id AS idx, e.event_type AS typology, e.event_id AS seq, epoch_us(e.ts) // 60000000 AS m, x.score >= 0.75 AS alert FROM events AS e JOIN x ON e.event_id = x.seq WHERE e.event_id % 4 = 0)"
+_MP = _SC + ", mp AS (SELECT e.user_id AS idx, e.event_type AS typology, e.event_id AS seq, epoch_us(e.ts) // 60000000 AS m, x.score >= 0.75 AS alert FROM events AS e JOIN x ON e.event_id = x.seq)"
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).select(F.col("seq").cast("string").alias("key"), "seq", "m", (F.col("score") >= 0.75).alias("alert"))
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 4 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     patterns = e.groupBy(F.col("user_id").alias("index"), F.col("event_type").alias("typology")).agg(F.collect_list(F.col("event_id").cast("string")).alias("keys"))
     return metrics.matched_patterns(rows, patterns)
 
@@ -363,7 +365,7 @@ def _typology(spark, sf_dir):
 
 @query(
     "alert_clusters",
-    """WITH RECURSIVE al AS (SELECT user_id AS a, CAST(props->>'k' AS BIGINT) AS b, value > 250 AND event_id % 3 <> 0 AS label FROM events WHERE value > 200),
+    """WITH RECURSIVE al AS (SELECT user_id AS a, CAST(props->>'k' AS BIGINT) AS b, value > 250 AND event_id % 3 <> 0 AS label FROM events WHERE value / (value + 50) >= CAST('0.8' AS DOUBLE)),
   ed AS (SELECT DISTINCT a, b FROM al UNION SELECT b, a FROM al), nodes AS (SELECT DISTINCT a AS n FROM ed),
   reach AS (SELECT n AS node, n AS other FROM nodes UNION SELECT reach.node, ed.b FROM reach JOIN ed ON reach.other = ed.a),
   lab AS (SELECT node, min(other) AS root FROM reach GROUP BY node), sz AS (SELECT root, count(*) AS size FROM lab GROUP BY root),
@@ -372,7 +374,7 @@ def _typology(spark, sf_dir):
   SELECT (SELECT count(*) FROM per) AS clusters, round((SELECT avg(tr) FROM per), 6) AS cluster_precision, (SELECT max(size) FROM o WHERE i = n // 2) AS median_size, (SELECT max(size) FROM per) AS max_size""",
 )
 def _clusters(spark, sf_dir):
-    t = transfers(spark, sf_dir).where("amount_paid > 200")
+    t = transfers(spark, sf_dir).where(F.col("amount_paid") / (F.col("amount_paid") + 50) >= ALERT_AT)
     return _rounded(metrics.alert_clusters(t.select("src", "dst", ((F.col("amount_paid") > 250) & (F.col("seq") % 3 != 0)).alias("label"))))
 
 
@@ -407,12 +409,12 @@ def _stats(spark, sf_dir):
     return per.agg(F.count("*").alias("accounts"), F.sum("live").alias("live_edges"), F.max("edges").alias("busiest"))
 
 
-# Alerts for the case queries: transfers over a value; account keys with their bank.
-_AL = """al AS (SELECT 'txn-' || event_id AS alert_id, event_id AS alert_no, event_id AS tx_id, (user_id % 20) || ':' || user_id AS fa, ((CAST(props->>'k' AS BIGINT)) % 20) || ':' || (props->>'k') AS ta, round(value, 2) AS amount, value / (value + 50) AS score, ts FROM events WHERE value > 200)"""
+# Alerts for the cluster and case queries: transfers whose score reaches the alert threshold; account keys with their bank.
+_AL = """al AS (SELECT 'txn-' || event_id AS alert_id, event_id AS alert_no, event_id AS tx_id, (user_id % 20) || ':' || user_id AS fa, ((CAST(props->>'k' AS BIGINT)) % 20) || ':' || (props->>'k') AS ta, round(value, 2) AS amount, value / (value + 50) AS score, ts FROM events WHERE value / (value + 50) >= CAST('0.8' AS DOUBLE))"""
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = transfers(spark, sf_dir).where("amount_paid > 200")
+    t = transfers(spark, sf_dir).where(F.col("amount_paid") / (F.col("amount_paid") + 50) >= ALERT_AT)
     key = lambda a, b: S.account_key(F.col(a), F.col(b))
     return t.select(
         F.concat(F.lit("txn-"), F.col("seq").cast("string")).alias("alert_id"), F.col("seq").alias("alert_no"), F.col("seq").alias("tx_id"), key("from_bank", "from_account").alias("from_account"), key("to_bank", "to_account").alias("to_account"),
@@ -526,7 +528,7 @@ def _ref(spark, sf_dir):
 def _trained(spark: SparkSession, sf_dir: str):
     t = transfers(spark, sf_dir)
     ends = src.split_boundaries(t).first()
-    return t, *alert_plan.scored_transfers(t, ends.train_end, CFG, trees=10, depth=3)
+    return t, *alert_plan.scored_transfers(t, ends.train_end, ends.val_end, CFG, trees=10, depth=3)[:2]
 
 
 @query("stage1_score")

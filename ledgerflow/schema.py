@@ -92,6 +92,7 @@ ALERT = T.StructType(
 class Config:
     """Windows, caps and thresholds; minutes unless said otherwise."""
 
+    # The defaults.
     window: int = 5760
     cap: int = 256
     fan_threshold: int = 5
@@ -112,7 +113,7 @@ class Config:
     evidence_cap: int = 30
 
 
-#: The feature vector, in order. The last three come from neighbours' first-stage scores.
+# The feature vector, in order. The last three come from neighbours' first-stage scores.
 FEATURES = (
     *(f"fmt_{f.lower().replace(' ', '_')}" for f in PAYMENT_FORMATS),
     "log_amount_usd", "cross_currency", "same_bank", "round_amount",

@@ -1,53 +1,87 @@
-"""Streaming: the batch feature plan over a retained window, one micro-batch at a time.
+"""Streaming: the batch plans over a retained window, one micro-batch at a time.
 
-Every micro-batch runs the same plan as the batch engine, over the retained
-transfers and its own, and emits rows of its own alone. What is retained is one
-window of transfers. Each batch writes to a folder of its id: a batch that
-Spark repeats after a failure overwrites what it wrote, so results count once.
+Every micro-batch runs the same plans as the batch engine, over the retained
+transfers and its own, and emits rows of its own alone. What is retained: one window of transfers (with their
+first-stage scores), the lifetime totals of accounts over what is older, the edges that link rings, and the clock. All
+of it is written per batch, as are the results: a batch that
+Spark repeats after a failure reads the state before it and overwrites what it wrote, so results count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features
-from ..schema import Config
+from ..operators import adjacency, features, rings
+from ..plans import alerts as alert_plan
+from ..plans.models import Model
+from ..schema import FEATURES, Config
+from ..sources.transfers import clamp_event_time
+from ..storage import written
+
+_EDGE = ("seq", "m", "src", "dst")
 
 
 class Replay:
     """Scores a stream of canonical transfers (with ``m_raw``).
 
-    ``emit(rows)`` maps a batch's features to what is written, by default
-    themselves. Late transfers are stamped with the clock, never dropped. The
-    lifetime counts start with the retained window.
+    Writes features to ``out/<batch>`` and, with a ``model`` and the ``stage1`` models that its neighbour features need, scores to
+    ``scores/<batch>`` and alert documents to ``alerts/<batch>``. Late transfers are stamped with the clock, never dropped.
     """
 
-    def __init__(self, spark: SparkSession, path: str, cfg: Config = Config(), emit: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.path, self.cfg, self.emit = spark, path.rstrip("/"), cfg, emit or (lambda rows: rows)
+    def __init__(self, spark: SparkSession, path: str, cfg: Config = Config(), model: Model | None = None, stage1: tuple[Model, ...] = ()):
+        self.spark, self.path, self.cfg, self.model, self.stage1 = spark, path.rstrip("/"), cfg, model, stage1
+
+    def _read(self, what: str, batch_id: int) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/state/{batch_id}/{what}") if batch_id >= 0 else None
 
-    def _state(self, batch: int) -> str:
-        return f"{self.path}/state/{batch}"
+    def _write(self, df: DataFrame, what: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{what.format(batch_id)}")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("m", F.col("m_raw"))
-        before = self.spark.read.parquet(self._state(batch_id - 1)) if batch_id > 0 else None
-        clock = before.agg(F.max("m")).first()[0] if before is not None else None
-        if clock is not None:
-            batch = batch.withColumn("m", F.greatest("m", F.lit(clock)))
-        from ..sources.transfers import clamp_event_time
-
-        batch = clamp_event_time(batch.drop("m_raw").withColumnRenamed("m", "m_raw"))
-        rows = batch if before is None else before.unionByName(batch)
-        out = features.base_features(rows, self.cfg, with_rings=False).join(batch.select("seq"), "seq", "left_semi")
-        self.emit(out).write.mode("overwrite").parquet(f"{self.path}/out/{batch_id}")
+        cfg, ago = self.cfg, batch_id - 1
+        at = self._read("clock", ago)
+        at = at.first() if at is not None else None
+        clock, epoch = (at.clock, at.epoch) if at else (None, None)
+        late = batch.withColumn("m_raw", F.greatest("m_raw", F.lit(clock).cast("long")))  # greatest skips nulls
+        batch = written(clamp_event_time(late.withColumn("_raw", F.col("m_raw")).drop("m")).drop("_raw").withColumn("s1", F.lit(None).cast("double")), "batch")
+        with_state = lambda what, new: new if ago < 0 else self._read(what, ago).unionByName(new)
+        rows, before = with_state("rows", batch), self._read("totals", ago)
+        asked = batch.select("seq")
+        values = features.graph_values(rows, cfg, evidence=self.model is not None, asked=asked, before=before)
+        spans = rings.epochs(batch, cfg, epoch)
+        linked = with_state("linked", batch.join(rings.linking(features.hit_flags(values, cfg), cfg), "seq", "left_semi").select(*_EDGE))
+        ring = rings.running_rings(batch, linked, spans, cfg)
+        found = written(features.base_features(batch, cfg, values, ring), "found")
+        self._write(found, "out/{}", batch_id)
+        alerted = with_state("alerted", batch.where("false").select(*_EDGE))
+        if self.model is not None:
+            staged = batch.drop("s1").join(found, "seq")
+            first = sum((m.score() for m in self.stage1), F.lit(0.0)) / max(1, len(self.stage1))
+            batch = written(staged.withColumn("s1", first).select(*batch.columns), "batch")
+            rows = with_state("rows", batch)
+            near = features.neighbour_features(rows, cfg).join(asked, "seq", "left_semi")
+            full = staged.join(near, "seq", "left").fillna(0.0, subset=list(FEATURES[30:]))
+            scored = written(full.withColumn("score", self.model.score()), "scored")
+            self._write(scored.select("seq", "score"), "scores/{}", batch_id)
+            alerted = with_state("alerted", scored.where(F.col("score") >= self.model.threshold).where("src <> dst").select(*_EDGE))
+            circle = rings.running_rings(batch, alerted, spans, cfg, members=True)
+            self._write(alert_plan.alerts(rows, scored, self.model, cfg, values, circle), "alerts/{}", batch_id)
         now = batch.agg(F.max("m")).first()[0]
-        now = now if now is not None else clock
-        kept = rows if now is None else rows.where(F.col("m") >= now - self.cfg.window)
-        kept.write.mode("overwrite").parquet(self._state(batch_id))
+        now = clock if now is None else now
+        epoch = spans[-1][0] if spans else epoch
+        horizon, base = (F.lit(x).cast("long") - cfg.window for x in (now, epoch))
+        keep = F.coalesce(F.col("m") >= horizon, F.lit(True))
+        gone = adjacency.totals(rows.where(~keep))
+        older = gone if before is None else before.unionByName(gone).groupBy("acct").agg(*(F.sum(c).alias(c) for c in adjacency.TOTALS[:3]), F.min("first_seen").alias("first_seen"))
+        for what, df in (("rows", rows.where(keep)), ("totals", older), ("linked", linked.where(F.coalesce(F.col("m") >= base, F.lit(True)))), ("alerted", alerted.where(F.coalesce(F.col("m") >= base, F.lit(True)))), ("clock", self.spark.createDataFrame([(now, epoch)], "clock long, epoch long"))):
+            self._write(df, f"state/{batch_id}/{what}", batch_id)
+        self._forget(batch_id - 2)
 
+    def _forget(self, batch_id: int) -> None:
+        """Delete a state that no batch can read any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/{batch_id}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def start(self, stream: DataFrame, **options):
         """The running query; ``checkpointLocation`` lies beside the results."""

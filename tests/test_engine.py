@@ -31,7 +31,7 @@ def test_scalars(spark):
     assert one(spark, S.usd_rate(F.lit("Euro"))) == 1.1718 and one(spark, S.usd_rate(F.lit("?"))) == 1.0
     assert [one(spark, S.currency_code(F.lit(c))) for c in ("Euro", " euro ", "GBP", "gbp", None)] == ["EUR", "EUR", "GBP", "XXX", "XXX"]
     assert [one(spark, S.funds_code(F.lit(c))) for c in ("Bitcoin", "cash", "ACH", "?")] == ["VIRTUAL", "CASH", "ACCOUNT", "ACCOUNT"]
-    assert one(spark, S.indicator_code(F.lit("cycle"))) == "MRD-CYCLE" and one(spark, S.case_reference(F.lit(2024), F.lit(7))) == "CASE-2024-000007"
+    assert one(spark, S.indicator_code(F.lit("cycle"), "X-")) == "X-CYCLE" and one(spark, S.case_reference(F.lit(2024), F.lit(7))) == "CASE-2024-000007"
 
 
 @pytest.mark.parametrize("row", [(0.9, 3, 1, "CRITICAL"), (0.1, 1, 1_000_000, "CRITICAL"), (0.86, 1, 1, "HIGH"), (0.1, 5, 1, "HIGH"), (0.6, 1, 1, "MEDIUM"), (0.59, 1, 1, "LOW")])
@@ -40,20 +40,20 @@ def test_priority(spark, row):
 
 
 CSV = """Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering,Row Id
-2022/09/01 00:06,021174,800737690,012,80011F990,2848.96,Euro,2848.96,Euro,ACH,1,0
-2022/09/01 00:04,021174,800737690,012,80011F990,5,Euro,100,Euro,Odd,0,1
+2023/03/05 10:26,0077,5501A,0031,7702B,310.25,Euro,310.25,Euro,ACH,1,0
+2023/03/05 10:24,0077,5501A,0031,7702B,5,Euro,100,Euro,Odd,0,1
 """
 
 
 def test_csv_source_and_sinks(spark, tmp_path):
     (tmp_path / "t.csv").write_text(CSV)
     rows = transfers.read_csv(spark, str(tmp_path / "t.csv")).orderBy("seq").collect()
-    assert [(r.src, r.dst, r.format, r.label) for r in rows] == [("021174:800737690", "012:80011F990", "ACH", True), ("021174:800737690", "012:80011F990", "Other", False)]
-    assert rows[1].m_raw == rows[0].m_raw - 2 and rows[1].m == rows[0].m and rows[0].amount_usd == pytest.approx(2848.96 * 1.1718)
+    assert [(r.src, r.dst, r.format, r.label) for r in rows] == [("0077:5501A", "0031:7702B", "ACH", True), ("0077:5501A", "0031:7702B", "Other", False)]
+    assert rows[1].m_raw == rows[0].m_raw - 2 and rows[1].m == rows[0].m and rows[0].amount_usd == pytest.approx(310.25 * 1.1718)
     sinks.write_transfers(transfers.read_csv(spark, str(tmp_path / "t.csv")), str(tmp_path / "out"))
     again = transfers.read_csv(spark, str(tmp_path / "out")).orderBy("seq").collect()
-    assert [r.amount_paid for r in again] == [2848.96, 100.0] and [r.m_raw for r in again] == [r.m_raw for r in rows]
-    (tmp_path / "bad.csv").write_text(CSV.replace("2022/09/01 00:04", "never"))
+    assert [r.amount_paid for r in again] == [310.25, 100.0] and [r.m_raw for r in again] == [r.m_raw for r in rows]
+    (tmp_path / "bad.csv").write_text(CSV.replace("2023/03/05 10:24", "never"))
     with pytest.raises(Exception, match="bad timestamp"):
         transfers.read_csv(spark, str(tmp_path / "bad.csv")).collect()
 
@@ -162,24 +162,69 @@ def test_synthetic_world_models_and_alerts(spark, tmp_path):
     out = alerts.alerts(df, scored, model, cfg)
     assert out.count() == scored.where(F.col("score") >= model.threshold).count() > 0
     sinks.write_alerts(out, str(tmp_path / "alerts"))
-    report = alerts.evaluate(scored, model.threshold)
-    assert 0 <= report["average_precision"] <= 1 and "precision" in alerts.render({"gbdt": report})
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    df, rows = world(spark, [(k % 5, (k * 3 + 1) % 5, 10 * k, 50 + k) for k in range(24)])
-    df = df.withColumn("m_raw", F.col("m")).drop("m")
-    run = Replay(spark, str(tmp_path / "replay"))
-    run.process(df.where("seq < 9"), 0)
-    run.process(df.where("seq >= 9 and seq < 15"), 1)
-    again = Replay(spark, str(tmp_path / "replay"))  # a restarted driver repeats a batch, then goes on
-    again.process(df.where("seq >= 9 and seq < 15"), 1)
-    again.process(df.where("seq >= 15"), 2)
-    got = {r.seq: r for r in spark.read.parquet(*(str(tmp_path / "replay" / "out" / str(k)) for k in range(3))).collect()}
-    want = {r.seq: r for r in features.base_features(df.withColumn("m", F.col("m_raw")), with_rings=False).collect()}
-    assert got.keys() == want.keys()
+    assert alerts.bounded(out, max_alerts=2).count() <= 2 and alerts.bounded(out, emit_from=10**9).count() == 0
+    report = alerts.evaluate(scored, {"gbdt": (F.col("score"), model.threshold)})
+    assert 0 <= report["methods"]["gbdt"]["average_precision"] <= 1 and "precision" in alerts.render(report)
+
+
+def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark):
+    df, patterns = synth.generate(spark, accounts=60, days=6, rate=0.6, per_typology=2, seed=4)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    ends = transfers.split_boundaries(df).first()
+    full, methods, naive = alerts.train_methods(df, ends.train_end, ends.val_end, trees=4, depth=2)
+    assert list(methods) == ["gbdt", "lr", "gbdt_txn_only", "amount_rule", "velocity_rule", "rules_only"] and naive in methods
+    val = full.where((F.col("m") >= ends.train_end) & (F.col("m") < ends.val_end))
+    for score, threshold in methods.values():
+        best = metrics.best_f1(metrics.pr_sweep(val.select(score.alias("score"), "label"))).first()
+        assert threshold == pytest.approx(best.threshold)
+    keyed = full.withColumn("key", F.col("seq").cast("string"))
+    for stop in (None, ends.val_end + 1440):
+        report = alerts.evaluate(keyed, methods, patterns.select("index", "typology", F.transform("keys", lambda k: k).alias("keys")), ends.val_end, stop, naive)
+        assert len(report["methods"]) == 6 and report["rows"] == keyed.where((F.col("m") >= ends.val_end) & (F.lit(stop is None) | (F.col("m") < (stop or 0)))).count()
+        assert set(report["typologies"]) == {"gbdt", naive} and report["curve"]
+
+
+def test_stream_equals_batch_and_alerts_once(spark, tmp_path):
+    """Over several windows, with rings, late transfers, a repeated batch and an empty one."""
+    from tests.test_features import random_edges
+
+    cfg = Config(window=900, fan_threshold=3, hub_degree=30, ring_rebuild=200)
+    df, rows = world(spark, random_edges(5, n=150))
+    assert rows[-1][1] > 4 * cfg.window
+    df = df.withColumn("m_raw", F.col("m") - F.when(F.col("seq") % 9 == 4, F.lit(30)).otherwise(0)).drop("m").withColumn("label", F.col("amount_usd") > 90)
+    whole = transfers.clamp_event_time(df)
+    base = features.base_features(whole, cfg)
+    from ledgerflow.schema import STAGE1
+
+    rows1 = whole.join(base, "seq")
+    first = [models.train_gbdt(rows1.where(F.col("src") % 2 == k), list(STAGE1), trees=2, depth=2) for k in (0, 1)]
+    staged = rows1.withColumn("s1", (first[0].score() + first[1].score()) / 2)
+    full = staged.join(features.neighbour_features(staged, cfg), "seq", "left").fillna(0.0)
+    model = models.train_gbdt(full, [*STAGE1, "nbr_src_in_score", "nbr_src_out_score", "nbr_dst_score"], trees=2, depth=2)
+    model.threshold = full.select(model.score().alias("p")).approxQuantile("p", [0.8], 0.0)[0]
+    scored = full.withColumn("score", model.score()).cache()
+    want_alerts = {r.txId: r for r in alerts.alerts(whole, scored, model, cfg).collect()}
+
+    place = str(tmp_path / "replay")
+    cuts = [(0, 50), (50, 100), (100, 100), (100, 150)]
+    part = lambda k: df.where((F.col("seq") >= cuts[k][0]) & (F.col("seq") < cuts[k][1]))
+    run = Replay(spark, place, cfg, model, tuple(first))
+    run.process(part(0), 0)
+    run.process(part(1), 1)
+    again = Replay(spark, place, cfg, model, tuple(first))  # a restarted driver repeats a batch, then goes on
+    for k in (1, 2, 3):
+        again.process(part(k), k)
+    read = lambda what: spark.read.parquet(*(f"{place}/{what}/{k}" for k in range(4)))
+    got, want = ({r.seq: r for r in x.collect()} for x in (read("out"), base))
+    assert got.keys() == want.keys() and max(r.rule_ring_size for r in want.values()) > 0
     for seq, w in want.items():
-        assert all(math.isclose(got[seq][c], w[c], abs_tol=1e-9) for c in w.asDict()), seq
+        assert all(math.isclose(got[seq][c], w[c], abs_tol=1e-9) for c in w.asDict()), (seq, [(c, got[seq][c], w[c]) for c in w.asDict() if not math.isclose(got[seq][c], w[c], abs_tol=1e-9)])
+    scores = {r.seq: r.score for r in read("scores").collect()}
+    assert all(math.isclose(scores[r.seq], r.score, abs_tol=1e-9) for r in scored.collect())
+    sent = read("alerts").collect()
+    assert sorted(r.txId for r in sent) == sorted(want_alerts) and len(sent) > 10
+    assert all((r.ringId, r.ringAccounts, [d.name for d in r.detectors]) == (w.ringId, w.ringAccounts, [d.name for d in w.detectors]) for r in sent for w in [want_alerts[r.txId]])
+    assert not (tmp_path / "replay" / "state" / "1").exists()
 
 
 def test_readstream_runs(spark, tmp_path):
