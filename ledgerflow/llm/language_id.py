@@ -172,13 +172,13 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, shape:
     text or label never take part. Every label can be learned. None if there's no such row.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key).alias("h"))
-    counts = rows.groupBy("lang").count()
-    labels = sorted(r[0] for r in counts.select("lang").collect())
+    counts = dict(rows.groupBy("lang").count().collect())  # a row a label, as many as the network has outputs
+    labels = sorted(counts)
     if not labels:
         return None
     share = max(float(shape.least_docs), shape.sample_docs / len(labels))
-    rates = counts.select("lang", F.least(F.lit(1.0), share / F.col("count")).alias("rate"))
-    picked = rows.join(rates, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("lang", "text", "h")
+    rates = labelled.sparkSession.createDataFrame([(k, min(1.0, share / n)) for k, n in counts.items()], "lang string, rate double")
+    picked = rows.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("lang", "text", "h")
     small_batches(labelled.sparkSession)
     net = ByteConvNet(labels, shape)
 
