@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..schema import ALERT
 from .components import connected
 
 #: Largest batch that ingest takes.
@@ -28,6 +29,25 @@ def validate_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("errors", F.array_compact(checks))
 
 
+def parse_alerts(requests: DataFrame, column: str = "value", key: str = "request", most: int = MAX_BATCH) -> tuple[DataFrame, DataFrame]:
+    """Alerts of JSON requests, each an object or an array of objects.
+
+    A request is taken whole or not at all. Returns the alerts of good requests with ``key`` and ``position``, and of every bad request
+    ``key`` and ``errors``: not readable, empty, more than ``most`` alerts, or what is wrong at each index.
+    """
+    text = F.trim(F.coalesce(F.col(column), F.lit("")))
+    listed = F.from_json(F.when(F.startswith(text, F.lit("[")), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<{ALERT.simpleString()}>")
+    rows = requests.select(F.col(key), listed.alias("alerts"))
+    n = F.size("alerts")
+    whole = F.when(F.col("alerts").isNull(), "not an alert object or an array of alerts").when(n == 0, "no alerts in request").when(n > most, F.concat(F.lit("batch too large: "), n.cast("string"), F.lit(f" > {most}")))
+    rows = rows.withColumn("whole", whole)
+    each = validate_alerts(rows.where("whole IS NULL").select(key, F.posexplode("alerts").alias("position", "alert")).select(key, "position", "alert.*"))
+    wrong = each.where(F.size("errors") > 0).select(key, "position", F.explode("errors").alias("e"))
+    told = wrong.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", F.concat(F.lit("["), F.col("position").cast("string"), F.lit("]."), "e").alias("text")))).alias("l")).select(key, F.transform("l", lambda x: x["text"]).alias("errors"))
+    bad = told.unionByName(rows.where("whole IS NOT NULL").select(key, F.array("whole").alias("errors")))
+    return each.join(bad.select(key), key, "left_anti").drop("errors"), bad
+
+
 def new_alerts(batch: DataFrame, stored: DataFrame | None = None, order: str = "position") -> DataFrame:
     """The alerts of a batch that are new: the first of each id that isn't stored yet."""
     first = Window.partitionBy("alert_id").orderBy(order)
@@ -35,6 +55,78 @@ def new_alerts(batch: DataFrame, stored: DataFrame | None = None, order: str = "
     return fresh if stored is None else fresh.join(stored.select("alert_id"), "alert_id", "left_anti")
 
 
+def outcomes(batch: DataFrame, stored: DataFrame, membership: DataFrame, order: str = "position") -> DataFrame:
+    """What becomes of each alert of a batch: ``order``, ``alert_id``, ``outcome`` (ACCEPTED or DUPLICATE) and the ``case_id`` that
+    has it. ``stored`` are the alerts before the batch, ``membership`` the cases after it."""
+    place = F.row_number().over(Window.partitionBy("alert_id").orderBy(order))
+    known = stored.select("alert_id").distinct().withColumn("known", F.lit(True))
+    rows = batch.select(order, "alert_id").withColumn("place", place).join(known, "alert_id", "left").join(membership, "alert_id", "left")
+    return rows.select(order, "alert_id", F.when((F.col("place") == 1) & F.col("known").isNull(), "ACCEPTED").otherwise("DUPLICATE").alias("outcome"), "case_id")
+
+
+def _keys() -> Column:
+    """What ties an alert to others: its accounts, those of its ring, and a ring id that isn't blank."""
+    return F.array_distinct(
+        F.array_compact(
+            F.concat(
+                F.array(F.concat(F.lit("a:"), F.col("from_account")), F.concat(F.lit("a:"), F.col("to_account")), F.when(F.trim(F.coalesce("ring_id", F.lit(""))) != "", F.concat(F.lit("r:"), F.col("ring_id")))),
+                F.transform(F.coalesce("ring_accounts", F.array().cast("array<string>")), lambda x: F.concat(F.lit("a:"), x)),
+            )
+        )
+    )
+
+
+def attach(fresh: DataFrame, stored: DataFrame, membership: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Attach new alerts to cases: the membership and the cases after, and the merges (``absorbed``, ``survivor``).
+
+    ``cases`` have ``case_id``, ``status``, ``created_at`` and ``merged_into``; ``fresh`` and ``stored`` the columns of ``group_cases``. An
+    alert joins the active cases that share an account or a ring id with it, even through other new alerts; several merge into
+    the oldest (``created_at``, then ``case_id``), which gets their alerts. Where there is none, a case opens, whose id is
+    the least ``alert_no`` of its alerts. Closed and merged cases take nothing. The whole batch is one step, so no case opens only to be merged.
+    """
+    node = lambda kind, at, number: F.struct(F.lit(kind).alias("kind"), F.col(at).cast("long").alias("at"), F.col(number).cast("long").alias("id")).alias("node")
+    old = stored.join(membership, "alert_id").join(cases.where(F.col("status").isin(*ACTIVE)).select("case_id", "created_at"), "case_id")
+    rows = fresh.select(node(1, "alert_no", "alert_no"), F.explode(_keys()).alias("key")).unionByName(old.select(node(0, "created_at", "case_id"), F.explode(_keys()).alias("key")).distinct())
+    hubs = rows.groupBy("key").agg(F.min("node").alias("a"))
+    labels = connected(rows.join(hubs, "key").select("a", F.col("node").alias("b")))
+    homes = fresh.select("alert_id", node(1, "alert_no", "alert_no")).join(labels, "node", "left").select("alert_id", F.coalesce("root", "node").alias("root"))
+    merges = labels.where("node.kind = 0 AND root.id <> node.id").select(F.col("node.id").alias("absorbed"), F.col("root.id").alias("survivor"))
+    kept = membership.join(merges, membership.case_id == merges.absorbed, "left").select("alert_id", F.coalesce("survivor", "case_id").alias("case_id"))
+    after = cases.join(merges, cases.case_id == merges.absorbed, "left").select(
+        "case_id", F.when(F.col("survivor").isNotNull(), "MERGED").otherwise(F.col("status")).alias("status"), "created_at", F.coalesce("survivor", "merged_into").alias("merged_into")
+    )
+    opened = homes.where("root.kind = 1").select(F.col("root.id").alias("case_id"), F.lit("OPEN").alias("status"), F.col("root.at").alias("created_at"), F.lit(None).cast("long").alias("merged_into")).distinct()
+    return kept.unionByName(homes.select("alert_id", F.col("root.id").alias("case_id"))), after.unionByName(opened), merges
+
+
+def case_details(cases: DataFrame, membership: DataFrame, alerts: DataFrame, filings: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
+    """One row per case with all that its page shows: ``accounts`` and ``ring_ids`` sorted, ``alerts`` by event time then arrival, the states
+    it can go to (``allowed``), its latest ``filing`` and its ``reports`` by id. ``filings`` and ``reports`` have ``case_id`` and ``id``."""
+    j = alerts.join(membership, "alert_id")
+    lists = j.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct("event_ts", "alert_no", "alert_id", "tx_id", "score", "amount_usd"))).alias("alerts"), F.array_sort(F.collect_set(F.when(F.trim("ring_id") != "", F.col("ring_id")))).alias("ring_ids")
+    )
+    who = j.select("case_id", F.explode(F.concat(F.array("from_account", "to_account"), F.coalesce("ring_accounts", F.array().cast("array<string>")))).alias("x")).groupBy("case_id").agg(F.array_sort(F.collect_set("x")).alias("accounts"))
+    to = lambda status: F.array(*(F.lit(b) for a, b in TRANSITIONS if a == status)).cast("array<string>")
+    allowed = F.when(F.col("status") == "OPEN", to("OPEN")).when(F.col("status") == "INVESTIGATING", to("INVESTIGATING")).when(F.col("status") == "ESCALATED", to("ESCALATED")).otherwise(to(""))
+    out = cases.join(lists, "case_id", "left").join(who, "case_id", "left").withColumn("allowed", allowed)
+    if filings is not None:
+        out = out.join(filings.groupBy("case_id").agg(F.max_by(F.struct(*filings.columns), "id").alias("filing")), "case_id", "left")
+    if reports is not None:
+        out = out.join(reports.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in reports.columns if c not in ("id", "case_id"))))).alias("reports")), "case_id", "left")
+    return out
+
+
+def str_indicators(alerts: DataFrame, membership: DataFrame, prefix: str = "") -> DataFrame:
+    """``case_id`` and the indicator codes of its report: those of its alerts' detectors by first appearance
+    (alerts by event time, then arrival), each once, the model's last where it hasn't come before."""
+    each = alerts.join(membership, "alert_id").select("case_id", "event_ts", "alert_no", F.posexplode_outer("detectors").alias("p", "d"))
+    seen = each.where("d IS NOT NULL").groupBy("case_id", S.indicator_code(F.col("d.name"), prefix).alias("code")).agg(F.min(F.struct("event_ts", "alert_no", "p")).alias("first"))
+    lists = seen.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "code"))), lambda x: x["code"]).alias("codes"))
+    model = F.array(S.indicator_code(F.lit("model"), prefix))
+    return each.select("case_id").distinct().join(lists, "case_id", "left").select("case_id", F.array_distinct(F.concat(F.coalesce("codes", F.array().cast("array<string>")), model)).alias("indicators"))
+
+
 def group_cases(alerts: DataFrame) -> DataFrame:
     """``alert_id``, ``case_id``: alerts that share an account or a ring id, even
     through others, are one case; its id is the least ``alert_no`` in it.
@@ -43,13 +135,7 @@ def group_cases(alerts: DataFrame) -> DataFrame:
     ``to_account``, ``ring_accounts``, ``ring_id``. Blank ring ids join nothing.
     Each key links its alerts to the least of them, not to one another.
     """
-    keys = F.array_compact(
-        F.concat(
-            F.array(F.concat(F.lit("a:"), F.col("from_account")), F.concat(F.lit("a:"), F.col("to_account")), F.when(F.trim(F.coalesce("ring_id", F.lit(""))) != "", F.concat(F.lit("r:"), F.col("ring_id")))),
-            F.transform(F.coalesce("ring_accounts", F.array().cast("array<string>")), lambda x: F.concat(F.lit("a:"), x)),
-        )
-    )
-    rows = alerts.select("alert_no", F.explode(F.array_distinct(keys)).alias("key"))
+    rows = alerts.select("alert_no", F.explode(_keys()).alias("key"))
     hubs = rows.groupBy("key").agg(F.min("alert_no").alias("a"))
     labels = connected(rows.join(hubs, "key").select("a", F.col("alert_no").alias("b")))
     return alerts.join(labels, alerts.alert_no == labels.node, "left").select("alert_id", F.coalesce("root", "alert_no").alias("case_id"))
@@ -63,12 +149,13 @@ def case_rollup(alerts: DataFrame, membership: DataFrame) -> DataFrame:
     return totals.join(accounts, "case_id").select("case_id", "max_score", "alert_count", F.col("total").cast("double").alias("total_amount_usd"), "accounts", S.priority(F.col("max_score"), F.col("alert_count"), F.col("total")).alias("priority"))
 
 
-def case_page(cases: DataFrame, sort: str = "updated_at", descending: bool = True, page: int = 0, size: int = 20) -> DataFrame:
-    """One page of cases; an unknown sort column raises."""
+def case_page(cases: DataFrame, sort: str = "updated_at", descending: bool = True, page: int = 0, size: int = 20, statuses: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """One page of the cases in some statuses (all, if none is named), and how many there are; an unknown sort column raises."""
+    cases = cases.where(F.col("status").isin(*statuses)) if statuses else cases
     if sort not in cases.columns:
         raise ValueError(f"unknown sort property: {sort}")
     key = F.desc(sort) if descending else F.asc(sort)
-    return cases.orderBy(key, "case_id").offset(page * size).limit(size)
+    return cases.orderBy(key, "case_id").offset(page * size).limit(size), cases.count()
 
 
 def fold_status(events: DataFrame) -> DataFrame:
@@ -77,11 +164,11 @@ def fold_status(events: DataFrame) -> DataFrame:
 
     Events (``case_id``, ``event_id``, ``action``, ``to_status``, ``disposition``,
     ``actor``, ``assignee``) apply in order; one that the rules forbid changes nothing and counts as
-    rejected. A case's log is short, so it folds inside one row.
+    rejected. A report's type is the ``to_status`` of REPORT_GENERATED; filing needs one of type STR_XML. A case's log is short, so it folds inside one row.
     """
     pair = lambda a, b: F.array_contains(F.array(*(F.lit(f"{x}>{y}") for x, y in TRANSITIONS)), F.concat(a, F.lit(">"), b))
     none = F.lit(None).cast("string")
-    start = F.struct(F.lit("OPEN").alias("status"), none.alias("disposition"), none.alias("assignee"), none.alias("pending"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
+    start = F.struct(F.lit("OPEN").alias("status"), none.alias("disposition"), none.alias("assignee"), none.alias("pending"), F.lit(False).alias("reported"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
 
     def step(s, e):
         a, to = e["action"], e["to_status"]
@@ -92,7 +179,8 @@ def fold_status(events: DataFrame) -> DataFrame:
             F.when(a == "TRANSITION", pair(s["status"], to) & fits & s["pending"].isNull())
             .when(a == "ASSIGNED", s["status"].isin(*ACTIVE))
             .when(a == "COMMENT", F.lit(True))
-            .when(a == "FILING_REQUESTED", (s["status"] == "ESCALATED") & s["pending"].isNull())
+            .when(a == "REPORT_GENERATED", F.lit(True))
+            .when(a == "FILING_REQUESTED", (s["status"] == "ESCALATED") & s["pending"].isNull() & s["reported"])
             .when(a == "FILING_APPROVED", second & (s["status"] == "ESCALATED"))
             .when(a == "FILING_REJECTED", second)
             .otherwise(F.lit(False))
@@ -104,7 +192,7 @@ def fold_status(events: DataFrame) -> DataFrame:
         keep = lambda new, old: F.when(ok, new).otherwise(old)
         return F.struct(
             keep(status, s["status"]).alias("status"), keep(disposition, s["disposition"]).alias("disposition"), keep(F.when(a == "ASSIGNED", e["assignee"]).otherwise(s["assignee"]), s["assignee"]).alias("assignee"),
-            keep(pending, s["pending"]).alias("pending"), (s["applied"] + F.when(ok, 1).otherwise(0)).alias("applied"), (s["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"),
+            keep(pending, s["pending"]).alias("pending"), (s["reported"] | F.coalesce((a == "REPORT_GENERATED") & (to == "STR_XML"), F.lit(False))).alias("reported"), (s["applied"] + F.when(ok, 1).otherwise(0)).alias("applied"), (s["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"),
         )
 
     log = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "action", "to_status", "disposition", "actor", "assignee"))).alias("log"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from html import escape
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import account_of, bank_of, file_minutes
+from ..functions.scalars import detector_names, file_minutes
 
 
 def transfer_lines(transfers: DataFrame) -> DataFrame:
@@ -59,5 +60,25 @@ def report_html(case: dict, nodes: list[dict], edges: list[dict]) -> str:
     return f"<!DOCTYPE html><html><head><title>{escape(str(case['reference']))}</title></head><body><h1>{escape(str(case['reference']))}</h1><p>{escape(str(case.get('reason', '')))}</p><table>{who}</table><table>{body}</table></body></html>"
 
 
-def account_parts(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumns({f"{column}_bank": bank_of(F.col(column)), f"{column}_number": account_of(F.col(column))})
+def alert_rows(alerts: DataFrame) -> DataFrame:
+    """Alert documents as rows of the case store: amounts in cents, detector names joined, the evidence as JSON."""
+    return alerts.select(
+        F.col("alertId").alias("alert_id"), F.col("txId").alias("tx_id"), F.col("timestamp").alias("event_ts"), F.col("fromAccount").alias("from_account"), F.col("toAccount").alias("to_account"), F.col("amountUsd").cast("decimal(19,2)").alias("amount_usd"),
+        "currency", F.col("paymentFormat").alias("payment_format"), "score", "threshold", F.col("modelVersion").alias("model_version"), F.col("ringId").alias("ring_id"), F.coalesce("ringAccounts", F.array().cast("array<string>")).alias("ring_accounts"),
+        detector_names(F.coalesce("detectors", F.array().cast(alerts.schema["detectors"].dataType))).alias("detector_names"), F.to_json("detectors").alias("evidence_json"), "detectors",
+    )
+
+
+def write_report(report: dict, path: str, spark: SparkSession) -> None:
+    """An evaluation report under ``path``: ``report`` (JSON), ``table`` (Markdown) and ``curve`` (CSV). A few rows, whatever was evaluated."""
+    from .alerts import render
+
+    text = lambda name, value: spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    text("report", json.dumps(report))
+    text("table", render(report))
+    spark.createDataFrame([(r["threshold"], r["precision"], r["recall"]) for r in report["curve"]], "threshold double, precision double, recall double").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/curve")
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """Metadata of written reports (``case_id``, ``id``, ``report_type``, ``content`` as bytes): size and SHA-256, without the content."""
+    return reports.select("case_id", "id", "report_type", F.octet_length("content").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

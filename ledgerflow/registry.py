@@ -454,7 +454,7 @@ def _priority(spark, sf_dir):
 
 @query("case_list_page", _CC + _RL + " SELECT case_id, alert_count, priority FROM rollup ORDER BY alert_count DESC, case_id LIMIT 20")
 def _page(spark, sf_dir):
-    return cases.case_page(_rollup(spark, sf_dir).select("case_id", "alert_count", "priority"), "alert_count")
+    return cases.case_page(_rollup(spark, sf_dir).select("case_id", "alert_count", "priority"), "alert_count")[0]
 
 
 _RF = """ SELECT case_id, 'Case CASE-2024-' || lpad(CAST(case_id AS VARCHAR), 6, '0') || ': ' || alert_count || ' transaction alert(s) across ' || accounts || ' account(s) totalling USD ' || CAST(CAST(total_amount_usd AS DECIMAL(19, 2)) AS VARCHAR)
@@ -478,6 +478,79 @@ def _dedup(spark, sf_dir):
     return cases.new_alerts(t.select(named(500), F.col("seq").alias("position")), t.where("seq < 100").select(named(37)).distinct())
 
 
+@query(
+    "ingest_outcomes",
+    f"""WITH {_DUP}, o AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY position) = 1 AND alert_id NOT IN (SELECT alert_id FROM st) AS fresh FROM bt)
+  SELECT position, alert_id, CASE WHEN fresh THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome, CAST(substr(alert_id, 2) AS BIGINT) AS case_id FROM o""",
+)
+def _outcomes(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    named = lambda n: F.concat(F.lit("a"), (F.col("seq") % n).cast("string")).alias("alert_id")
+    batch, stored = t.select(named(500), F.col("seq").alias("position")), t.where("seq < 100").select(named(37)).distinct()
+    return cases.outcomes(batch, stored, batch.select("alert_id", F.substring("alert_id", 2, 20).cast("long").alias("case_id")).distinct())
+
+
+# Alerts that arrive in two batches, even and odd numbers; accounts are of one day each, so that many cases form. Of
+# the first batch's cases every third closes before the second batch comes.
+_DAY = """da AS (SELECT event_id AS no, user_id || ':' || (epoch_us(ts) // 86400000000) AS fa, (props->>'k') || ':' || (epoch_us(ts) // 86400000000) AS ta, ts, round(value, 2) AS amount, value / (value + 50) AS score,
+  ['fan_out', 'cycle', 'pass_through'][event_id % 3 + 1] AS det FROM events WHERE value / (value + 50) >= CAST('0.8' AS DOUBLE)),
+dk AS (SELECT no, fa AS key FROM da UNION SELECT no, ta FROM da),
+h1 AS (SELECT key, min(no) AS a FROM dk WHERE no % 2 = 0 GROUP BY key), l1 AS (SELECT DISTINCT a, no AS b FROM dk JOIN h1 USING (key) WHERE no % 2 = 0), e1 AS (SELECT a, b FROM l1 UNION SELECT b, a FROM l1),
+r1 AS (SELECT no AS node, no AS other FROM da WHERE no % 2 = 0 UNION SELECT r1.node, e1.b FROM r1 JOIN e1 ON r1.other = e1.a), c1 AS (SELECT node AS no, min(other) AS case_id FROM r1 GROUP BY node),
+n2 AS (SELECT 1000000000000 + no AS node, key FROM dk WHERE no % 2 = 1 UNION SELECT case_id, key FROM c1 JOIN dk USING (no) WHERE case_id % 3 <> 0),
+h2 AS (SELECT key, min(node) AS a FROM n2 GROUP BY key), l2 AS (SELECT DISTINCT a, node AS b FROM n2 JOIN h2 USING (key)), e2 AS (SELECT a, b FROM l2 UNION SELECT b, a FROM l2),
+r2 AS (SELECT DISTINCT node, node AS other FROM n2 UNION SELECT r2.node, e2.b FROM r2 JOIN e2 ON r2.other = e2.a), c2 AS (SELECT node, min(other) % 1000000000000 AS root FROM r2 GROUP BY node),
+mem AS (SELECT c1.no, coalesce(root, case_id) AS case_id FROM c1 LEFT JOIN c2 ON c1.case_id = c2.node UNION ALL SELECT node - 1000000000000, root FROM c2 WHERE node >= 1000000000000),
+st AS (SELECT DISTINCT c1.case_id, CASE WHEN c1.case_id % 3 = 0 THEN 'CLOSED' WHEN root <> c1.case_id THEN 'MERGED' ELSE 'OPEN' END AS status, CASE WHEN root <> c1.case_id THEN root END AS merged_into FROM c1 LEFT JOIN c2 ON c1.case_id = c2.node
+  UNION SELECT root, 'OPEN', NULL FROM c2 WHERE root NOT IN (SELECT case_id FROM c1))"""
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(alerts, membership, cases) after both batches."""
+    t = transfers(spark, sf_dir).where(F.col("amount_paid") / (F.col("amount_paid") + 50) >= ALERT_AT)
+    day = F.floor(F.col("m") / 1440).cast("string")
+    name = F.element_at(F.array(*map(F.lit, ("fan_out", "cycle", "pass_through"))), (F.col("seq") % 3 + 1).cast("int"))
+    alerts = t.select(
+        F.concat(F.lit("d-"), F.col("seq").cast("string")).alias("alert_id"), F.col("seq").alias("alert_no"), F.col("seq").alias("tx_id"), F.concat_ws(":", F.col("src").cast("string"), day).alias("from_account"), F.concat_ws(":", F.col("dst").cast("string"), day).alias("to_account"),
+        F.round("amount_paid", 2).alias("amount_usd"), (F.col("amount_paid") / (F.col("amount_paid") + 50)).alias("score"), F.lit(None).cast("string").alias("ring_id"), F.array().cast("array<string>").alias("ring_accounts"), S.format_minutes(F.col("m")).alias("event_ts"), F.array(F.struct(name.alias("name"))).alias("detectors"),
+    )
+    first, second = alerts.where("alert_no % 2 = 0"), alerts.where("alert_no % 2 = 1")
+    none = first.where("false").select("alert_id", F.col("alert_no").alias("case_id"))
+    empty = spark.createDataFrame([], "case_id long, status string, created_at long, merged_into long")
+    members, opened, _ = cases.attach(first, first.where("false"), none, empty)
+    closed = opened.withColumn("status", F.when(F.col("case_id") % 3 == 0, "CLOSED").otherwise(F.col("status")))
+    members, after, _ = cases.attach(second, first, members, closed)
+    return alerts, members, after
+
+
+@query("case_attach", f"WITH RECURSIVE {_DAY} SELECT 'd-' || no AS alert_id, case_id FROM mem")
+def _attach(spark, sf_dir):
+    return _two_batches(spark, sf_dir)[1]
+
+
+@query(
+    "case_details",
+    f"""WITH RECURSIVE {_DAY}, j AS (SELECT * FROM da JOIN mem USING (no)), ac AS (SELECT case_id, string_agg(DISTINCT x, ',' ORDER BY x) AS accounts FROM (SELECT case_id, fa AS x FROM j UNION SELECT case_id, ta FROM j) AS u GROUP BY case_id),
+  al AS (SELECT case_id, string_agg('d-' || no, ',' ORDER BY epoch_us(ts) // 60000000, no) AS alerts FROM j GROUP BY case_id)
+  SELECT case_id, status, merged_into, coalesce(accounts, '') AS accounts, coalesce(alerts, '') AS alerts, CASE WHEN status = 'OPEN' THEN 'INVESTIGATING' ELSE '' END AS allowed FROM st LEFT JOIN ac USING (case_id) LEFT JOIN al USING (case_id)""",
+)
+def _details(spark, sf_dir):
+    alerts, members, after = _two_batches(spark, sf_dir)
+    d = cases.case_details(after, members, alerts)
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return d.select("case_id", "status", "merged_into", listed(F.col("accounts")).alias("accounts"), listed(F.transform("alerts", lambda x: x["alert_id"])).alias("alerts"), listed(F.col("allowed")).alias("allowed"))
+
+
+@query(
+    "str_indicators",
+    f"""WITH RECURSIVE {_DAY}, j AS (SELECT case_id, CASE det WHEN 'fan_out' THEN 'FANOUT' WHEN 'cycle' THEN 'CYCLE' ELSE 'PASSTHRU' END AS code, min((epoch_us(ts) // 60000000, no)) AS f FROM da JOIN mem USING (no) GROUP BY ALL)
+  SELECT case_id, string_agg(code, ',' ORDER BY f) || ',MODEL' AS indicators FROM j GROUP BY case_id""",
+)
+def _indicators(spark, sf_dir):
+    alerts, members, _ = _two_batches(spark, sf_dir)
+    return cases.str_indicators(alerts, members).select("case_id", F.array_join("indicators", ",").alias("indicators"))
+
+
 @query("case_graph_edges", f"WITH {_AL} SELECT 'tx:' || tx_id AS key, fa AS source, ta AS target, amount, 'alert,fan_out' AS detectors, tx_id % 2 = 0 AS laundering, true AS alerted FROM al")
 def _edges(spark, sf_dir):
     return cases.graph_edges(_alerts(spark, sf_dir)).drop("tx_id", "ts")
@@ -525,6 +598,43 @@ def _ref(spark, sf_dir):
     return transfers(spark, sf_dir).select("seq", S.bank_of(key).alias("bank"), S.account_of(key).alias("account"), S.account_label(key).alias("label"))
 
 
+_BASE_SQL = f"""{_GRAPH}, {_BOUNDS}, ends AS (SELECT a AS ta, greatest(c, a + 1440) AS va FROM b),
+x3 AS (SELECT t.seq, t.m, amount_paid > 150 AS label, ln(1 + greatest(t.amount, 0)) AS amount_rule, coalesce(ln(1 + sent_24h), 0) AS velocity_rule, CAST(coalesce(CAST(src_out >= 5 AS INT) + CAST(dst_in >= 5 AS INT) + CAST(coalesce(paths, 0) >= 3 AS INT) + CAST(src_in >= 3 AND src_out >= 3 AS INT)
+  + CAST(cycle_len IS NOT NULL AS INT) + CAST(coalesce(pass_gap, 1000000) <= 120 AS INT) + CAST(sent_24h >= 10 AND velocity_ratio >= 3 AS INT), 0) AS DOUBLE) AS rules_only FROM t LEFT JOIN v ON t.seq = v.seq),
+u3 AS (SELECT 'amount_rule' AS method, m, label, amount_rule AS score FROM x3 UNION ALL SELECT 'velocity_rule', m, label, velocity_rule FROM x3 UNION ALL SELECT 'rules_only', m, label, rules_only FROM x3),
+g3 AS (SELECT method, score, sum(CAST(label AS INT)) AS t, sum(1 - CAST(label AS INT)) AS f FROM u3, ends WHERE m >= ta AND m < va GROUP BY ALL),
+w3 AS (SELECT method, score, sum(t) OVER w AS tp, sum(f) OVER w AS fp, sum(t) OVER (PARTITION BY method) AS pos FROM g3 WINDOW w AS (PARTITION BY method ORDER BY score DESC)),
+f3 AS (SELECT method, score, CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / (tp + fp)::DOUBLE) * (tp / pos::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / pos::DOUBLE) END AS f1 FROM w3),
+b3 AS (SELECT method, score AS threshold, f1 AS val_f1 FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY f1 DESC, score DESC) AS r FROM f3) AS q WHERE r = 1),
+c3 AS (SELECT method, threshold, val_f1, count(*) FILTER (score >= threshold AND label) AS tp, count(*) FILTER (score >= threshold AND NOT label) AS fp, count(*) FILTER (score < threshold AND label) AS fn, count(*) FILTER (score < threshold AND NOT label) AS tn FROM u3 JOIN b3 USING (method), ends WHERE m >= va GROUP BY ALL)
+SELECT method, round(threshold, 6) AS threshold, round(val_f1, 6) AS val_f1, tp, fp, fn, tn FROM c3"""
+
+
+@query("baseline_report", _BASE_SQL)
+def _baselines(spark, sf_dir):
+    """Thresholds of the three baselines by validation rows, and their confusion on test rows."""
+    t = transfers(spark, sf_dir)
+    ends = src.split_boundaries(t).first()
+    fired = features.graph_values(t, CFG).select("seq", features.fired(CFG).alias("n_detectors"), S.log1p(F.col("sent_24h")).alias("src_velocity_24h"))
+    rows = t.select("seq", "m", "label", S.log1p(F.col("amount_usd")).alias("log_amount_usd")).join(fired, "seq", "left").fillna(0, subset=["n_detectors", "src_velocity_24h"])
+    limits = alert_plan.baseline_thresholds(rows.where((F.col("m") >= ends.train_end) & (F.col("m") < ends.val_end)))
+    test = rows.where(F.col("m") >= ends.val_end).select("label", F.inline(F.array(*(F.struct(F.lit(n).alias("method"), F.col(c).cast("double").alias("score")) for n, c in alert_plan.BASELINES.items()))))
+    hit = F.col("score") >= F.col("threshold")
+    n = lambda c: F.sum(c.cast("long"))
+    counts = test.join(F.broadcast(limits), "method").groupBy("method", "threshold", "val_f1").agg(n(hit & F.col("label")).alias("tp"), n(hit & ~F.col("label")).alias("fp"), n(~hit & F.col("label")).alias("fn"), n(~hit & ~F.col("label")).alias("tn"))
+    return counts.select("method", F.round("threshold", 6).alias("threshold"), F.round("val_f1", 6).alias("val_f1"), "tp", "fp", "fn", "tn")
+
+
+@query("evaluate_methods")
+def _methods(spark, sf_dir):
+    """All six methods on test rows: models and thresholds never see them."""
+    t = transfers(spark, sf_dir)
+    ends = src.split_boundaries(t).first()
+    full, methods, naive = alert_plan.train_methods(t, ends.train_end, ends.val_end, CFG, trees=10, depth=3)
+    found = alert_plan.evaluate(full, methods, start=ends.val_end, naive=naive)["methods"]
+    return spark.createDataFrame([(k, round(float(v["precision"]), 6), round(float(v["recall"]), 6), round(float(v["f1"]), 6), round(float(v["average_precision"]), 6)) for k, v in found.items()], "method string, precision double, recall double, f1 double, average_precision double")
+
+
 def _trained(spark: SparkSession, sf_dir: str):
     t = transfers(spark, sf_dir)
     ends = src.split_boundaries(t).first()

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import TRANSFER_CSV, TRANSFER_JSON
+from ..storage import written
+
+#: First number of transfers that come without an id.
+NUMBERED = 1 << 62
 
 CANONICAL = (
     "seq", "m_raw", "m", "from_bank", "from_account", "to_bank", "to_account", "src", "dst", "amount_paid", "payment_currency",
@@ -23,7 +27,7 @@ def _canonical(df: DataFrame, clamp: bool) -> DataFrame:
     usd = F.col("amount_paid") * S.usd_rate(F.col("payment_currency"))
     df = df.withColumn("amount_usd", usd).withColumn("format", S.payment_format(F.col("format")))
     df = clamp_event_time(df) if clamp else df.withColumn("m", F.col("m_raw"))
-    return df.select(*CANONICAL)
+    return df.select(*CANONICAL, *(["key"] if "key" in df.columns else []))
 
 
 def clamp_event_time(df: DataFrame, block: int = 65_536) -> DataFrame:
@@ -42,14 +46,23 @@ def clamp_event_time(df: DataFrame, block: int = 65_536) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, clamp: bool = True) -> DataFrame:
-    """Transfers of a CSV file with a header, by column position.
+    """Transfers of CSV files with a header, by column position.
 
-    ``seq`` is the file's row id where it has one, else the row's place in a
-    single-file scan. Rows with fewer than ten fields, an unreadable time or amount raise.
+    ``seq`` is the file's row id where it has one, else the row's place: files by path, rows as they stand in
+    them. Rows with fewer than ten fields, an unreadable time or amount raise. ``key`` is the row as pattern files name it.
     """
     raw = spark.read.schema(TRANSFER_CSV).option("header", True).option("enforceSchema", True).csv(path)
-    raw = raw.withColumn("seq", F.coalesce(F.expr("try_cast(row_text AS BIGINT)"), F.monotonically_increasing_id()))
-    return _from_text(raw, clamp)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    given = F.expr("try_cast(row_text AS BIGINT)")
+    if raw.where(given.isNull()).isEmpty():
+        return _from_text(raw.withColumn("seq", given), clamp)
+    # a task reads a block of a file from its start to its end; blocks are few, their sizes carry the count on
+    numbered = written(raw.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1), "rows")
+    sizes = numbered.groupBy("_file", "_block").agg(F.count("*").alias("n"))
+    upto = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", "_block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_start"))
+    placed = numbered.join(F.broadcast(starts), ["_file", "_block"])
+    return _from_text(placed.withColumn("seq", F.coalesce(given, F.col("_start") + F.col("_place"))), clamp)
 
 
 def _from_text(raw: DataFrame, clamp: bool) -> DataFrame:
@@ -59,7 +72,7 @@ def _from_text(raw: DataFrame, clamp: bool) -> DataFrame:
         "seq", needed(S.parse_minutes(F.col("ts_text")), "timestamp").alias("m_raw"), "from_bank", "from_account", "to_bank", "to_account",
         S.account_key(F.col("from_bank"), F.col("from_account")).alias("src"), S.account_key(F.col("to_bank"), F.col("to_account")).alias("dst"),
         number("amount_paid_text").alias("amount_paid"), "payment_currency", number("amount_received_text").alias("amount_received"), "receiving_currency",
-        F.col("format_text").alias("format"), F.when(F.col("label_text") == "1", True).when(F.col("label_text") == "0", False).alias("label"),
+        F.col("format_text").alias("format"), F.when(F.col("label_text") == "1", True).when(F.col("label_text") == "0", False).alias("label"), row_key().alias("key"),
     )
     return _canonical(df, clamp)
 
@@ -67,23 +80,25 @@ def _from_text(raw: DataFrame, clamp: bool) -> DataFrame:
 def from_json(documents: DataFrame, column: str = "value", clamp: bool = True) -> tuple[DataFrame, DataFrame]:
     """Transfers of JSON texts, each an object or an array of objects.
 
-    Missing received amount or currency take the paid side's. The whole batch is
-    checked; returns the valid transfers, and ``seq`` and ``errors`` of the others.
+    Missing received amount or currency take the paid side's. A transfer without an id gets a number from ``NUMBERED`` on, no two the
+    same. The whole batch is checked; returns the valid transfers, and ``seq`` and ``errors`` of the others, unreadable documents among them.
     """
     text = F.trim(F.col(column))
     as_array = F.when(F.substring(text, 1, 1) == "[", text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    t = documents.select(F.posexplode(F.from_json(as_array, f"array<{TRANSFER_JSON.simpleString()}>")).alias("pos", "t")).select("pos", "t.*")
+    each = documents.select(F.posexplode_outer(F.from_json(as_array, f"array<{TRANSFER_JSON.simpleString()}>")).alias("pos", "t"))
+    t = written(each.withColumn("_at", F.monotonically_increasing_id()).select("_at", F.col("t").isNull().alias("_broken"), "t.*"), "documents")
     bad = lambda cond, what: F.when(cond, F.lit(what))
     amount = F.col("amountPaid")
     errors = F.array_compact(
         F.array(
+            bad(F.col("_broken"), "the document is unreadable or empty"),
             bad(amount.isNull() | F.isnan(amount) | (F.abs(amount) == float("inf")) | (amount < 0), "amountPaid must be finite and not negative"),
             bad(S.parse_minutes(F.col("timestamp")).isNull(), "timestamp is unreadable"),
             bad(F.col("fromAccount").isNull() | F.col("toAccount").isNull(), "accounts are required"),
         )
     )
     df = t.select(
-        F.coalesce("id", F.col("pos").cast("long")).alias("seq"), S.parse_minutes(F.col("timestamp")).alias("m_raw"), F.col("fromBank").alias("from_bank"), F.col("fromAccount").alias("from_account"),
+        F.coalesce("id", F.col("_at") + NUMBERED).alias("seq"), S.parse_minutes(F.col("timestamp")).alias("m_raw"), F.col("fromBank").alias("from_bank"), F.col("fromAccount").alias("from_account"),
         F.col("toBank").alias("to_bank"), F.col("toAccount").alias("to_account"), S.account_key(F.col("fromBank"), F.col("fromAccount")).alias("src"), S.account_key(F.col("toBank"), F.col("toAccount")).alias("dst"),
         amount.alias("amount_paid"), F.col("paymentCurrency").alias("payment_currency"), F.coalesce("amountReceived", amount).alias("amount_received"),
         F.coalesce("receivingCurrency", "paymentCurrency").alias("receiving_currency"), F.col("paymentFormat").alias("format"), F.lit(None).cast("boolean").alias("label"), errors.alias("errors"),

@@ -63,6 +63,26 @@ def test_json_source(spark):
     good, bad = transfers.from_json(spark.createDataFrame([(d,) for d in docs], "value string"))
     assert [(r.seq, r.amount_received, r.receiving_currency) for r in good.collect()] == [(4, 10.5, "Euro")]
     assert "timestamp is unreadable" in bad.first().errors and "amountPaid" in bad.first().errors
+    bare = json.dumps({"timestamp": "2022-09-01T00:20:00Z", "fromBank": "1", "fromAccount": "a", "toBank": "2", "toAccount": "b", "amountPaid": 1})
+    good, bad = transfers.from_json(spark.createDataFrame([(bare,), (bare,), ("{broken",), ("",), (f"[{bare}, {bare}]",)], "value string"))
+    numbers = [r.seq for r in good.collect()]
+    assert len(numbers) == len(set(numbers)) == 4 and bad.count() == 2 and all("unreadable or empty" in r.errors for r in bad.collect())
+
+
+def test_csv_without_row_ids_keeps_the_order_of_files(spark, tmp_path):
+    head = CSV.splitlines()[0].removesuffix(",Row Id")
+    line = "2023/03/05 10:{:02d},1,{},2,b,1,Euro,1,Euro,ACH,0"
+    for name, part in (("a.csv", range(0, 400)), ("b.csv", range(400, 700))):
+        (tmp_path / name).write_text("\n".join([head, *(line.format(k % 60, k) for k in part)]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = transfers.read_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.seq, int(r.from_account)) for r in rows) == [(k, k) for k in range(700)]
+    patterns = spark.createDataFrame([(0, "CYCLE", [rows[0].key, rows[1].key])], "index int, typology string, keys array<string>")
+    read = transfers.read_csv(spark, str(tmp_path)).withColumn("alert", F.lit(True))
+    assert metrics.matched_patterns(read, patterns).count() == 2
 
 
 def test_patterns_round_trip(spark, tmp_path):
@@ -118,11 +138,55 @@ def test_case_grouping_and_graph(spark):
 
 
 def test_workflow_fold(spark):
-    log = [("TRANSITION", "INVESTIGATING", None, "ann"), ("TRANSITION", "OPEN", None, "ann"), ("TRANSITION", "ESCALATED", None, "ann"), ("FILING_REQUESTED", None, None, "ann"), ("TRANSITION", "CLOSED", "FALSE_POSITIVE", "bob"), ("FILING_APPROVED", None, None, "ann"), ("FILING_APPROVED", None, None, "bob"), ("COMMENT", None, None, "ann")]
+    log = [("TRANSITION", "INVESTIGATING", None, "ann"), ("TRANSITION", "OPEN", None, "ann"), ("TRANSITION", "ESCALATED", None, "ann"), ("FILING_REQUESTED", None, None, "ann"), ("REPORT_GENERATED", "STR_XML", None, "ann"), ("FILING_REQUESTED", None, None, "ann")]
+    log += [("TRANSITION", "CLOSED", "FALSE_POSITIVE", "bob"), ("FILING_APPROVED", None, None, "ann"), ("FILING_APPROVED", None, None, "bob"), ("COMMENT", None, None, "ann")]
     rows = [(1, k, a, t, d, who, None) for k, (a, t, d, who) in enumerate(log)] + [(2, 0, "TRANSITION", "INVESTIGATING", None, "x", None), (2, 1, "TRANSITION", "CLOSED", "STR_FILED", "x", None), (2, 2, "TRANSITION", "CLOSED", None, "x", None), (2, 3, "ASSIGNED", None, None, "x", "carol")]
     df = spark.createDataFrame(rows, "case_id long, event_id long, action string, to_status string, disposition string, actor string, assignee string")
     got = {r.case_id: (r.status, r.disposition, r.assignee, r.applied, r.rejected) for r in cases.fold_status(df).collect()}
-    assert got == {1: ("CLOSED", "STR_FILED", None, 5, 3), 2: ("INVESTIGATING", None, "carol", 2, 2)}
+    assert got == {1: ("CLOSED", "STR_FILED", None, 6, 4), 2: ("INVESTIGATING", None, "carol", 2, 2)}
+
+
+def test_cases_over_two_batches(spark):
+    """Merge into the oldest, closed cases stay closed, a shared ring id joins, duplicates keep their case."""
+    df = spark.createDataFrame([alert(1, "1:A", "1:B"), alert(2, "1:C", "1:D"), alert(3, "7:X", "7:Y"), alert(4, "8:R", "8:S", "R-1"), alert(5, "1:B", "1:C"), alert(6, "7:X", "7:Z"), alert(7, "9:M", "9:N", "R-1"), alert(8, "9:N", "9:O")], ALERTS)
+    first, second = df.where("alert_no < 5"), df.where("alert_no >= 5")
+    empty = spark.createDataFrame([], "case_id long, status string, created_at long, merged_into long")
+    members, opened, merges = cases.attach(first, first.where("false"), first.where("false").select("alert_id", F.col("alert_no").alias("case_id")), empty)
+    assert {r.case_id for r in opened.collect()} == {1, 2, 3, 4} and merges.count() == 0
+    closed = opened.withColumn("status", F.when(F.col("case_id") == 3, "CLOSED").otherwise(F.col("status")))
+    members, after, merges = cases.attach(second, first, members, closed)
+    got = {r.alert_id: r.case_id for r in members.collect()}
+    assert got == {"a1": 1, "a2": 1, "a5": 1, "a3": 3, "a6": 6, "a4": 4, "a7": 4, "a8": 4}
+    assert {(r.case_id, r.status, r.merged_into) for r in after.collect()} == {(1, "OPEN", None), (2, "MERGED", 1), (3, "CLOSED", None), (4, "OPEN", None), (6, "OPEN", None)}
+    assert [tuple(r) for r in merges.collect()] == [(2, 1)]
+    batch = spark.createDataFrame([("a1", 0), ("n1", 1), ("n1", 2)], "alert_id string, position long")
+    known = members.unionByName(spark.createDataFrame([("n1", 9)], "alert_id string, case_id long"))
+    assert [tuple(r) for r in cases.outcomes(batch, first, known).orderBy("position").collect()] == [(0, "a1", "DUPLICATE", 1), (1, "n1", "ACCEPTED", 9), (2, "n1", "DUPLICATE", 9)]
+    filings = spark.createDataFrame([(1, 5, "REJECTED"), (1, 7, "PENDING")], "case_id long, id long, status string")
+    reports = spark.createDataFrame([(1, 2, "STR_XML", b"xy"), (1, 1, "HTML", b"")], "case_id long, id long, report_type string, content binary")
+    d = {r.case_id: r for r in cases.case_details(after, members, df, filings, sinks.report_rows(reports)).collect()}
+    assert [a.alert_id for a in d[1].alerts] == ["a1", "a2", "a5"] and d[1].accounts == ["1:A", "1:B", "1:C", "1:D"] and d[1].filing.status == "PENDING" and [r.id for r in d[1].reports] == [1, 2]
+    assert d[4].ring_ids == ["R-1"] and d[1].allowed == ["INVESTIGATING"] and d[3].allowed == [] and d[2].alerts is None and d[1].reports[1].size_bytes == 2
+    page, total = cases.case_page(after, "created_at", size=2, statuses=("OPEN",))
+    assert total == 3 and [r.case_id for r in page.collect()] == [6, 4]
+
+
+def test_indicators_by_first_appearance(spark):
+    rows = [("b", 2, "2024-01-02", ["velocity", "cycle"]), ("a", 1, "2024-01-03", ["fan_out"]), ("c", 3, "2024-01-01", []), ("d", 4, "2024-01-09", None), ("e", 5, "2024-01-09", ["nothing known"])]
+    df = spark.createDataFrame(rows, "alert_id string, alert_no long, event_ts string, names array<string>").withColumn("detectors", F.transform("names", lambda n: F.struct(n.alias("name"))))
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 3)], "alert_id string, case_id long")
+    got = {r.case_id: r.indicators for r in cases.str_indicators(df, members, "P-").collect()}
+    assert got == {1: ["P-VELOCITY", "P-CYCLE", "P-FANOUT", "P-MODEL"], 2: ["P-MODEL"], 3: ["P-OTHER", "P-MODEL"]}
+
+
+def test_alert_requests_are_taken_whole_or_not(spark):
+    good = {"alertId": "x", "txId": 1, "timestamp": "2024-01-01T00:00:00Z", "fromAccount": "a", "toAccount": "b", "amountUsd": 1.5, "score": 0.5, "threshold": 0.4, "detectors": [{"name": "cycle", "value": 3.0, "detail": "", "edges": []}, {"name": "cycle", "value": 3.0, "detail": "", "edges": []}, {"name": "ring", "value": 3.0, "detail": "", "edges": []}]}
+    bodies = [json.dumps(good), json.dumps([good | {"alertId": "y"}, good | {"alertId": " ", "score": 2}]), "[]", "not json", json.dumps([good] * 4), json.dumps([good | {"alertId": "z", "unknown": 1}])]
+    taken, bad = cases.parse_alerts(spark.createDataFrame(list(enumerate(bodies)), "request long, value string"), most=3)
+    assert sorted((r.request, r.position, r.alertId) for r in taken.collect()) == [(0, 0, "x"), (5, 0, "z")]
+    errors = {r.request: r.errors for r in bad.collect()}
+    assert errors[1] == ["[1].alertId", "[1].score"] and errors[2] == ["no alerts in request"] and errors[4] == ["batch too large: 4 > 3"] and set(errors) == {1, 2, 3, 4}
+    assert [(r.detector_names, float(r.amount_usd)) for r in sinks.alert_rows(taken.where("request = 0")).collect()] == [("cycle,ring", 1.5)]
 
 
 def test_validation(spark):
