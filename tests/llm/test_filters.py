@@ -67,16 +67,18 @@ def test_licences(spark):
     mit = dict(licences.TEMPLATES)["MIT"]
     full = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 400)
     rows = [(1, "Prose first.\nReleased under the MIT License.\nMore prose."), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."), (5, "nothing to see here"), (6, full.replace(". ", ".\n")), (6, full), (7, "Released under the MIT"), (8, "license " * 30000)]
+    rows += [(9, "This repository is released under the MIT License. See the file for details and contact us at once."), (10, "Words before. " + full.replace("Software is furnished", "Software\n\nis furnished").replace(" included in all", "\nincluded in all\n\n") + "\nand words after, on the same page."), (11, "Copyright 2021 Foo. Licensed under the MIT License.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit("clash"))
     got = sorted((r.doc_id, r.licence, r.licences, r.n_units) for r in licences.licence_scan(df).collect())
     assert mit and got[0] == (1, "MIT", "MIT", 1)
     assert got[1][1:] == (None, "", 0) and got[2][1:] == (None, "", 0)
     assert got[3][2] == "Apache-2.0,CC-BY-NC-4.0" and got[4][1] is None
     assert got[5][1] == got[6][1] == "MIT" and got[8][1] is None
+    assert [r[1] for r in got[9:]] == ["MIT", "MIT", "MIT"]
     con = duckdb.connect()
     single = df.where("doc_id <> 6")
     con.register("documents", single.toPandas())
-    want = con.sql(f"SELECT doc_id, licence, dice, licences, n_units FROM ({licences.oracle_sql()}) ORDER BY ALL").fetchall()
+    want = con.sql(f"SELECT doc_id, licence, dice, licences, n_units, n_windows FROM ({licences.oracle_sql()}) ORDER BY ALL").fetchall()
     have = sorted((tuple(r) for r in licences.licence_scan(single).collect()), key=str)
     assert Counter(map(str, want)) == Counter(map(str, have))
     assert licences.licence_scan(df.where("false")).count() == 0
