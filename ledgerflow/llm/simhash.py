@@ -5,17 +5,17 @@ bits link, and the connected components of the links are the groups.
 
 Each fingerprint is embedded as the bit counts of its 32 two-bit segments. The
 Manhattan distance of two embeddings never exceeds the Hamming distance, so it
-prunes. Links of at most 3 bits differ by at most 1 in one of the two halves of
-the embedding: each half is a 16-dimensional grid whose cells are single
-points, and the range join looks up a point's own cell and the cells one step
-up. A pair one step apart is found from its lower end, so half the neighbours
-suffice. What the grid finds is verified exactly on the 64 bits.
+prunes. The segments lie in six blocks; three bits can touch three of them at most, so two fingerprints that link have the same
+coordinates in three blocks. Each choice of three is a grid whose cells are single points, and the range join needs a point's own
+cell alone. A cell also has the counts of a second pairing of the same bits, which makes it about as fine as the bits
+themselves: a grid has 2^28 cells or more, so that candidates stay in proportion to the fingerprints until there are billions of them.
+What meets in a cell is pruned by the Manhattan distance and verified exactly on the 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from ..operators.components import connected
 from .common import discard, materialise, repeats, small_batches
 
-#: Differing bits up to which two fingerprints link. The two halves of the
-#: grid with one step each are complete for this bound, not for more.
+#: Differing bits up to which two fingerprints link. Three equal blocks of six are complete for this bound, not for more.
 MOST = 3
+#: Bits of each block; pairings don't leave a block, as all are multiples of four.
+BLOCK_BITS = (12, 12, 12, 12, 8, 8)
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -87,25 +88,49 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, width: int) -
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col]).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _cells(fp: Column) -> tuple[Column, Column]:
-    """The bit counts of the segments, two bits each: of both halves."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _counts(fp: Column) -> Column:
+    """The bit counts of the 32 two-bit segments, in two bits each."""
     odd = F.lit(0x5555555555555555)
     left, right = F.shiftrightunsigned(fp, 1).bitwiseAND(odd), fp.bitwiseAND(odd)
-    counts = left.bitwiseXOR(right).bitwiseOR(F.shiftleft(left.bitwiseAND(right), 1))
-    return F.shiftrightunsigned(counts, 32), counts.bitwiseAND(F.lit(0xFFFFFFFF))
+    return left.bitwiseXOR(right).bitwiseOR(F.shiftleft(left.bitwiseAND(right), 1))
+
+
+def _crossed(fp: Column) -> Column:
+    """The fingerprint with the middle bits of each four exchanged: its segments pair the bits anew."""
+    keep, up, down = (F.lit(_signed(m)) for m in (0x9999999999999999, 0x2222222222222222, 0x4444444444444444))
+    return fp.bitwiseAND(keep).bitwiseOR(F.shiftleft(fp.bitwiseAND(up), 1)).bitwiseOR(F.shiftrightunsigned(fp.bitwiseAND(down), 1))
+
+
+_STARTS = [sum(BLOCK_BITS[:k]) for k in range(len(BLOCK_BITS))]
+_MASKS = [((1 << n) - 1) << at for n, at in zip(BLOCK_BITS, _STARTS)]
+_GRIDS = list(combinations(range(len(BLOCK_BITS)), 3))
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of different fingerprints within ``MOST`` bits, each
-    at least once. ``distinct`` has every fingerprint ``fp`` once."""
-    high, low = _cells(F.col("fp"))
-    halves = F.array(F.struct(F.lit(0).alias("half"), high.alias("cell")), F.struct(F.lit(1).alias("half"), low.alias("cell")))
-    own = distinct.select("fp", F.explode(halves).alias("g")).select("fp", "g.half", "g.cell")
-    up = [F.when(F.shiftrightunsigned("cell", 2 * d).bitwiseAND(F.lit(3)) < 2, F.col("cell") + F.lit(1 << (2 * d))) for d in range(16)]
-    reach = own.select(F.col("fp").alias("a"), "half", F.explode(F.array_compact(F.array(F.col("cell"), *up))).alias("cell"))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST) & (F.col("a") != F.col("b"))
-    found = reach.alias("x").join(own.withColumnRenamed("fp", "b").alias("y"), (F.col("x.half") == F.col("y.half")) & (F.col("x.cell") == F.col("y.cell")) & near)
-    return found.select("a", "b")
+    """Pairs ``a`` < ``b`` of different fingerprints within ``MOST`` bits, each
+    once. ``distinct`` has every fingerprint ``fp`` once."""
+    once, again = _counts(F.col("fp")), _counts(_crossed(F.col("fp")))
+    cell = lambda g: F.xxhash64(*(c.bitwiseAND(F.lit(_signed(sum(_MASKS[k] for k in g)))) for c in (once, again)))
+    cells = F.array(*(F.struct(F.lit(n).alias("grid"), cell(g).alias("cell")) for n, g in enumerate(_GRIDS)))
+    points = distinct.select("fp", once.alias("at"), F.inline(cells))
+    x, y = (points.select(F.col("fp").alias(n), F.col("at").alias(f"at_{n}"), "grid", "cell") for n in "ab")
+    # the Manhattan distance: segments' counts differ by the bits of |p - q|, which is 0, 1 or 2
+    p, q = F.col("at_a"), F.col("at_b")
+    low, high = F.lit(0x5555555555555555), F.lit(_signed(0xAAAAAAAAAAAAAAAA))
+    one, two = p.bitwiseXOR(q).bitwiseAND(low), p.bitwiseXOR(q).bitwiseAND(high)
+    # counts 0 and 1, 1 and 2 differ by 1 (in the low bit), 0 and 2 by 2 (in the high bit alone)
+    far = F.bit_count(one) + 2 * F.bit_count(two.bitwiseAND(F.bitwise_not(F.shiftleft(one, 1))))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    # a pair that shares several grids counts in the first one
+    first = {sum(1 << k for k in range(6) if equal >> k & 1): min((n for n, g in enumerate(_GRIDS) if all(equal >> k & 1 for k in g)), default=-1) for equal in range(64)}
+    same = sum((F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(1 << k)).otherwise(0) for k, m in enumerate(_MASKS)), F.lit(0))
+    home = F.element_at(F.array(*(F.lit(first[e]) for e in range(64))), same + 1)
+    near = (F.col("a") < F.col("b")) & (far <= MOST) & (F.bit_count(differ) <= MOST) & (home == F.col("x.grid"))
+    return x.alias("x").join(y.alias("y"), (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = materialise(links(distinct.select("fp")), "links")
     labels = connected(edges)
-    degree = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").groupBy("a").agg(F.count_distinct("b").alias("n_links"))
+    degree = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").groupBy("a").agg(F.count("*").alias("n_links"))
     known = distinct.join(labels, distinct.fp == labels.node, "left").join(degree, distinct.fp == degree.a, "left")
     known = known.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))

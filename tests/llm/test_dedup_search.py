@@ -54,10 +54,25 @@ def test_grid_finds_every_link_up_to_three_bits(spark):
     seeds = [rng.getrandbits(64) for _ in range(40)]
     points = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for s in seeds for _ in range(6)} | {0, (1 << 64) - 1}
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    found = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+    pairs = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    found = {frozenset((r.a, r.b)) for r in pairs}
+    assert len(found) == len(pairs)
     assert found == {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def test_manhattan_distance_is_a_lower_bound(spark):
+    """Every pair within three bits passes the embedding's bound; segments by a plain count."""
+    rng = random.Random(19)
+    rows = [(a, a ^ sum(1 << b for b in rng.sample(range(64), n))) for n in range(0, 9) for a in [rng.getrandbits(64) for _ in range(30)]]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in rows], "p long, q long")
+    got = df.select("p", "q", simhash._counts(F.col("p")).alias("x"), simhash._counts(simhash._crossed(F.col("p"))).alias("y")).collect()
+    for (a, _), r in zip(rows, got):
+        bits = [a >> k & 1 for k in range(64)]
+        assert [r.x >> 2 * k & 3 for k in range(32)] == [bits[2 * k] + bits[2 * k + 1] for k in range(32)]
+        assert [r.y >> 2 * k & 3 for k in range(32)] == [bits[4 * (k // 2) + k % 2] + bits[4 * (k // 2) + k % 2 + 2] for k in range(32)]
+
+
 def test_near_copies_at_a_similarity(spark):
     rng = random.Random(8)
     base = prose(rng, 300).split()
