@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import log1p
 from ..schema import PAYMENT_FORMATS, STAGE1, Config
-from ..storage import written
+from ..storage import discard, written
 from . import adjacency, paths, rings
 from .adjacency import peers
 
@@ -103,7 +103,9 @@ def graph_values(transfers: DataFrame, cfg: Config = Config(), evidence: bool =
     sides = written(account_sides(transfers, cfg, evidence, before), "sides")
     sg, cyc = paths.scatter_gather(transfers, cfg, sides, asked), paths.cycles(transfers, cfg, asked)
     wanted = sides if asked is None else sides.join(asked.select("seq"), "seq", "left_semi")
-    return written(account_values(transfers, cfg, wanted).join(sg, "seq", "left").join(cyc, "seq", "left"), "values")
+    values = written(account_values(transfers, cfg, wanted).join(sg, "seq", "left").join(cyc, "seq", "left"), "values")
+    discard(sides)
+    return values
 
 
 def base_features(transfers: DataFrame, cfg: Config = Config(), values: DataFrame | None = None, ring: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,33 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The table, written to the shared folder and read again: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more; one that is gone does no harm."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.shared_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are ``written`` within go at its end, so what comes of them must be written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(*_scratch.pop())

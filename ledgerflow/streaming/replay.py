@@ -17,7 +17,7 @@ from ..plans import alerts as alert_plan
 from ..plans.models import Model
 from ..schema import FEATURES, Config
 from ..sources.transfers import clamp_event_time
-from ..storage import written
+from ..storage import scratch, written
 
 _EDGE = ("seq", "m", "src", "dst")
 
@@ -39,6 +39,10 @@ class Replay:
         df.write.mode("overwrite").parquet(f"{self.path}/{what.format(batch_id)}")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        with scratch():
+            self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         cfg, ago = self.cfg, batch_id - 1
         at = self._read("clock", ago)
         at = at.first() if at is not None else None

@@ -231,6 +231,26 @@ def test_synthetic_world_models_and_alerts(spark, tmp_path):
     assert 0 <= report["methods"]["gbdt"]["average_precision"] <= 1 and "precision" in alerts.render(report)
 
 
+def test_exported_trees_score_like_a_plain_walk(spark):
+    df, _ = world(spark, [(k % 7, k % 5, 3 * k, 50 + (k * 37) % 90) for k in range(80)])
+    rows = df.withColumn("label", F.col("amount_usd") > 100)
+    names = ["amount_usd", "src", "dst"]
+    model = models.train_gbdt(rows, names, trees=4, depth=3)
+
+    def walk(node, values):
+        while "left" in node:
+            node = node["left"] if values[node["feature"]] <= node["threshold"] else node["right"]
+        return node["value"]
+
+    for r in rows.withColumn("score", model.score()).collect():
+        margin = sum(w * walk(t, [float(r[n]) for n in names]) for w, t in zip(model.body["weights"], model.body["trees"]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-2 * margin)))
+    lr = models.train_lr(rows, names)
+    for r in rows.withColumn("score", lr.score()).limit(5).collect():
+        z = lr.body["bias"] + sum(w * (float(r[n]) - m) / s for n, w, m, s in zip(names, lr.body["weights"], lr.body["mean"], lr.body["std"]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark):
     df, patterns = synth.generate(spark, accounts=60, days=6, rate=0.6, per_typology=2, seed=4)
     df = spark.createDataFrame(df.collect(), df.schema)
