@@ -490,9 +490,9 @@ def _outcomes(spark, sf_dir):
     return cases.outcomes(batch, stored, batch.select("alert_id", F.substring("alert_id", 2, 20).cast("long").alias("case_id")).distinct())
 
 
-# Alerts that arrive in two batches, even and odd numbers; accounts are of one day each, so that many cases form. Of
+# Alerts that arrive in two batches, even and odd numbers; accounts are of five days each, so that many cases form and some merge. Of
 # the first batch's cases every third closes before the second batch comes.
-_DAY = """da AS (SELECT event_id AS no, user_id || ':' || (epoch_us(ts) // 86400000000) AS fa, (props->>'k') || ':' || (epoch_us(ts) // 86400000000) AS ta, ts, round(value, 2) AS amount, value / (value + 50) AS score,
+_DAY = """da AS (SELECT event_id AS no, user_id || ':' || (epoch_us(ts) // 432000000000) AS fa, (props->>'k') || ':' || (epoch_us(ts) // 432000000000) AS ta, ts, round(value, 2) AS amount, value / (value + 50) AS score,
   ['fan_out', 'cycle', 'pass_through'][event_id % 3 + 1] AS det FROM events WHERE value / (value + 50) >= CAST('0.8' AS DOUBLE)),
 dk AS (SELECT no, fa AS key FROM da UNION SELECT no, ta FROM da),
 h1 AS (SELECT key, min(no) AS a FROM dk WHERE no % 2 = 0 GROUP BY key), l1 AS (SELECT DISTINCT a, no AS b FROM dk JOIN h1 USING (key) WHERE no % 2 = 0), e1 AS (SELECT a, b FROM l1 UNION SELECT b, a FROM l1),
@@ -508,7 +508,7 @@ st AS (SELECT DISTINCT c1.case_id, CASE WHEN c1.case_id % 3 = 0 THEN 'CLOSED' WH
 def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(alerts, membership, cases) after both batches."""
     t = transfers(spark, sf_dir).where(F.col("amount_paid") / (F.col("amount_paid") + 50) >= ALERT_AT)
-    day = F.floor(F.col("m") / 1440).cast("string")
+    day = F.floor(F.col("m") / 7200).cast("string")
     name = F.element_at(F.array(*map(F.lit, ("fan_out", "cycle", "pass_through"))), (F.col("seq") % 3 + 1).cast("int"))
     alerts = t.select(
         F.concat(F.lit("d-"), F.col("seq").cast("string")).alias("alert_id"), F.col("seq").alias("alert_no"), F.col("seq").alias("tx_id"), F.concat_ws(":", F.col("src").cast("string"), day).alias("from_account"), F.concat_ws(":", F.col("dst").cast("string"), day).alias("to_account"),

@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set(CHECKPOINT_DIR, root)
