@@ -116,7 +116,9 @@ def links(distinct: DataFrame) -> DataFrame:
     once, again = _counts(F.col("fp")), _counts(_crossed(F.col("fp")))
     cell = lambda g: F.xxhash64(*(c.bitwiseAND(F.lit(_signed(sum(_MASKS[k] for k in g)))) for c in (once, again)))
     cells = F.array(*(F.struct(F.lit(n).alias("grid"), cell(g).alias("cell")) for n, g in enumerate(_GRIDS)))
-    points = distinct.select("fp", once.alias("at"), F.inline(cells))
+    # few bytes before, twenty rows each after: spread first
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    points = spread.select("fp", once.alias("at"), F.inline(cells))
     x, y = (points.select(F.col("fp").alias(n), F.col("at").alias(f"at_{n}"), "grid", "cell") for n in "ab")
     # the Manhattan distance: segments' counts differ by the bits of |p - q|, which is 0, 1 or 2
     p, q = F.col("at_a"), F.col("at_b")
