@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,24 @@ def attach(fresh: DataFrame, stored: DataFrame, membership: DataFrame, cases: Da
     return kept.unionByName(homes.select("alert_id", F.col("root.id").alias("case_id"))), after.unionByName(opened), merges
 
 
+def attachment_events(fresh: DataFrame, membership: DataFrame, before: DataFrame, merges: DataFrame) -> DataFrame:
+    """What ``attach`` did, for the audit trail: ``case_id``, ``action``, ``from_status``, ``to_status``, ``detail``. ``membership`` is that
+    after it, ``before`` the cases before it. Cases open, absorb others and get their alerts."""
+    status = before.select(F.col("case_id").alias("known"), F.col("status").alias("old"))
+    got = fresh.join(membership, "alert_id").join(status, F.col("case_id") == F.col("known"), "left")
+    row = lambda case, action, a, b, detail: [F.col(case).alias("case_id"), F.lit(action).alias("action"), a.alias("from_status"), b.alias("to_status"), detail.alias("detail")]
+    none, now = F.lit(None).cast("string"), F.coalesce("old", F.lit("OPEN"))
+    opened = got.where("known IS NULL").groupBy("case_id").agg(F.min_by("alert_id", "alert_no").alias("alert_id"))
+    absorbed = merges.join(status, merges.absorbed == F.col("known"))
+    kept = merges.join(status, merges.survivor == F.col("known"))
+    said = lambda word, other: F.concat(F.lit(word), F.col(other).cast("string"))
+    parts = [
+        opened.select(*row("case_id", "CASE_CREATED", none, F.lit("OPEN"), said("alert ", "alert_id"))), got.select(*row("case_id", "ALERT_ATTACHED", now, now, said("alert ", "alert_id"))),
+        kept.select(*row("survivor", "MERGED", F.col("old"), F.col("old"), said("absorbed case ", "absorbed"))), absorbed.select(*row("absorbed", "MERGED", F.col("old"), F.lit("MERGED"), said("into case ", "survivor"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def case_details(cases: DataFrame, membership: DataFrame, alerts: DataFrame, filings: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
     """One row per case with all that its page shows: ``accounts`` and ``ring_ids`` sorted, ``alerts`` by event time then arrival, the states
     it can go to (``allowed``), its latest ``filing`` and its ``reports`` by id. ``filings`` and ``reports`` have ``case_id`` and ``id``."""

@@ -7,11 +7,13 @@ keys, banks, amounts, currencies, ``format``, ``label`` and ``amount_usd``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..schema import TRANSFER_CSV, TRANSFER_JSON
+from ..schema import TRANSFER_CSV, TRANSFER_JSON, Config
 from ..storage import written
 
 #: First number of transfers that come without an id.
@@ -159,3 +161,22 @@ def split_boundaries(transfers: DataFrame, train: float = 0.6, val: float = 0.8)
     midnight = lambda c: (F.ceil(c / 1440) * 1440).cast("long")
     ends = run.agg(midnight(at(train)).alias("train_end"), midnight(at(val)).alias("v"))
     return ends.select("train_end", F.greatest("v", F.col("train_end") + 1440).alias("val_end"))
+
+
+def first_transfers(transfers: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` transfers in arrival order: a shorter replay."""
+    return transfers.orderBy("seq").limit(n)
+
+
+def read_config(spark: SparkSession, path: str) -> Config:
+    """A configuration from a JSON file; what it leaves out has its default, an unknown name raises."""
+    return Config(**json.loads(spark.read.text(path, wholetext=True).first().value))
+
+
+def read_splits(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(``train_end``, ``val_end``) in minutes from a JSON file that names them as times."""
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", "train_end string, val_end string").alias("s"))
+    ends = tuple(row.select(S.parse_minutes(F.col("s.train_end")), S.parse_minutes(F.col("s.val_end"))).first())
+    if None in ends or ends[0] >= ends[1]:
+        raise ValueError(f"{path} doesn't name two times in order")
+    return ends[0], ends[1]

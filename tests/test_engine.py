@@ -159,6 +159,9 @@ def test_cases_over_two_batches(spark):
     assert got == {"a1": 1, "a2": 1, "a5": 1, "a3": 3, "a6": 6, "a4": 4, "a7": 4, "a8": 4}
     assert {(r.case_id, r.status, r.merged_into) for r in after.collect()} == {(1, "OPEN", None), (2, "MERGED", 1), (3, "CLOSED", None), (4, "OPEN", None), (6, "OPEN", None)}
     assert [tuple(r) for r in merges.collect()] == [(2, 1)]
+    events = sorted((r.case_id, r.action, r.to_status, r.detail) for r in cases.attachment_events(second, members, closed, merges).collect())
+    assert [e for e in events if e[1] != "ALERT_ATTACHED"] == [(1, "MERGED", "OPEN", "absorbed case 2"), (2, "MERGED", "MERGED", "into case 1"), (6, "CASE_CREATED", "OPEN", "alert a6")]
+    assert [(e[0], e[3]) for e in events if e[1] == "ALERT_ATTACHED"] == [(1, "alert a5"), (4, "alert a7"), (4, "alert a8"), (6, "alert a6")]
     batch = spark.createDataFrame([("a1", 0), ("n1", 1), ("n1", 2)], "alert_id string, position long")
     known = members.unionByName(spark.createDataFrame([("n1", 9)], "alert_id string, case_id long"))
     assert [tuple(r) for r in cases.outcomes(batch, first, known).orderBy("position").collect()] == [(0, "a1", "DUPLICATE", 1), (1, "n1", "ACCEPTED", 9), (2, "n1", "DUPLICATE", 9)]
@@ -251,7 +254,19 @@ def test_exported_trees_score_like_a_plain_walk(spark):
         assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
 
 
-def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark):
+def test_configuration_and_splits(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"window": 100, "fan_threshold": 2}')
+    (tmp_path / "s.json").write_text('{"train_end": "2024-01-02T00:00:00Z", "val_end": "2024-01-03T00:00:00Z"}')
+    (tmp_path / "bad.json").write_text('{"train_end": "never"}')
+    assert transfers.read_config(spark, str(tmp_path / "c.json")) == Config(window=100, fan_threshold=2)
+    a, b = transfers.read_splits(spark, str(tmp_path / "s.json"))
+    assert b - a == 1440 and one(spark, S.format_minutes(F.lit(a))) == "2024-01-02T00:00:00Z"
+    with pytest.raises(ValueError):
+        transfers.read_splits(spark, str(tmp_path / "bad.json"))
+    assert [r.seq for r in transfers.first_transfers(spark.createDataFrame([(3,), (1,), (2,)], "seq long"), 2).collect()] == [1, 2]
+
+
+def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark, tmp_path):
     df, patterns = synth.generate(spark, accounts=60, days=6, rate=0.6, per_typology=2, seed=4)
     df = spark.createDataFrame(df.collect(), df.schema)
     ends = transfers.split_boundaries(df).first()
@@ -266,6 +281,9 @@ def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark):
         report = alerts.evaluate(keyed, methods, patterns.select("index", "typology", F.transform("keys", lambda k: k).alias("keys")), ends.val_end, stop, naive)
         assert len(report["methods"]) == 6 and report["rows"] == keyed.where((F.col("m") >= ends.val_end) & (F.lit(stop is None) | (F.col("m") < (stop or 0)))).count()
         assert set(report["typologies"]) == {"gbdt", naive} and report["curve"]
+    sinks.write_report(report, str(tmp_path / "report"), spark)
+    assert json.loads(spark.read.text(str(tmp_path / "report/report")).first().value)["rows"] == report["rows"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "report/curve")).count() == len(report["curve"])
 
 
 def test_stream_equals_batch_and_alerts_once(spark, tmp_path):
