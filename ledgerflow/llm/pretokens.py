@@ -24,21 +24,28 @@ class PieceEncoder:
     that are cut out of the text first, as the library does with special tokens.
     """
 
-    def __init__(self, encode_match, join, special: dict | None = None, limit: int = 400_000):
+    def __init__(self, encode_match, join, special: dict | None = None, limit: int = 1_000_000, match_limit: int = 200_000):
         import public_tokenizers
         import regex
 
         from .common import GenerationCache
 
         self._find = regex.compile(public_tokenizers.PATTERN).findall
-        self._join, self._special = join, special or {}
-        self.matches = GenerationCache(encode_match, limit)
-        self.pieces = GenerationCache(lambda piece: self._by_pattern(" " + piece), limit)
+        self._join, self._special, self._encode_match = join, special or {}, encode_match
+        self.matches = GenerationCache(encode_match, match_limit)
+        self.pieces = GenerationCache(self._piece, limit)
         self._cut = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
 
     def _by_pattern(self, text: str):
         return self._join([self.matches[m] for m in self._find(text)])
 
+    def _piece(self, piece: str):
+        found = self._find(" " + piece)
+        if len(found) == 1:  # the cache of pieces holds it already
+            value = self.matches.get(found[0])
+            return self._encode_match(found[0]) if value is None else value
+        return self._join([self.matches[m] for m in found])
+
     def _plain(self, text: str):
         if _RUN.search(text):
             return self._by_pattern(text)
