@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..storage import shared_folder
 
 #: Rows and bytes of an Arrow batch between the JVM and Python, for texts can be long.
-ARROW_ROWS, ARROW_BYTES = 1000, "32m"
+ARROW_ROWS, ARROW_BYTES = 1000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
