@@ -14,6 +14,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,6 +129,12 @@ def _unpack(ids: bytes) -> array:
     return a
 
 
+@lru_cache(maxsize=1)
+def _codec(name: str) -> ByteBpe:
+    """One codec a worker process: its caches serve all tasks that the worker runs."""
+    return ByteBpe(name)
+
+
 def bpe_codec(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Encode every text and decode the ids again, one row per input row.
 
@@ -142,7 +149,7 @@ def bpe_codec(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteBpe(vocabulary)
+        codec = _codec(vocabulary)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text in batch.column(1):

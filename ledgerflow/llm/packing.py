@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -87,6 +88,12 @@ class _Ids:
         self.encode = PieceEncoder(lambda m: b"".join(word(t.id) for t in encode_match(model, letters, m)), b"".join, special).encode
 
 
+@lru_cache(maxsize=1)
+def _ids(name: str) -> _Ids:
+    """One encoder a worker process: its caches serve all tasks that the worker runs."""
+    return _Ids(name)
+
+
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document of ``n`` tokens: one piece if it fits, else
     pieces of ``capacity`` tokens of which the first takes the remainder."""
@@ -118,7 +125,7 @@ def pack(
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins = _Ids(vocabulary).encode, BestFit(capacity, open_bins)
+        encode, bins = _ids(vocabulary).encode, BestFit(capacity, open_bins)
         held: dict[int, list[list]] = {}  # rows of open bins
         base = key_type = None
 
