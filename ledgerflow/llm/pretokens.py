@@ -24,7 +24,7 @@ class PieceEncoder:
     that are cut out of the text first, as the library does with special tokens.
     """
 
-    def __init__(self, encode_match, join, special: dict | None = None, limit: int = 600_000, match_limit: int = 50_000):
+    def __init__(self, encode_match, join, special: dict | None = None, limit: int = 200_000, match_limit: int = 20_000):
         import public_tokenizers
         import regex
 
