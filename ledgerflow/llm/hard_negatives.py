@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .topk import _LARGEST, _exact, best
+from .topk import _LARGEST, _exact
 
 #: Rows of a candidate block and anchors of an anchor block; both bound a task's memory.
 CANDIDATES, ANCHORS = 8192, 4096
 #: Rows of a leaf.
-LEAF = 128
+LEAF = 256
 #: What a distance may be off by, generously, as a share of the largest distance there can be.
 _SLACK = 1e-6
 
@@ -42,6 +42,7 @@ class VantageTree:
         norms = (flat * flat).sum(axis=1)
         self.top = norms.max(initial=0.0)
         self._build(np.column_stack([flat, np.sqrt(np.maximum(self.top - norms, 0.0))]))
+        self.vantages = flat[[v for v, _ in self.inner.values()]]
 
     def _build(self, points: np.ndarray) -> None:
         """By node: a vantage row and two halves (child, least, largest distance from it), or a leaf's rows."""
@@ -65,63 +66,57 @@ class VantageTree:
 
 
 class Query:
-    """One query's walks through a tree; what a walk has scored serves the next ones."""
+    """One query's walks through a tree; what a walk has scored and sorted serves the next ones."""
 
     def __init__(self, tree: VantageTree, q: np.ndarray, own: int):
         self.tree, self.q, self.own = tree, q, own
-        self.flat = (q / tree.unit).astype(np.float64)
-        self.sum = float((self.flat * self.flat).sum()) + tree.top
+        flat = (q / tree.unit).astype(np.float64)
+        self.sum = float((flat * flat).sum()) + tree.top
         self.slack = _SLACK * (1 + math.sqrt(self.sum))
-        self.scores: dict[int, np.ndarray] = {}
-        self.apart: dict[int, float] = {}
-        self.visited = 0
+        self.apart = dict(zip(tree.inner, np.sqrt(np.maximum(0.0, self.sum - 2 * (tree.vantages @ flat))).tolist()))
+        self.sorted: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
     def _distance(self, score: float) -> float:
         """Of a row with that score, in the tree's unit."""
         return math.sqrt(max(0.0, self.sum - 2 * score))
 
-    def _from_vantage(self, node: int, row: int) -> float:
-        if node not in self.apart:
-            self.apart[node] = self._distance(float(self.flat @ (self.tree.x[row] / self.tree.unit).astype(np.float64)))
-        return self.apart[node]
-
     def nearest(self, label: int, same: bool, k: int, least=None, most=None) -> Iterator[tuple[int, int]]:
         """(id, score) of at most ``k`` rows with (or without) that label and with scores from ``least`` to ``most``, best first, ties by smaller id."""
         tree, square = self.tree, self.tree.unit * self.tree.unit
-        inner = 0.0 if most is None else self._distance(most / square) - self.slack
+        inner = 0.0 if most is None else max(0.0, self._distance(most / square) - self.slack)
         outer = math.inf if least is None else self._distance(least / square) + self.slack
-        heap: list[tuple] = [(-math.inf, 0, 0, 0)]  # what it can't exceed, row or node, id, node
+        heap: list[tuple] = [(-math.inf, 0, 0, 0, inner, math.inf)]  # less what it can't exceed, row or node, id, node, its annulus
         while heap and k:
-            score, is_row, row, node = heapq.heappop(heap)
+            score, is_row, row, node, near, far = heapq.heappop(heap)
             if is_row:
                 yield row, -score
                 k -= 1
             elif node in tree.leaves:
-                for row, s in zip(*self._leaf(node, label, same, k, least, most)):
-                    heapq.heappush(heap, (-s, 1, int(row), 0))
+                for row, s in self._leaf(node, label, same, k, least, most):
+                    heapq.heappush(heap, (s, 1, row, 0, 0, 0))
             else:
-                vantage, halves = tree.inner[node]
-                d = self._from_vantage(node, vantage)
-                for child, low, high in halves:
-                    near, far = max(0.0, d - high, low - d) - self.slack, d + high + self.slack
-                    if near <= outer and far >= inner:
-                        bound = max(near, inner, 0.0)
+                d = self.apart[node]
+                for child, low, high in tree.inner[node][1]:
+                    n, f = max(near, d - high - self.slack, low - d - self.slack), min(far, d + high + self.slack)
+                    if n <= outer and f >= inner:
                         # The bound on scores, with the slack of its own arithmetic.
-                        at_most = (self.sum - bound * bound + self.sum * _SLACK) / 2 * square
-                        heapq.heappush(heap, (-at_most, 0, 0, child))
-
-    def _leaf(self, node: int, label: int, same: bool, k: int, least, most) -> tuple[np.ndarray, np.ndarray]:
-        tree, rows = self.tree, self.tree.leaves[node]
-        if node not in self.scores:
-            self.scores[node] = tree.x[rows] @ self.q
-            self.visited += len(rows)
-        scores = self.scores[node]
-        keep = ((tree.labels[rows] == label) == same) & (tree.ids[rows] != self.own)
-        if least is not None:
-            keep &= (scores >= least).astype(bool)
-        if most is not None:
-            keep &= (scores <= most).astype(bool)
-        return best(tree.ids[rows[keep]], scores[keep], k)
+                        at_most = (self.sum - n * n + self.sum * _SLACK) / 2 * square
+                        heapq.heappush(heap, (-at_most, 0, 0, child, n, f))
+
+    def _leaf(self, node: int, label: int, same: bool, k: int, least, most) -> Iterator[tuple[int, int]]:
+        """The leaf's ``k`` best rows in the window: (id, score with its sign turned)."""
+        if (key := (node, label, same)) not in self.sorted:
+            rows = self.tree.leaves[node]
+            rows = rows[((self.tree.labels[rows] == label) == same) & (self.tree.ids[rows] != self.own)]
+            ids, turned = self.tree.ids[rows], -(self.tree.x[rows] @ self.q)
+            order = sorted(range(len(ids)), key=lambda i: (turned[i], ids[i])) if turned.dtype == object else np.lexsort((ids, turned))
+            self.sorted[key] = ids[order], turned[order]
+        ids, turned = self.sorted[key]
+        begin = 0 if most is None else int(np.searchsorted(turned, -most))
+        for i, s in zip(ids[begin : begin + k].tolist(), turned[begin : begin + k].tolist()):
+            if least is not None and s > -least:
+                break
+            yield i, s
 
 
 def window(score: int, low: int, high: int) -> tuple[int, int]:
