@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, delta_lloyd, hard_negatives, language_id, licences, packing, passages, quality, simhash, token_counts, topk, warc
+from . import bpe, delta_lloyd, hard_negatives, language_id, licences, neural_lm, packing, passages, quality, simhash, token_counts, topk, warc
 from .common import table
 
 
@@ -102,6 +102,11 @@ FROM a{rounds} a JOIN x USING (nr) JOIN c{rounds} c ON c.j = a.j
 """
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return neural_lm.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_warc": op10_warc,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_lm_scores": op12_lm_scores,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

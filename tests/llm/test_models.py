@@ -163,7 +163,7 @@ def test_language_model_scores(spark, corpus):
     assert {r.base_score for r in neural_lm.score_texts(df.where("doc_id < 9"), F.lit(True), SMALL).collect()} == {0.0}
 
 
-def test_probabilities_add_up_to_one(corpus):
+def test_probabilities_add_up_to_one(spark, corpus):
     counts = Counter(w.encode() for i, t in corpus for w in tokens(t))
     frequent = sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
     buckets = {}
@@ -177,9 +177,12 @@ def test_probabilities_add_up_to_one(corpus):
     for _, before, token in neural_lm.stretches(texts, SMALL.context):
         trainer.learn(before, token)
     k = len(v.counts)
-    before = np.repeat(np.array([[0, 0, 0], [3, 1, 2], [k - 1, 5, 0]]), k, axis=0)
+    before = np.repeat(np.array([[0, 0], [3, 1], [k - 1, 5]]), k, axis=0)
     p = np.exp(model.log_probabilities(before, np.tile(np.arange(k), 3)).astype(float)).reshape(3, k)
     assert p.sum(axis=1) == pytest.approx(1, abs=1e-4)
+    neural_lm.tabulate(spark, model)
+    assert model.totals.shape == (k * k,)
+    assert np.exp(model.log_probabilities(before, np.tile(np.arange(k), 3)).astype(float)).reshape(3, k) == pytest.approx(p, rel=1e-4)
     # Within a class: its words and one unseen word.
     share = Counter()
     for w, n in frequent:
