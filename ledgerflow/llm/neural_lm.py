@@ -210,6 +210,24 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return some.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, shape: Shape) -> list[tuple[bytes, int]]:
+    """(word, n), the most frequent first, equals by bytes: at most ``known``, ``words`` at least where there are as many.
+
+    Bounded twice: by their number, for a table of few levels of frequency says where to cut, and by their length.
+    """
+    short = counts.where(F.length("word") <= shape.longest).withColumn("level", F.floor(16 * F.log2("n")))
+    cut, held = None, 0
+    for r in sorted(short.groupBy("level").count().collect(), reverse=True):
+        if (held := held + r["count"]) > shape.known:
+            break
+        cut = r["level"]
+    found = short.where(F.col("level") >= cut).collect() if cut is not None else []
+    if (missing := min(shape.words, shape.known) - len(found)) > 0:
+        rest = short if cut is None else short.where(F.col("level") < cut)
+        found += rest.orderBy(F.desc("n"), "word").limit(missing).collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """What every task holds of the corpus: the frequent words' counts, the classes' counts. Bounded by the shape."""
 
@@ -352,9 +370,7 @@ def score_texts(docs: DataFrame, is_held_out: Column, shape: Shape = Shape(), te
     tokens, kinds, ends = sizes["tokens"] or 0, sizes["kinds"], sizes["ends"] or 0
     single = counts.where(F.length("word") > 0)
     by_bucket = single.groupBy(F.pmod(F.crc32(F.substring("word", 1, shape.prefix)), F.lit(shape.buckets)).cast("int").alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    # Bounded twice: by the number of words and by their length.
-    frequent = single.where(F.length("word") <= shape.longest).orderBy(F.desc("n"), "word").limit(shape.known).collect()
-    vocabulary = Vocabulary([(bytes(r["word"]), r["n"]) for r in frequent], ends, {r["b"]: (r["n"], r["v"]) for r in by_bucket}, shape)
+    vocabulary = Vocabulary(frequent_words(single, shape), ends, {r["b"]: (r["n"], r["v"]) for r in by_bucket}, shape)
     shared = spark.sparkContext.broadcast(vocabulary)
     encoded = materialise(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_encoder(shared, ends), _ENCODED), "lm-texts")
 

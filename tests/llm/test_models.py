@@ -163,6 +163,15 @@ def test_language_model_scores(spark, corpus):
     assert {r.base_score for r in neural_lm.score_texts(df.where("doc_id < 9"), F.lit(True), SMALL).collect()} == {0.0}
 
 
+def test_frequent_words_are_cut_by_levels(spark):
+    rows = [(bytes([65 + k]), n) for k, n in enumerate([9, 9, 9, 500, 400, 80, 80, 3])] + [(b"x" * 65, 900)]
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in rows], "word binary, n long")
+    order = sorted(rows[:-1], key=lambda x: (-x[1], x[0]))
+    for known, words, want in ((100, 2, 8), (5, 2, 4), (5, 5, 5), (1, 1, 1), (1, 3, 1)):
+        assert neural_lm.frequent_words(df, replace(SMALL, known=known, words=words)) == order[:want]
+    assert neural_lm.frequent_words(df.where("false"), SMALL) == []
+
+
 def test_probabilities_add_up_to_one(spark, corpus):
     counts = Counter(w.encode() for i, t in corpus for w in tokens(t))
     frequent = sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
