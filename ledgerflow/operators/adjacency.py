@@ -37,15 +37,15 @@ def live(lists: str, within: int) -> Column:
     return F.filter(F.col(lists), lambda x: x["m"] >= F.col("m") - within)
 
 
-def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[str, ...] = ("m", "peer", "seq", "amount", "ach"), extra: tuple[str, ...] = (), before: DataFrame | None = None) -> DataFrame:
-    """``account_rows`` with ``outs`` and ``ins``: the live entries of the
+def live_adjacency(transfers: DataFrame, cfg: Config = Config(), fields: tuple[str, ...] = ("m", "peer", "seq", "amount", "ach"), extra: tuple[str, ...] = (), before: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """``account_rows`` (or the given ``rows`` of that kind) with ``outs`` and ``ins``: the live entries of the
     account as of the transfer, its own included, oldest first; and the account's
     ``history`` (lifetime transfers), ``total_out``, ``total_in`` and ``first_seen``.
 
     Transfers to oneself only set ``first_seen``; they get no row. ``before`` has the same totals of each
     ``acct`` over older transfers that aren't here any more.
     """
-    rows = account_rows(transfers, extra).repartition("acct")
+    rows = (account_rows(transfers, extra) if rows is None else rows).repartition("acct")
     own = Window.partitionBy("acct", "dir").orderBy("seq").rowsBetween(1 - cfg.cap, 0)
     life = Window.partitionBy("acct").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     entry = F.struct(*fields)

@@ -49,11 +49,11 @@ def pass_through(cfg: Config) -> Column:
     return F.struct((F.col("m") - hit["m"]).alias("gap"), (F.col("amount") / hit["amount"]).alias("ratio"), hit["seq"].alias("seq"))
 
 
-def account_sides(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False, before: DataFrame | None = None) -> DataFrame:
+def account_sides(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False, before: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Two rows per transfer, one per account, with all that its neighbourhood gives: the raw values
     (no logarithms) of both directions, the sender's most recent distinct ``funders`` and, with ``evidence``, the
     sequence numbers that a detector would show. One exchange by account serves them all."""
-    rows = adjacency.live_adjacency(transfers, cfg, before=before)
+    rows = adjacency.live_adjacency(transfers, cfg, before=before, rows=rows)
     pairs = F.size(F.filter("outs", lambda x: (x["peer"] == F.col("peer")) & (x["seq"] != F.col("seq"))))
     days = F.greatest((F.col("m") - F.col("first_seen")) / 1440, F.lit(1.0))
     usual = F.col("total_out") / days * (cfg.velocity_window / 1440)
@@ -94,14 +94,15 @@ def account_values(transfers: DataFrame, cfg: Config = Config(), sides: DataFram
     )
 
 
-def graph_values(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False, asked: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
+def graph_values(transfers: DataFrame, cfg: Config = Config(), evidence: bool = False, asked: DataFrame | None = None, before: DataFrame | None = None, rows: DataFrame | None = None, sent: DataFrame | None = None) -> DataFrame:
     """``account_values`` with scatter-gather (``paths``, ``origin``, ``mids``) and cycles (``cycle_len``,
     ``cycle_amount_ratio``, ``cycle_edges``) of every transfer, written out: features, rings and detectors read it.
 
-    ``asked`` limits the result to some ``seq``; ``before`` is as in ``adjacency.live_adjacency``.
+    ``asked`` limits the result to some ``seq``; ``before`` and ``rows`` are as in ``adjacency.live_adjacency``, ``sent`` as in
+    ``paths.scatter_gather``; with these, ``transfers`` serve cycles alone.
     """
-    sides = written(account_sides(transfers, cfg, evidence, before), "sides")
-    sg, cyc = paths.scatter_gather(transfers, cfg, sides, asked), paths.cycles(transfers, cfg, asked)
+    sides = written(account_sides(transfers, cfg, evidence, before, rows), "sides")
+    sg, cyc = paths.scatter_gather(transfers, cfg, sides, asked, sent), paths.cycles(transfers, cfg, asked)
     wanted = sides if asked is None else sides.join(asked.select("seq"), "seq", "left_semi")
     values = written(account_values(transfers, cfg, wanted).join(sg, "seq", "left").join(cyc, "seq", "left"), "values")
     discard(sides)
@@ -149,10 +150,10 @@ def hit_flags(values: DataFrame, cfg: Config = Config()) -> DataFrame:
     return values.select("seq", structural.alias("structural"), "src_degree", "dst_degree")
 
 
-def neighbour_features(scored: DataFrame, cfg: Config = Config()) -> DataFrame:
+def neighbour_features(scored: DataFrame | None, cfg: Config = Config(), rows: DataFrame | None = None) -> DataFrame:
     """``seq`` and the three neighbour features from the first-stage scores ``s1``
-    of both accounts' other live transfers. 0 where there is none."""
-    rows = adjacency.live_adjacency(scored, cfg, fields=("m", "peer", "seq", "s1"), extra=("s1",))
+    of both accounts' other live transfers. 0 where there is none. ``rows`` are account rows with ``s1``, in place of ``scored``."""
+    rows = adjacency.live_adjacency(scored, cfg, fields=("m", "peer", "seq", "s1"), extra=("s1",), rows=rows)
     top = lambda c: F.coalesce(F.array_max(F.transform(F.filter(c, lambda x: x["seq"] != F.col("seq")), lambda x: x["s1"])), F.lit(0.0))
     v = rows.select("seq", "dir", top("ins").alias("a"), top("outs").alias("b"))
     of = lambda d, c: F.max(F.when(F.col("dir") == d, c))
