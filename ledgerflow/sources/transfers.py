@@ -128,20 +128,21 @@ def from_events(spark: SparkSession, sf_dir: str, clamp: bool = False) -> DataFr
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Laundering attempts of a text file: ``index``, ``typology``, ``keys``.
+    """Laundering attempts of text files: ``index`` (files by path, blocks as they stand in them), ``typology``, ``keys``.
 
     Blocks run from a BEGIN line, which names the typology, to an END line; the lines
-    between are raw transfers, whose first ten fields are their key.
+    between are raw transfers, whose first ten fields are their key. A block ends with its file at the latest. Files are split
+    where they are read, a task each; only a row a file meets in one task, to carry the blocks' number on.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    upto = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("line").startswith("BEGIN LAUNDERING ATTEMPT")
-    blocks = lines.withColumn("index", F.sum(begins.cast("int")).over(upto) - 1)
-    key = F.array_join(F.slice(F.split("line", ","), 1, 10), ",")
-    body = (~begins) & ~F.col("line").startswith("END LAUNDERING ATTEMPT") & (F.length(F.trim("line")) > 0)
-    named = F.regexp_extract("line", r"^BEGIN LAUNDERING ATTEMPT - ([^:]*)", 1)
-    rows = blocks.where("index >= 0").groupBy("index").agg(F.max(F.when(begins, F.trim(named))).alias("typology"), F.array_sort(F.collect_list(F.when(body, F.struct("n", key.alias("key"))))).alias("k"))
-    return rows.select(F.col("index").cast("int"), "typology", F.transform("k", lambda x: x["key"]).alias("keys"))
+    begin, end = "BEGIN LAUNDERING ATTEMPT", "END LAUNDERING ATTEMPT"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", f"(?m)(?=^{begin})"), lambda x: x.startswith(begin)).alias("blocks"))
+    carried = files.select("file", F.size("blocks").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "first")
+    each = files.select("file", F.posexplode("blocks").alias("n", "block")).join(carried, "file")
+    lines = F.split(F.element_at(F.split("block", f"(?m)^{end}"), 1), "\r?\n")
+    key = lambda line: F.array_join(F.slice(F.split(line, ","), 1, 10), ",")
+    keys = F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.length(F.trim(x)) > 0), key)
+    named = F.trim(F.regexp_extract("block", f"^{begin} - ([^:\r\n]*)", 1))
+    return each.select((F.col("first") + F.col("n")).cast("int").alias("index"), named.alias("typology"), keys.alias("keys"))
 
 
 def row_key() -> Column:

@@ -92,6 +92,14 @@ def test_patterns_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("index").collect()] == [(0, "CYCLE", ["a,b,c,d,e,f,g,h,i,j", "k,l,m,n,o,p,q,r,s,t"]), (1, "FAN-IN", [])]
     sinks.write_patterns(got, str(tmp_path / "out"))
     assert transfers.read_patterns(spark, str(tmp_path / "out")).count() == 2
+    many = spark.createDataFrame([(k, f"T{k % 7}", [f"{k},{j},c,d,e,f,g,h,i,j" for j in range(k % 5)]) for k in range(200)], "index int, typology string, keys array<string>")
+    sinks.write_patterns(many.repartitionByRange(3, "index"), str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1
+    assert sorted(map(tuple, transfers.read_patterns(spark, str(tmp_path / "many")).collect())) == sorted(map(tuple, many.collect()))
+    # Files side by side, one with windows' line ends and words outside of blocks.
+    (tmp_path / "a.txt").write_text("# head\r\nBEGIN LAUNDERING ATTEMPT - FAN-OUT\r\na,b,c,d,e,f,g,h,i,j,1\r\nEND LAUNDERING ATTEMPT - FAN-OUT\r\nafter\r\n")
+    both = transfers.read_patterns(spark, str(tmp_path / "*.txt")).orderBy("index").collect()
+    assert [tuple(r) for r in both] == [(0, "FAN-OUT", ["a,b,c,d,e,f,g,h,i,j"]), (1, "CYCLE", ["a,b,c,d,e,f,g,h,i,j", "k,l,m,n,o,p,q,r,s,t"]), (2, "FAN-IN", [])]
 
 
 def test_confusion_and_average_precision(spark):
