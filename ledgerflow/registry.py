@@ -73,11 +73,11 @@ sg AS (SELECT seq, len(mids) + 1 AS paths, funder AS origin, list_sort(mids) AS
 
 def _cycle_ctes() -> str:
     """Shortest cycles by hops from the sender back; of equal ones that with the latest edges."""
-    hops = ["g AS (SELECT seq, m, src, dst, amount FROM t WHERE src <> dst)", "h0 AS (SELECT seq AS x, m AS xm, src AS xs, dst AS xd, src AS node, m AS bound, amount AS lo, amount AS hi, [seq] AS path FROM g)"]
+    hops = ["g AS (SELECT seq, m, src, dst, amount, least(coalesce(lead(seq, 256) OVER (PARTITION BY dst ORDER BY seq), 9223372036854775807), coalesce(lead(seq, 256) OVER (PARTITION BY src ORDER BY seq), 9223372036854775807)) AS until FROM t WHERE src <> dst)", "h0 AS (SELECT seq AS x, m AS xm, src AS xs, dst AS xd, src AS node, m AS bound, amount AS lo, amount AS hi, [seq] AS path FROM g)"]
     for k in range(1, 6):
         hops.append(
             f"""n{k} AS (SELECT x, xm, xs, xd, g.src AS node, arg_max({{'bound': g.m, 'lo': least(lo, amount), 'hi': greatest(hi, amount), 'path': list_prepend(g.seq, path)}}, (g.m, g.seq)) AS b
-  FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.seq < h.x AND g.m <= h.bound AND g.m >= h.xm - 5760 WHERE g.src <> h.xs GROUP BY x, xm, xs, xd, g.src)"""
+  FROM h{k - 1} AS h JOIN g ON g.dst = h.node AND g.seq < h.x AND h.x < g.until AND g.m <= h.bound AND g.m >= h.xm - 5760 WHERE g.src <> h.xs GROUP BY x, xm, xs, xd, g.src)"""
         )
         hops.append(f"h{k} AS (SELECT x, xm, xs, xd, node, b.bound AS bound, b.lo AS lo, b.hi AS hi, b.path AS path FROM n{k} WHERE x NOT IN (SELECT x FROM n{k} WHERE node = xd))")
     found = " UNION ALL ".join(f"SELECT x AS seq, {k + 1} AS cycle_len, CASE WHEN b.hi > 0 THEN b.lo / b.hi ELSE 0 END AS cycle_amount_ratio, b.path AS cycle_edges FROM n{k} WHERE node = xd" for k in range(1, 6))

@@ -26,13 +26,14 @@ class Simulator:
         return [x for x in side[acct][-self.cfg.cap :] if x[0] >= now - self.cfg.window]
 
     def cycle(self, seq, m, src, dst):
-        """Length of the shortest cycle that the transfer closes, by breadth-first search over bounds."""
+        """Length of the shortest cycle that the transfer closes, by breadth-first search over bounds, over edges that both accounts' lists hold."""
+        held = lambda side, acct: {x[2] for x in side[acct][-self.cfg.cap :]}
         state = {src: m}
         for hop in range(1, self.cfg.cycle_max_len):
             nxt = {}
             for node, bound in state.items():
                 for s, t, a, b in self.edges:
-                    if b == node and s < seq and t <= bound and t >= m - self.cfg.window:
+                    if b == node and s < seq and t <= bound and t >= m - self.cfg.window and s in held(self.inn, b) and s in held(self.out, a):
                         if a == dst:
                             return hop + 1
                         if a != src:

@@ -43,7 +43,7 @@ def test_against_sequential_simulation(spark, cfg):
     free_of_cap = cfg.cap > 100
     for seq, w in want.items():
         for name, value in w.items():
-            if name.startswith("ring_") or (name == "cycle_len" and not free_of_cap):
+            if name.startswith("ring_"):
                 continue
             have = got[seq][name]
             have = 0 if have is None and name in ("paths", "cycle_len") else have
@@ -70,6 +70,30 @@ def test_micro_worlds(spark):
     assert features.account_values(late).where("pass_gap is not null").count() == 0
 
 
+def test_a_hub_has_bounded_states(spark, monkeypatch):
+    """A hub of 10,000 edges: a closing transfer meets what the hub's capped lists hold, in at most two runs of a stretch."""
+    cfg, rng = Config(cap=64, window=4000), random.Random(5)
+    edges = [(0, rng.randrange(1, 300), k, 10) if k % 2 else (rng.randrange(1, 300), 0, k, 10) for k in range(10_000)] + [(0, 500, 10_000, 9), (500, 501, 10_001, 9), (501, 502, 10_002, 9), (502, 503, 10_003, 9), (503, 0, 10_004, 9)]
+    df, _ = world(spark, edges)
+    met, plain = [], paths._stepped
+
+    def counted(state, ends, runs, low, high, cfg):
+        out = plain(state, ends, runs, low, high, cfg)
+        assert runs is not None
+        met.append((state.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(paths, "_stepped", counted)
+    got = {r.seq: r for r in paths.cycles(df, cfg, asked=df.where("seq >= 9900").select("seq")).collect()}
+    assert all(n <= cfg.cap * states for states, n in met) and met[0][0] == 105
+    assert got[10_004].cycle_len == 5 and got[10_004].cycle_edges == [10_000, 10_001, 10_002, 10_003, 10_004]
+    # Of transfers back into the hub, those whose payment by the hub is still in its list close a cycle of two.
+    for x in range(9900, 10_000, 2):
+        sent = [s for s in range(10_000) if edges[s][0] == 0 and s < x][-cfg.cap :]
+        two = [s for s in sent if edges[s][1] == edges[x][0]]
+        assert (got[x].cycle_len == 2 and got[x].cycle_edges == [two[-1], x]) if two else x not in got or got[x].cycle_len > 2
+
+
 def test_self_transfers_and_empty(spark):
     df, _ = world(spark, [(1, 1, 5, 100), (1, 2, 6, 200)])
     rows = {r.seq: r for r in features.base_features(df).collect()}
