@@ -52,19 +52,18 @@ def alerts(transfers: DataFrame, scored: DataFrame, model: models.Model, cfg: Co
     hot = scored.where(F.col("score") >= model.threshold)
     flagged = hot.select("seq")
     values = features.graph_values(transfers, cfg, evidence=True, asked=flagged) if values is None else values.join(flagged, "seq", "left_semi")
-    found = detectors.materialise_evidence(detectors.hits(transfers, values, cfg), transfers, cfg)
     ring = rings.ring_states(transfers, flagged, cfg, members=True) if ring is None else ring
-    ring = ring.join(flagged, "seq", "left_semi")
+    ring = written(ring.join(flagged, "seq", "left_semi"), "rings")
+    # The ring detector follows the others, and its evidence becomes edges with theirs.
+    linked = F.when(F.col("ring_size") >= cfg.ring_min_size, F.array(F.struct(
+        F.lit("ring").alias("name"), F.col("ring_size").cast("double").alias("value"),
+        F.format_string("account belongs to a ring of %d accounts linked by %d alerted transfers", F.col("ring_size").cast("long"), F.col("ring_edges").cast("long")).alias("detail"), "evidence")))
+    both = detectors.hits(transfers, values, cfg).join(ring.select("seq", linked.alias("linked")), "seq", "full")
+    none = F.array().cast(f"array<struct<{detectors.HIT.replace(' ', ':').replace(',:', ',')}>>")
+    found = detectors.materialise_evidence(both.select("seq", F.concat(F.coalesce("hits", none), F.coalesce("linked", none)).alias("hits")).where("size(hits) > 0"), transfers, cfg)
     t = transfers.select("seq", "m_raw", "src", "dst", "amount_usd", "payment_currency", "format")
     j = hot.select("seq", "score", model.explain().alias("topFeatures")).join(t, "seq").join(found, "seq", "left").join(ring, "seq", "left")
-    kinds = found.schema["detectors"].dataType
-    none = F.array().cast(kinds)
-    linked = F.struct(
-        F.lit("ring").alias("name"), F.col("ring_size").cast("double").alias("value"),
-        F.format_string("account belongs to a ring of %d accounts linked by %d alerted transfers", F.col("ring_size").cast("long"), F.col("ring_edges").cast("long")).alias("detail"),
-        F.array().cast(kinds.elementType["edges"].dataType).alias("edges"),
-    )
-    every = F.concat(F.coalesce("detectors", none), F.when(F.col("ring_size") >= cfg.ring_min_size, F.array(linked)).otherwise(none))
+    every = F.coalesce("detectors", F.array().cast(found.schema["detectors"].dataType))
     return j.select(
         F.concat(F.lit("txn-"), F.col("seq").cast("string")).alias("alertId"), F.col("seq").alias("txId"), S.format_minutes(F.col("m_raw")).alias("timestamp"), F.col("src").cast("string").alias("fromAccount"), F.col("dst").cast("string").alias("toAccount"),
         S.cents(F.col("amount_usd")).alias("amountUsd"), F.col("payment_currency").alias("currency"), F.col("format").alias("paymentFormat"), "score", F.lit(model.threshold).alias("threshold"), F.lit(model.version).alias("modelVersion"),

@@ -386,12 +386,12 @@ def _ring(spark, sf_dir):
 @query(
     "ring_members",
     f"""{_GRAPH}, {_RG}, rm AS (SELECT seq, start, node, row_number() OVER (PARTITION BY seq ORDER BY node) AS k FROM rc),
-  rl AS (SELECT rc.seq, min(lk.seq) AS ring_id, count(DISTINCT lk.seq) AS ring_edges FROM rc JOIN es USING (start) JOIN lk ON lk.src = rc.node AND lk.seq <= rc.seq AND lk.m >= rc.start - 5760 AND lk.m < stop GROUP BY rc.seq)
-  SELECT rl.seq, ring_id, ring_edges, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM rl JOIN rm ON rm.seq = rl.seq AND k <= 50 GROUP BY ALL""",
+  rl AS (SELECT rc.seq, min(lk.seq) AS ring_id, count(DISTINCT lk.seq) AS ring_edges, array_to_string(list_sort(list_sort(list(DISTINCT lk.seq), 'DESC')[:30]), ',') AS evidence FROM rc JOIN es USING (start) JOIN lk ON lk.src = rc.node AND lk.seq <= rc.seq AND lk.m >= rc.start - 5760 AND lk.m < stop GROUP BY rc.seq)
+  SELECT rl.seq, ring_id, ring_edges, evidence, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM rl JOIN rm ON rm.seq = rl.seq AND k <= 50 GROUP BY ALL""",
 )
 def _members(spark, sf_dir):
     r = _rings(spark, sf_dir, True)
-    return r.where("ring_id IS NOT NULL").select("seq", "ring_id", F.col("ring_edges").cast("long").alias("ring_edges"), _joined(F.col("members")).alias("members"))
+    return r.where("ring_id IS NOT NULL").select("seq", "ring_id", F.col("ring_edges").cast("long").alias("ring_edges"), _joined(F.col("members")).alias("members"), _joined(F.col("evidence")).alias("evidence"))
 
 
 def _rings(spark: SparkSession, sf_dir: str, members: bool) -> DataFrame:

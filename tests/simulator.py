@@ -92,5 +92,6 @@ class Simulator:
             self.link(src, dst)
         f["ring_size"] = len(self.members.get(src, ()))
         f["ring_members"] = sorted(self.members.get(src, ()))
+        f["ring_evidence"] = [s for s, _, a, _ in self.linked if a in self.members.get(src, ())][-self.cfg.evidence_cap :]
         f["ring_id"] = min((s for s, _, a, _ in self.linked if a in self.members.get(src, ())), default=None)
         return f

@@ -350,6 +350,9 @@ def test_stream_equals_batch_and_alerts_once(spark, tmp_path):
     sent = read("alerts").collect()
     assert sorted(r.txId for r in sent) == sorted(want_alerts) and len(sent) > 10
     assert all((r.ringId, r.ringAccounts, [d.name for d in r.detectors]) == (w.ringId, w.ringAccounts, [d.name for d in w.detectors]) for r in sent for w in [want_alerts[r.txId]])
+    assert all(sorted(r.detectors) == sorted(want_alerts[r.txId].detectors) for r in sent)
+    shown = [d for r in sent for d in r.detectors if d.name == "ring"]
+    assert shown and all(d.edges for d in shown)
     assert not (tmp_path / "replay" / "state" / "0").exists()
 
 

@@ -30,7 +30,7 @@ def random_edges(seed, n=260, accounts=9):
 
 
 @pytest.mark.parametrize("cfg", [Config(), Config(cap=4, window=900, fan_threshold=3, hub_degree=7, ring_rebuild=200, cycle_max_len=4, sg_branch=2)])
-def test_against_sequential_simulation(spark, cfg):
+def test_against_sequential_simulation(spark, cfg, monkeypatch):
     df, rows = world(spark, random_edges(1))
     sim, want = Simulator(cfg), {}
     for seq, m, a, b, x, f in rows:
@@ -49,8 +49,10 @@ def test_against_sequential_simulation(spark, cfg):
             have = 0 if have is None and name in ("paths", "cycle_len") else have
             assert have == value or (have is not None and value is not None and math.isclose(have, value, rel_tol=1e-9)), (seq, name, have, value)
     if free_of_cap:
-        ring = {r.seq: (r.ring_size, r.ring_id, r.members) for r in rings.rule_rings(df, features.hit_flags(joined, cfg), cfg, members=True).collect()}
-        assert ring == {s: (w["ring_size"], w["ring_id"], w["ring_members"]) for s, w in want.items()}
+        for walk in (rings.WALK, 0):  # epochs as one walk, and split into components
+            monkeypatch.setattr(rings, "WALK", walk)
+            ring = {r.seq: (r.ring_size, r.ring_id, r.members, r.evidence) for r in rings.rule_rings(df, features.hit_flags(joined, cfg), cfg, members=True).collect()}
+            assert ring == {s: (w["ring_size"], w["ring_id"], w["ring_members"], w["ring_evidence"]) for s, w in want.items()}
 
 
 def test_micro_worlds(spark):
