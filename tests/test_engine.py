@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -275,6 +276,40 @@ def test_configuration_and_splits(spark, tmp_path):
     assert [r.seq for r in transfers.first_transfers(spark.createDataFrame([(3,), (1,), (2,)], "seq long"), 2).collect()] == [1, 2]
 
 
+def test_a_forest_of_400_trees(spark):
+    """Scores, and contributions that add up to what the trees add to their roots; rows with nulls go right."""
+    rng = random.Random(3)
+
+    def grown(depth):
+        node = {"value": rng.uniform(-1, 1)}
+        if depth and (depth > 2 or rng.random() < 0.8):
+            node |= {"feature": rng.randrange(33), "threshold": rng.uniform(0, 1), "left": grown(depth - 1), "right": grown(depth - 1)}
+        return node
+
+    trees, weights = [grown(4) for _ in range(400)], [rng.uniform(0, 1) for _ in range(400)]
+    names = [f"f{k}" for k in range(33)]
+    rows = [tuple(rng.random() if rng.random() < 0.95 else None for _ in names) for _ in range(50)]
+    model = models.Model("gbdt", names, {"weights": weights, "trees": trees})
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = df.select(model.margin().alias("m"), model.contributions().alias("c"), model.explain(5).alias("top"), model.score().alias("s")).collect()
+
+    def walk(node, row):
+        while "left" in node:
+            x = row[node["feature"]]
+            node = node["left"] if x is not None and x <= node["threshold"] else node["right"]
+        return node["value"]
+
+    for r in got:
+        want = [sum(w * walk(t, row) for w, t in zip(weights, trees)) for row in rows]
+        at = min(range(50), key=lambda k: abs(want[k] - r.m))
+        assert r.m == pytest.approx(want[at]) and r.s == pytest.approx(1 / (1 + math.exp(-2 * r.m)))
+        assert sum(r.c) == pytest.approx(r.m - sum(w * t["value"] for w, t in zip(weights, trees)))
+        assert [abs(x.contribution) for x in r.top] == pytest.approx(sorted(map(abs, r.c), reverse=True)[:5])
+    assert df.where("false").select(model.score().alias("s"), model.explain().alias("e")).count() == 0
+    lone = models.Model("gbdt", names, {"weights": [2.0], "trees": [{"value": 0.25}]})
+    assert {r.m for r in df.select(lone.margin().alias("m")).collect()} == {0.5}
+
+
 def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark, tmp_path):
     df, patterns = synth.generate(spark, accounts=60, days=6, rate=0.6, per_typology=2, seed=4)
     df = spark.createDataFrame(df.collect(), df.schema)
