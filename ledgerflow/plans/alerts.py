@@ -81,7 +81,7 @@ def baseline_thresholds(val: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (one(name, c) for name, c in BASELINES.items()))
 
 
-def train_methods(transfers: DataFrame, train_end: int, val_end: int, cfg: Config = Config(), trees: int = 20, depth: int = 3, rate: float = 0.5) -> tuple[DataFrame, dict[str, tuple[Column, float]], str]:
+def train_methods(transfers: DataFrame, train_end: int, val_end: int, cfg: Config = Config(), trees: int = 20, depth: int = 3, rate: float = 0.5, epochs: int = 300) -> tuple[DataFrame, dict[str, tuple[Column, float]], str]:
     """Train the three models and fit the three baselines.
 
     Returns all transfers with their features, per method its score and threshold (``gbdt`` first), and the
@@ -90,7 +90,7 @@ def train_methods(transfers: DataFrame, train_end: int, val_end: int, cfg: Confi
     full, _ = staged_transfers(transfers, train_end, val_end, cfg, trees, depth, rate)
     train, val = models.weighted_sample(full.where(F.col("m") < train_end), rate), full.where((F.col("m") >= train_end) & (F.col("m") < val_end))
     boosted = lambda names: models.train_gbdt(train, list(names), val, trees=trees, depth=depth)
-    trained = {"gbdt": boosted(FEATURES), "lr": models.train_lr(train, list(FEATURES)), "gbdt_txn_only": boosted(TXN_ONLY)}
+    trained = {"gbdt": boosted(FEATURES), "lr": models.train_lr(train, list(FEATURES), epochs=epochs), "gbdt_txn_only": boosted(TXN_ONLY)}
     methods = {name: (m.score(), models.with_threshold(m, val).threshold) for name, m in trained.items()}
     fitted = {r.method: r for r in baseline_thresholds(val).collect()}
     methods |= {name: (F.col(c).cast("double"), fitted[name].threshold if name in fitted else 1.0) for name, c in BASELINES.items()}

@@ -15,7 +15,7 @@ from .functions import scalars as S
 from .operators import adjacency, cases, detectors, features, metrics, paths, rings
 from .plans import alerts as alert_plan
 from .plans import models
-from .schema import STAGE1, Config
+from .schema import PAYMENT_FORMATS, STAGE1, TXN_ONLY, Config
 from .sources import transfers as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -625,12 +625,16 @@ def _baselines(spark, sf_dir):
     return counts.select("method", F.round("threshold", 6).alias("threshold"), F.round("val_f1", 6).alias("val_f1"), "tp", "fp", "fn", "tn")
 
 
+#: Steps of the regression in queries: each is a pass over the training rows; the library's own default is 300.
+EPOCHS = 40
+
+
 @query("evaluate_methods")
 def _methods(spark, sf_dir):
     """All six methods on test rows: models and thresholds never see them."""
     t = transfers(spark, sf_dir)
     ends = src.split_boundaries(t).first()
-    full, methods, naive = alert_plan.train_methods(t, ends.train_end, ends.val_end, CFG, trees=10, depth=3)
+    full, methods, naive = alert_plan.train_methods(t, ends.train_end, ends.val_end, CFG, trees=10, depth=3, epochs=EPOCHS)
     found = alert_plan.evaluate(full, methods, start=ends.val_end, naive=naive)["methods"]
     return spark.createDataFrame([(k, round(float(v["precision"]), 6), round(float(v["recall"]), 6), round(float(v["f1"]), 6), round(float(v["average_precision"]), 6)) for k, v in found.items()], "method string, precision double, recall double, f1 double, average_precision double")
 
@@ -652,12 +656,37 @@ def _gbdt(spark, sf_dir):
     return scored.select("seq", F.round("score", 6).alias("score"), (F.col("score") >= model.threshold).alias("alert"))
 
 
-@query("lr_score")
+def _lr_sql(epochs: int, n: int = 12, rate: float = 0.05, l2: float = 1e-4) -> str:
+    """The regression's steps as a recursive query: weights w, moments a and b, of which the last is the bias'."""
+    d = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    each = lambda form, sep=", ", upto=n: sep.join(form.format(j=j) for j in range(1, upto + 1))
+    names = [*(f"CAST(format = '{f}' AS DOUBLE)" for f in PAYMENT_FORMATS), "ln(1 + greatest(amount, 0))", "CAST(ccy <> rccy AS DOUBLE)", "CAST(src % 20 = dst % 20 AS DOUBLE)", "CAST(amount_paid >= 100 AND amount_paid % 100 < 1e-9 AS DOUBLE)"]
+    vs = ", ".join(f"{x} AS v{j}" for j, x in enumerate(names, 1))
+    z = each(f"(v{{j}} - mu{{j}}) / greatest(sqrt(va{{j}}), {d(1e-6)}) AS x{{j}}", upto=n - 1) + f", {d(1.0)} AS x{n}"
+    margin = each("w{j} * x{j}", " + ")
+    grad = each(f"sum(off * x{{j}}) / any_value(ws) + {d(l2)} * any_value(w{{j}}) AS g{{j}}", upto=n - 1) + f", sum(off * x{n}) / any_value(ws) AS g{n}"
+    moved = each(f"w{{j}} - {d(rate)} * (a{{j}} / (1 - power({d(0.9)}, t))) / (sqrt(b{{j}} / (1 - power({d(0.999)}, t))) + {d(1e-8)}) AS w{{j}}, a{{j}}, b{{j}}")
+    kept = each(f"w{{j}}, {d(0.9)} * a{{j}} + (1 - {d(0.9)}) * g{{j}} AS a{{j}}, {d(0.999)} * b{{j}} + (1 - {d(0.999)}) * g{{j}} * g{{j}} AS b{{j}}")
+    return f"""WITH RECURSIVE {_T}, {_BOUNDS},
+q AS (SELECT seq, m, amount_paid > 150 AS label, {vs} FROM t),
+tr AS MATERIALIZED (SELECT q.*, CASE WHEN label THEN {d(1.0)} ELSE {d(2.0)} END AS wt FROM q, b WHERE m < a AND (label OR CAST('0x' || substr(md5('row:' || seq), 1, 12) AS BIGINT) % 1000000 < 500000)),
+mn AS MATERIALIZED (SELECT sum(wt) AS ws, sum(wt * CAST(label AS DOUBLE)) / sum(wt) AS prior, {each("sum(wt * v{j}) / sum(wt) AS mu{j}", upto=n - 1)} FROM tr),
+vr AS MATERIALIZED (SELECT any_value(COLUMNS(mn.*)), {each("sum(wt * (v{j} - mu{j}) * (v{j} - mu{j})) / sum(wt) AS va{j}", upto=n - 1)} FROM tr, mn),
+zs AS MATERIALIZED (SELECT CAST(label AS DOUBLE) AS y, wt, ws, {z} FROM tr, vr),
+fit AS (SELECT 0 AS t, {each("CAST(0 AS DOUBLE) AS w{j}, CAST(0 AS DOUBLE) AS a{j}, CAST(0 AS DOUBLE) AS b{j}", upto=n - 1)}, ln(prior / (1 - prior)) AS w{n}, CAST(0 AS DOUBLE) AS a{n}, CAST(0 AS DOUBLE) AS b{n} FROM mn
+  UNION ALL SELECT t, {moved} FROM (SELECT t, {kept} FROM (
+    SELECT t + 1 AS t, {each("any_value(w{j}) AS w{j}, any_value(a{j}) AS a{j}, any_value(b{j}) AS b{j}")}, {grad} FROM (SELECT fit.*, zs.*, (1 / (1 + exp(-({margin}))) - y) * wt AS off FROM fit, zs WHERE t < {epochs}) AS o GROUP BY t) AS o2) AS o3)
+SELECT seq, round(1 / (1 + exp(-({margin}))), 6) AS score FROM (SELECT seq, {z} FROM q, vr, b WHERE m >= a) AS u, fit WHERE t = {epochs}"""
+
+
+@query("lr_score", _lr_sql(EPOCHS))
 def _lr(spark, sf_dir):
+    """Scores of the transfers that training hasn't seen."""
     t = transfers(spark, sf_dir)
-    rows = t.select("seq", "label").join(features.txn_features(t), "seq")
-    model = models.train_lr(models.weighted_sample(rows, 0.5), [c for c in rows.columns if c not in ("seq", "label")])
-    return rows.select("seq", F.round(model.score(), 6).alias("score"))
+    end = src.split_boundaries(t).first().train_end
+    rows = t.select("seq", "m", "label").join(features.txn_features(t), "seq")
+    model = models.train_lr(models.weighted_sample(rows.where(F.col("m") < end), 0.5), list(TXN_ONLY), epochs=EPOCHS)
+    return rows.where(F.col("m") >= end).select("seq", F.round(model.score(), 6).alias("score"))
 
 
 @query("explain_topk")

@@ -233,7 +233,7 @@ def test_synthetic_world_models_and_alerts(spark, tmp_path):
     assert models.average_precision(rows, back.score()) > rows.select(F.avg(F.col("label").cast("int"))).first()[0]
     total = scored.select(F.abs(F.aggregate(back.contributions(), F.lit(0.0), lambda a, x: a + x) + sum(w * t["value"] for w, t in zip(back.body["weights"], back.body["trees"])) - back.margin()).alias("d")).agg(F.max("d")).first()[0]
     assert total < 1e-9
-    lr = models.train_lr(models.weighted_sample(rows, 0.5), ["log_amount_usd", "src_out_distinct", "dst_in_distinct"])
+    lr = models.train_lr(models.weighted_sample(rows, 0.5), ["log_amount_usd", "src_out_distinct", "dst_in_distinct"], epochs=5)
     assert all(0 <= r.s <= 1 for r in rows.select(lr.score().alias("s")).collect())
     model = models.with_threshold(back, rows)
     out = alerts.alerts(df, scored, model, cfg)
@@ -258,7 +258,7 @@ def test_exported_trees_score_like_a_plain_walk(spark):
     for r in rows.withColumn("score", model.score()).collect():
         margin = sum(w * walk(t, [float(r[n]) for n in names]) for w, t in zip(model.body["weights"], model.body["trees"]))
         assert r.score == pytest.approx(1 / (1 + math.exp(-2 * margin)))
-    lr = models.train_lr(rows, names)
+    lr = models.train_lr(rows, names, epochs=4)
     for r in rows.withColumn("score", lr.score()).limit(5).collect():
         z = lr.body["bias"] + sum(w * (float(r[n]) - m) / s for n, w, m, s in zip(names, lr.body["weights"], lr.body["mean"], lr.body["std"]))
         assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
@@ -276,6 +276,28 @@ def test_configuration_and_splits(spark, tmp_path):
     assert [r.seq for r in transfers.first_transfers(spark.createDataFrame([(3,), (1,), (2,)], "seq long"), 2).collect()] == [1, 2]
 
 
+def test_regression_steps_are_those_of_one_plain_pass_after_another(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(3, 2), float(k % 2), 5.0, k % 3 == 0, 1.0 if k % 3 == 0 else 2.0) for k in range(60)]
+    model = models.train_lr(spark.createDataFrame(rows, "a double, b double, c double, label boolean, weight double"), ["a", "b", "c"], epochs=6)
+    total = sum(r[4] for r in rows)
+    mean = [sum(r[4] * r[j] for r in rows) / total for j in range(3)]
+    std = [max(math.sqrt(sum(r[4] * (r[j] - mean[j]) ** 2 for r in rows) / total), 1e-6) for j in range(3)]
+    prior = sum(r[4] for r in rows if r[3]) / total
+    w, a, b = [0.0, 0.0, 0.0, math.log(prior / (1 - prior))], [0.0] * 4, [0.0] * 4
+    for t in range(1, 7):
+        g = [0.0] * 4
+        for r in rows:
+            z = [*((r[j] - mean[j]) / std[j] for j in range(3)), 1.0]
+            off = (1 / (1 + math.exp(-sum(x * y for x, y in zip(w, z)))) - r[3]) * r[4]
+            g = [x + off * y for x, y in zip(g, z)]
+        g = [x / total + (1e-4 * w[j] if j < 3 else 0) for j, x in enumerate(g)]
+        a, b = [0.9 * x + 0.1 * y for x, y in zip(a, g)], [0.999 * x + 0.001 * y * y for x, y in zip(b, g)]
+        w = [x - 0.05 * (p / (1 - 0.9**t)) / (math.sqrt(q / (1 - 0.999**t)) + 1e-8) for x, p, q in zip(w, a, b)]
+    assert model.body["mean"] == pytest.approx(mean) and model.body["std"] == pytest.approx(std)
+    assert [*model.body["weights"], model.body["bias"]] == pytest.approx(w, abs=1e-9)
+
+
 def test_a_forest_of_400_trees(spark):
     """Scores, and contributions that add up to what the trees add to their roots; rows with nulls go right."""
     rng = random.Random(3)
@@ -314,7 +336,7 @@ def test_training_sees_neither_test_rows_nor_the_threshold_training_rows(spark,
     df, patterns = synth.generate(spark, accounts=60, days=6, rate=0.6, per_typology=2, seed=4)
     df = spark.createDataFrame(df.collect(), df.schema)
     ends = transfers.split_boundaries(df).first()
-    full, methods, naive = alerts.train_methods(df, ends.train_end, ends.val_end, trees=4, depth=2)
+    full, methods, naive = alerts.train_methods(df, ends.train_end, ends.val_end, trees=4, depth=2, epochs=3)
     assert list(methods) == ["gbdt", "lr", "gbdt_txn_only", "amount_rule", "velocity_rule", "rules_only"] and naive in methods
     val = full.where((F.col("m") >= ends.train_end) & (F.col("m") < ends.val_end))
     for score, threshold in methods.values():
