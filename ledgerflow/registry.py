@@ -423,22 +423,29 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# An account of three days is an account of its own here, so that alerts fall into many cases.
 _CC = (
     "WITH RECURSIVE "
-    + _AL
+    + _AL.replace(" AS fa,", " || ':' || (epoch_us(ts) // 259200000000) AS fa,").replace(" AS ta,", " || ':' || (epoch_us(ts) // 259200000000) AS ta,")
     + """, k AS (SELECT alert_no, fa AS key FROM al UNION SELECT alert_no, ta FROM al), hub AS (SELECT key, min(alert_no) AS a FROM k GROUP BY key), lk AS (SELECT DISTINCT a, alert_no AS b FROM k JOIN hub USING (key)),
  ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach AS (SELECT alert_no AS node, alert_no AS other FROM al UNION SELECT reach.node, ed.b FROM reach JOIN ed ON reach.other = ed.a),
  cs AS (SELECT 'txn-' || node AS alert_id, min(other) AS case_id FROM reach GROUP BY node)"""
 )
 
 
+def _case_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.substring("event_ts", 1, 10)
+    number = F.floor(F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date")) / 3).cast("string")
+    return _alerts(spark, sf_dir).withColumns({c: F.concat_ws(":", c, number) for c in ("from_account", "to_account")})
+
+
 @query("case_grouping", _CC + " SELECT alert_id, case_id FROM cs")
 def _grouping(spark, sf_dir):
-    return cases.group_cases(_alerts(spark, sf_dir))
+    return cases.group_cases(_case_alerts(spark, sf_dir))
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _alerts(spark, sf_dir)
+    a = _case_alerts(spark, sf_dir)
     return cases.case_rollup(a, cases.group_cases(a))
 
 
