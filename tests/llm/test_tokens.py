@@ -89,6 +89,19 @@ def test_packing_is_gapless_and_complete(docs):
     assert packing.pack(docs.where("false"), "byte_bpe_50k.json").count() == 0
 
 
+def test_packing_ids_are_the_librarys():
+    """By ranks, by the model where white space is long, and with special strings in the text."""
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    library, encode, rng = Tokenizer.from_file(path), packing._ids("byte_bpe_50k.json").encode, random.Random(6)
+    texts = ["", "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "  \n\t x", "unseen" * 3000, "it's I'LL 123456 !!\r\n\r\n  end ", "x" + " \n" * 9000 + "y"]
+    texts += ["".join(chr(rng.choice([32, 32, 10, 39, 48, 97, 233, 0x4E00, 0x1F600, 0x200D, 9, 0])) for _ in range(200)) for _ in range(300)]
+    for text in texts:
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
+    assert encode(None) == b"" and packing._ranks(packing.vocabulary_path("word_bpe_49k.json"), packing._byte_letters()) is None
+
+
 def test_packing_hardly_depends_on_the_number_of_tasks(spark):
     rng = random.Random(3)
     rows = [(k, "word " * rng.randint(1, 500)) for k in range(1200)]
