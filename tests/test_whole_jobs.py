@@ -15,7 +15,7 @@ def events(spark, folder, rows):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["case_grouping"])
+@pytest.mark.parametrize("name", ["case_grouping", "case_rollup_priority"])
 def test_cases_follow_accounts_over_the_whole_history(spark, tmp_path, name):
     """Alerts of one account belong to one case, however many days lie between them."""
     sf = events(spark, tmp_path, [(1, 2, 0, 300), (1, 3, 20, 400), (4, 3, 40, 500), (7, 8, 40, 600), (1, 9, 41, 10)])
