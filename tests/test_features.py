@@ -120,3 +120,12 @@ def test_components_match_search(spark):
             parent[a] = parent[b] = min(parent[a], parent[b])
     lone = {x for e in edges for x in e} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: r for x, r in parent.items() if x not in lone}
+
+
+def test_lists_stay_out_of_windows_and_sorted_rows(spark):
+    """An account's list is met by position in its runs, so no window holds lists and no row is sorted with one."""
+    df, _ = world(spark, random_edges(2))
+    for made in (features.account_values(df), features.neighbour_features(df.withColumn("s1", F.lit(0.5)))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Window" in line and "collect_list" in line]
+        assert "run" in plan
