@@ -24,3 +24,12 @@ def test_cases_follow_accounts_over_the_whole_history(spark, tmp_path, name):
         assert {r.alert_id: r.case_id for r in rows} == {"txn-0": 0, "txn-1": 0, "txn-2": 0, "txn-3": 3}
     else:
         assert {r.case_id: (r.alert_count, r.accounts, r.total_amount_usd) for r in rows} == {0: (3, 4, 1200.0), 3: (1, 2, 600.0)}
+
+
+def test_alerts_and_features_share_one_pass_over_the_graph(spark, tmp_path, monkeypatch):
+    sf, made, given = events(spark, tmp_path, [(1, 2, day, 10 + day) for day in range(10)]), [], []
+    monkeypatch.setattr(registry.features, "graph_values", lambda *a, **k: made.append(k) or spark.range(1))
+    monkeypatch.setattr(registry.alert_plan, "scored_transfers", lambda t, *a, **k: given.append(k["values"]) or (t, None, []))
+    monkeypatch.setattr(registry.alert_plan, "alerts", lambda t, scored, model, cfg, values=None: given.append(values) or t.selectExpr("seq AS alertId"))
+    registry.QUERIES["alert_payload"](spark, sf)
+    assert [k.get("evidence") for k in made] == [True] and len(given) == 2 and given[0] is given[1]
