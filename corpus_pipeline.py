@@ -61,14 +61,22 @@ def _rows(docs: DataFrame) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that with the smallest id (operator 8).
 
-    Five-word shingles, similarity 0.8 or more; every document of a group but the
-    first goes. Where ids are null or repeat, each row is a document of its own; null ids come last.
+    Groups are those of the operator: fingerprints of three-word shingles that link at three bits or fewer, by the grid of
+    segment counts. What is left then meets by five-word shingles of similarity 0.8 or more, which so few bits
+    seldom find; every document of a group but the first goes. Where ids are null or repeat, each row is a document of its own; null ids come last.
     """
     docs = _rows(docs)
-    groups = simhash.near_copies(docs, id_col="_row").withColumnRenamed("doc_id", "_row")
+    small_batches(spark)
+    left = materialise(_firsts(docs, simhash.near_duplicates(docs, id_col="_row")), "unlinked")
+    return _firsts(left, simhash.near_copies(left, id_col="_row")).select(*COLUMNS)
+
+
+def _firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first document of each group (``doc_id``, a ``_row``; ``component_id``)."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = groups.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
-    return docs.join(first, "_row", "left_semi").select(*COLUMNS)
+    named = groups.select(F.col("doc_id").alias("_row"), "component_id")
+    first = named.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    return docs.join(first, "_row", "left_semi")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

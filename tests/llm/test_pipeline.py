@@ -71,3 +71,21 @@ def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
 def test_language_stage_without_labels_keeps_texts_with_letters(spark):
     docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "12 34", None, "a", 5), (3, None, None, "a", 0)], SCHEMA)
     assert [r.doc_id for r in C.language_stage(spark, docs, "").collect()] == [1]
+
+
+def test_near_duplicates_are_the_operators_groups(spark, monkeypatch):
+    """What operator 8 links goes, by its grid, though its five-word shingles be unlike; then what is similar."""
+    rng = random.Random(26)
+    one = prose(rng, 120)
+    rows = [(1, one), (2, f"{one}."), (3, prose(rng, 120)), (4, "# - #"), (5, "# - #\n")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    seen, plain = [], C.simhash.links
+
+    def counted(distinct):
+        seen.append(distinct.count())
+        return plain(distinct)
+
+    monkeypatch.setattr(C.simhash, "links", counted)
+    groups = {r.doc_id: r.component_id for r in C.simhash.near_duplicates(docs).collect()}
+    kept = {r.doc_id for r in C.near_duplicate_stage(spark, docs, "").collect()}
+    assert seen and len(seen) == 2 and kept == {1, 3, 4} and kept <= {i for i, c in groups.items() if i == c}
