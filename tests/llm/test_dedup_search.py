@@ -259,6 +259,32 @@ def test_passages_against_brute_force(spark):
         assert len(some) > 30 and sum(i in hit for i in some) >= least * len(some), (low, sum(i in hit for i in some), len(some))
 
 
+def test_no_passage_at_the_threshold_is_left_out(spark):
+    """Shortest passages with one edit, half a passage on either side of a gap, and exact passages that fragments precede: every one of them."""
+    rng, rows, due = random.Random(41), [], []
+
+    def plant(*passages_):
+        due.append(tuple(range(len(rows), len(rows) + len(passages_))))
+        rows.extend([(len(rows) + k, f"{prose(rng, 120 + rng.randrange(60))} {t} {prose(rng, 120)}") for k, t in enumerate(passages_)])
+
+    for k in range(250):
+        words = prose(rng, 50).split()
+        plant(" ".join(words), " ".join([*words[: 5 + k % 40], "edit", *words[6 + k % 40 :]]))
+    for _ in range(20):
+        words = prose(rng, 98).split()
+        plant(" ".join([*words[:49], prose(rng, 7), *words[49:]]), " ".join([*words[:49], prose(rng, 7), *words[49:]]))
+    fragments = []
+    for _ in range(40):
+        words = prose(rng, 50).split()
+        plant(" ".join(words), " ".join(words))
+        fragments += [f"{prose(rng, 20)} {' '.join(words[at : at + 30])} {prose(rng, 20)}" for at in range(0, 21, 5)]
+    rows += [(10_000 + k, t) for k, t in enumerate(fragments)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {frozenset((r.doc_id, r.of_doc_id)) for r in found}
+    assert pairs == {frozenset(d) for d in due}
+    assert all(r.similarity >= 0.8 and min(r.end - r.start, r.of_end - r.of_start) >= 50 for r in found)
+
+
 def test_a_class_of_many_parts_is_dealt_out(spark, monkeypatch):
     """A salted class: members link to their part's first, the firsts to the first of all."""
     monkeypatch.setattr(passages, "HOT", 1e-6)
