@@ -2,10 +2,11 @@
 
 A pre-token's byte positions are the leaves of a segment tree. Leaf ``i`` holds
 the rank of the pair that starts at the live token at byte ``i``; an inner node
-holds the smaller rank of its children, the left one on a tie, so that the root
+holds the least rank of its ``FAN`` children, and the first child that holds it leads down, so that the root
 gives the leftmost pair of least rank. A merge changes three leaves at most
 (the merged token, its left neighbour, the position that died), each a
-logarithmic point update: n bytes take O(n log n), however long the pre-token.
+logarithmic point update: n bytes take O(n log n), however long the pre-token. A node's least child is found
+by ``min`` over a slice, so the usual pre-token, of ``FAN`` bytes or fewer, is a root over its leaves.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .pretokens import PieceEncoder
 
 #: Stands for "no pair here"; above every rank.
 _NONE = 1 << 60
+#: Pieces that a worker keeps, of two generations each.
+PIECES = 400_000
+#: Children of an inner node.
+FAN = 32
 
 
 def load_ranks(name: str) -> dict[bytes, int]:
@@ -46,44 +51,39 @@ class MergeTree:
             return [whole]
         if n == 0:
             return []
-        size = 1 << (n - 1).bit_length()
-        tree = [_NONE] * (2 * size)
         get = ranks.get
-        for i in range(n - 1):
-            tree[size + i] = get(word[i : i + 2], _NONE)
-        for k in range(size - 1, 0, -1):
-            left, right = tree[2 * k], tree[2 * k + 1]
-            tree[k] = left if left <= right else right
+        leaves = [get(word[i : i + 2], _NONE) for i in range(n - 1)]
+        leaves.append(_NONE)
+        levels = [leaves]
+        while len(levels[-1]) > FAN:
+            low = levels[-1]
+            levels.append([min(low[k : k + FAN]) for k in range(0, len(low), FAN)])
+        top, inner = levels[-1], levels[-2::-1]
         after = list(range(1, n + 1))  # where the token that starts here ends
         before = list(range(-1, n - 1))  # where the token before this one starts
-        while tree[1] < _NONE:
-            least, k = tree[1], 1
-            while k < size:  # the leftmost leaf that holds the least rank
-                k = 2 * k if tree[2 * k] == least else 2 * k + 1
-            i = k - size
+        while (least := min(top)) < _NONE:
+            i = top.index(least)
+            for level in inner:  # the leftmost leaf that holds the least rank
+                i = level.index(least, FAN * i)
             dead = after[i]
-            end = after[dead]
-            after[i] = end
-            changed = [(dead, _NONE)]
+            after[i] = end = after[dead]
+            leaves[dead] = _NONE
             if end < n:
                 before[end] = i
-                changed.append((i, get(word[i : after[end]], _NONE)))
+                leaves[i] = get(word[i : after[end]], _NONE)
             else:
-                changed.append((i, _NONE))
+                leaves[i] = _NONE
+            p = before[i]
             if i:
-                p = before[i]
-                changed.append((p, get(word[p:end], _NONE)))
-            for leaf, rank in changed:
-                k = size + leaf
-                tree[k] = rank
-                k >>= 1
-                while k:
-                    left, right = tree[2 * k], tree[2 * k + 1]
-                    now = left if left <= right else right
-                    if tree[k] == now:
-                        break
-                    tree[k] = now
-                    k >>= 1
+                leaves[p] = get(word[p:end], _NONE)
+            if inner:
+                for leaf in (dead, i, p) if i else (dead, i):
+                    for low, high in zip(levels, levels[1:]):
+                        leaf //= FAN
+                        now = min(low[FAN * leaf : FAN * leaf + FAN])
+                        if high[leaf] == now:
+                            break
+                        high[leaf] = now
         ids, i = [], 0
         while i < n:
             ids.append(ranks[word[i : after[i]]])
@@ -101,7 +101,7 @@ class ByteBpe:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self._pieces = PieceEncoder(lambda m: _pack(tree.encode(m.encode())), b"".join)
+        self._pieces = PieceEncoder(lambda m: _pack(tree.encode(m.encode())), b"".join, limit=PIECES)
 
     def encode(self, text: str | None) -> bytes:
         return self._pieces.encode(text)

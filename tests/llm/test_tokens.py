@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -53,6 +54,30 @@ def test_merge_tree_on_any_text(text):
     assert np.frombuffer(codec.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
 
 
+def test_merge_tree_takes_few_steps_and_any_length():
+    """Lines of Python that a usual pre-token takes, and long ones of several levels."""
+    rng, enc, tree = random.Random(8), reference(), bpe.MergeTree(bpe.load_ranks("byte_bpe_multi_50k.tiktoken"))
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 16))) for _ in range(300)]
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        found = [tree.encode(w.encode()) for w in words]
+    finally:
+        sys.settrace(None)
+    assert found == [enc.encode_ordinary(w) for w in words]
+    assert steps < 20 * sum(map(len, words))
+    for n in (31, 32, 33, 64, 65, 1023, 1024, 1025, 1057, 40_000):
+        for letters in ("a", "ab", "etaoinshrdlu"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert tree.encode(word.encode()) == enc.encode_ordinary(word)
+
+
 def test_counts_equal_library(docs):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = token_counts.token_counts(docs, "byte_bpe_50k.json", limit=512, table_size=5, per_task=8, sample_rows=6).collect()
