@@ -189,7 +189,7 @@ def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         placed = _mix(ids + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
         whole = np.zeros(len(n), np.uint64)
         np.add.at(whole, owner, placed)
-        s = _shingled(ids)
+        s = _shingled(ids, SHINGLE)
         s = s[owner[: len(s)] == owner[SHINGLE - 1 :]]
         m = np.maximum(n - SHINGLE + 1, 0)
         full = np.flatnonzero(m)

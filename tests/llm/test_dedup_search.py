@@ -83,6 +83,19 @@ def test_near_copies_at_a_similarity(spark):
     assert got[91] == got[90] == 90 and got[92] == got[93] == 92
 
 
+def test_sketches_are_of_five_word_shingles():
+    """The least shingles of texts sketched together: equal to the least over each text's own runs of five words."""
+    rng = random.Random(18)
+    texts = [None, "a b", "a b c d", "a b c d e", prose(rng, 11), prose(rng, 12), prose(rng, 90), "", prose(rng, 30)]
+    words, runs, least, whole = simhash.sketches(texts)
+    assert len(words) == len(runs) == len(least) == len(whole) == len(texts)
+    for text, found in zip(texts, least):
+        split = (text or "").split()
+        grams = {" ".join(split[k : k + 5]) for k in range(len(split) - 4)}
+        if grams:
+            assert np.array_equal(found, np.min([simhash.sketches([g])[2][0] for g in grams], axis=0))
+
+
 def test_passages(spark):
     rng = random.Random(4)
     shared, other = prose(rng, 60), prose(rng, 60)
