@@ -298,6 +298,53 @@ def test_no_passage_at_the_threshold_is_left_out(spark):
     assert all(r.similarity >= 0.8 and min(r.end - r.start, r.of_end - r.of_start) >= 50 for r in found)
 
 
+def test_places_that_share_too_little_are_not_aligned(spark, monkeypatch):
+    """Documents that share 30 words and no passage meet their class's first alone; two of them that share more meet as well."""
+    rng, verified, plain = random.Random(52), [], passages._verified
+
+    def counted(known, pairs, run):
+        pairs = pairs.localCheckpoint()
+        verified.append({(r.id, r.of) for r in pairs.collect()})
+        return plain(known, pairs, run)
+
+    monkeypatch.setattr(passages, "_verified", counted)
+    part, more = prose(rng, 30), prose(rng, 40)
+    rows = [(k, f"{prose(rng, 40 + k)} {part} {prose(rng, 60)}") for k in range(14)]
+    rows += [(20 + k, f"{prose(rng, 40)} {'the ' * 30} {prose(rng, 70 + k)}") for k in range(14)]
+    rows += [(40 + k, f"{prose(rng, 60)} {part} {more} {prose(rng, 70)}") for k in range(2)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.of_doc_id)) for r in found} == {frozenset((40, 41))}
+    assert sum(map(len, verified[1:])) <= 1 < len(verified[0])
+
+
+def test_what_may_share_a_passage_by_its_contexts():
+    """Two equal runs around a gap, in either direction, against the similarity of the passage that they make."""
+    rng, due, contexts = random.Random(3), [], ([], [])
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    def context(words, c):
+        ids = (passages.WordHashes().of([" ".join(words).encode()])[0] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return [ids[k] if 0 <= k < len(ids) else 0 for k in range(c - passages.REACH, c + passages.RUN + passages.REACH)]
+
+    for _ in range(1500):
+        one, two, gaps = new(rng.randint(12, 60)), new(rng.randint(0, 49)), [new(rng.randint(0, 7)) for _ in range(2)]
+        c, turn = rng.randint(0, len(one) - 12), rng.random() < 0.5
+        texts = [one + gap + two for gap in gaps]
+        a, b = map(grams, texts)
+        near = len(one) >= 25 and len(two) >= 5 and min(map(len, texts)) >= 50 and len(a & b) >= 0.8 * len(a | b)
+        due.append(near or len(one) >= 50)
+        for held, text in zip(contexts, texts):
+            before = new(rng.randint(0, 70))
+            words = before + text + new(rng.randint(0, 70))
+            at = len(before) + c
+            held.append(context(words[::-1] if turn else words, len(words) - at - 12 if turn else at))
+    rows, (x, y) = np.arange(1500), (np.array(h, np.uint32) for h in contexts)
+    got = passages.may_share(x, y, rows, rows) > 0
+    assert sum(due) > 200 and not (np.array(due) & ~got).any() and (got & ~np.array(due)).mean() < 0.05
+    assert not passages.may_share(x, y, rows, np.roll(rows, 1)).any()
+
+
 def test_a_class_of_many_parts_is_dealt_out(spark, monkeypatch):
     """A salted class: members link to their part's first, the firsts to the first of all."""
     monkeypatch.setattr(passages, "HOT", 1e-6)
