@@ -345,6 +345,45 @@ def test_what_may_share_a_passage_by_its_contexts():
     assert not passages.may_share(x, y, rows, np.roll(rows, 1)).any()
 
 
+def test_near_copies_are_covered_by_a_part_of_their_class(spark, monkeypatch):
+    """Near copies behind fragments that come first in their classes: few of their places have to meet the whole class."""
+    opened, plain = {}, passages._partners
+
+    def counted(full, words, scope, met=None):
+        opened[scope] = full.where("open").count()
+        return plain(full, words, scope, met)
+
+    monkeypatch.setattr(passages, "_partners", counted)
+    rng = random.Random(71)
+    base = prose(rng, 160).split()
+    edited = [[f"x{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in base] for _ in range(90)]
+    rows = [(k, f"{prose(rng, 60)} {' '.join(words)} {prose(rng, 60)}") for k, words in enumerate(edited)]
+    rows += [(100 + at, f"{prose(rng, 10)} {' '.join(base[at : at + 30])} {prose(rng, 10)}") for at in range(0, 131, 2)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {(doc, at) for r in found for doc, s, e in ((r.doc_id, r.start, r.end), (r.of_doc_id, r.of_start, r.of_end)) for at in range(s, e)}
+    runs = {}
+    for k, words in enumerate(edited):
+        for at in range(len(words) - 49):
+            runs.setdefault(tuple(words[at : at + 50]), []).append((k, at + 60))
+    repeated = {(k, at + w) for held in runs.values() if len(held) > 1 for k, at in held for w in range(50)}
+    assert len(repeated) > 5000 and len(repeated - covered) <= 0.001 * len(repeated)
+    assert opened["part"] > 200 and opened.get("class", 0) < 0.25 * opened["part"]
+
+
+def test_shingles_of_many_contexts_and_gaps_where_no_run_is_long():
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 2**32, (4, 12 + 2 * passages.REACH), dtype=np.uint64)
+    assert (passages._shingled(words, 5) == np.stack([passages._shingled(w, 5) for w in words])).all()
+    one = words[:1].astype(np.uint32)
+    far, run, gap = words[1:].astype(np.uint32)
+    run[60:112] = one[0, 60:112]  # 52 words around the token
+    gap[60:100], gap[101:] = one[0, 60:100], one[0, 101:]  # 40 words, another one, and many more
+    others, i, j = np.stack([far, run, gap]), np.zeros(3, np.int64), np.arange(3)
+    assert passages.may_share(one, others, i, j).tolist() == [0, 52, 40]
+    assert passages.may_share(one, others, i, j, sure=True).tolist() == [0, 52, 0]
+    assert passages.may_share(one, others[[0, 2]], i[:2], j[:2], sure=True).tolist() == [0, 40]
+
+
 def test_a_class_of_many_parts_is_dealt_out(spark, monkeypatch):
     """A salted class: members link to their part's first, the firsts to the first of all."""
     monkeypatch.setattr(passages, "HOT", 1e-6)
