@@ -33,3 +33,16 @@ def test_alerts_and_features_share_one_pass_over_the_graph(spark, tmp_path, monk
     monkeypatch.setattr(registry.alert_plan, "alerts", lambda t, scored, model, cfg, values=None: given.append(values) or t.selectExpr("seq AS alertId"))
     registry.QUERIES["alert_payload"](spark, sf)
     assert [k.get("evidence") for k in made] == [True] and len(given) == 2 and given[0] is given[1]
+
+
+def test_evidence_is_made_where_a_detector_shows_it(spark, tmp_path):
+    """Senders show both lists, receivers what they got; natively sorted lists give each counterparty's latest transfer, newest first."""
+    rows = [(1, 2, 0, 10), (3, 2, 0, 10), (4, 2, 0, 10), (2, 5, 0, 10), (2, 6, 0, 10), (1, 2, 1, 10), (2, 7, 1, 10), (8, 2, 1, 10), (9, 2, 1, 10)]
+    t = registry.transfers(spark, events(spark, tmp_path, rows))
+    sides = {(r.seq, r.dir): r for r in registry.features.account_sides(t, registry.CFG, evidence=True).collect()}
+    assert sides[(6, "O")].out_ev == [6, 4, 3] and sides[(6, "O")].in_ev == [5, 2, 1]
+    assert sides[(4, "O")].out_ev is None and sides[(4, "O")].in_ev is None  # two receivers
+    assert sides[(8, "I")].in_ev == [8, 7, 5, 2, 1] and sides[(7, "I")].in_ev is None  # five senders, four
+    assert all(r.out_ev is None for (_, d), r in sides.items() if d == "I")
+    hits = {(r.seq, r.name): r.evidence for r in registry.QUERIES["detector_hits"](spark, str(tmp_path)).collect()}
+    assert hits[(8, "fan_in")] == "8,7,5,2,1" and hits[(6, "gather_scatter")] == "5,2,1,6,4,3"
