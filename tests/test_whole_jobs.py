@@ -1,10 +1,14 @@
 """Queries over all that their tables hold, on small tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow import registry
+from ledgerflow.operators import adjacency
+from ledgerflow.schema import Config
 
 
 def events(spark, folder, rows):
@@ -46,3 +50,24 @@ def test_evidence_is_made_where_a_detector_shows_it(spark, tmp_path):
     assert all(r.out_ev is None for (_, d), r in sides.items() if d == "I")
     hits = {(r.seq, r.name): r.evidence for r in registry.QUERIES["detector_hits"](spark, str(tmp_path)).collect()}
     assert hits[(8, "fan_in")] == "8,7,5,2,1" and hits[(6, "gather_scatter")] == "5,2,1,6,4,3"
+
+
+def test_live_entries_of_minutes_in_any_order(spark):
+    """Live lists, the latest of each counterparty in them and the highest score of others, against a plain pass; and none asks each entry where minutes ascend."""
+    cfg, rng = Config(cap=40, window=50), random.Random(9)
+    rows, held, want = [], [], {}
+    for k in range(400):
+        m = k if k < 200 else rng.randrange(180, 420)
+        rows.append((k, m, 1 + rng.randrange(5) * (rng.random() < 0.6), 99, 1.0, "Wire", float(k * 37 % 101)))
+        held = [*held, rows[-1]][-cfg.cap :]
+        live = [r for r in held if r[1] >= m - cfg.window]
+        latest = {r[2]: r[0] for r in live}
+        want[k] = [r[0] for r in live], sorted(latest.values(), reverse=True)[:3], max([r[6] for r in live if r[0] != k], default=0.0)
+    t = spark.createDataFrame(rows, "seq long, m long, src long, dst long, amount_usd double, format string, s1 double")
+    ins = {"live": F.transform("ins", lambda x: x["seq"]), "latest": adjacency.recent_per_peer(F.col("ins"), 3)}
+    got = adjacency.live_adjacency(t, {}, ins, cfg).where("dir = 'I'").collect()
+    assert {r.seq: (r.live, r.latest) for r in got} == {k: w[:2] for k, w in want.items()}
+    near = {r.seq: r.nbr_dst_score for r in registry.features.neighbour_features(t, cfg).collect()}
+    assert near == {k: w[2] for k, w in want.items()}
+    plan = adjacency.live_adjacency(t, {}, ins, cfg)._jdf.queryExecution().executedPlan().toString()
+    assert "array_position(sort_array" in plan
